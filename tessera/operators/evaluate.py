@@ -52,13 +52,13 @@ def leave_one_out(per_config: DataFrame, group: str = "dataset", config: str = "
 
 
 def bootstrap_delta(df: DataFrame, by: str, delta: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % interval of the macro mean of ``delta``: each resample draws each group's rows with replacement.  Rows are first
-    counted by value, and a resample draws Poisson weights per row, so nothing is expanded beyond rows x resamples counts by value."""
+    """95 % interval of the macro mean of ``delta``: each resample reweighs each group's rows.  Rows are first
+    counted by value; the number of draws of a value that c rows have is taken as normal with mean and variance c (not below 0), so the work is
+    distinct values x resamples, whatever the number of rows."""
     rows = df.select(by, delta)
     counts = rows.groupBy(by, delta).agg(F.count("*").alias("c"))
     spark = df.sparkSession
     b = F.broadcast(spark.range(resamples).withColumnRenamed("id", "b"))
-    # the number of draws of each value in a resample is Poisson with mean c; a normal step with the same mean and variance beyond 30
     u = (F.xxhash64(F.lit(seed), "b", by, delta).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float((1 << 52) + 2))
     v = (F.xxhash64(F.lit(seed + 1), "b", by, delta).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float((1 << 52) + 2))
     z = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
