@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +53,11 @@ def discard(*tables: DataFrame) -> None:
             if re.search(r"-[0-9a-f]{32}$", folder):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    for _ in range(2):  # the first round frees the driver's handles, the second what they held
+        gc.collect()
+        if tables:
+            tables[0].sparkSession._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
