@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, ascii_words, lists, rows, shingles
 from tessera.operators.graph import connected_components
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 #: Share of the shingle space that step 2 looks at, in 1/1024.
-SAMPLED = 384
+SAMPLED = 320
+#: Up to this many ids of sets with a possible partner are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _in_sample(h: np.ndarray, share: int) -> np.ndarray:
@@ -84,25 +86,22 @@ def _need(a: str, b: str) -> str:
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SAMPLED) -> DataFrame:
     """Return (doc_id, n_shingles, component_id), one row per row of ``docs``."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = materialize(src.mapInArrow(_signatures(share), "doc_id long, n long, d0 long, d1 long, tok array<long>"), "op4sig")
-    groups = sigs.filter("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
-
-    # step 2: sampled shingles that two different sets hold
-    tok = sigs.filter("tok is not null").select("d0", F.explode("tok").alias("h"))
-    shared = tok.groupBy("h").agg(F.min("d0").alias("a"), F.max("d0").alias("b")).filter("a <> b").select("h")
-    hits = tok.join(shared, "h").groupBy("d0").agg(F.count("*").alias("c"))
-    sizes = sigs.filter("tok is not null").groupBy("d0", "d1").agg(
-        F.max("n").alias("n"), F.max(F.size("tok")).alias("m"))
-    alive = (sizes.join(hits, "d0", "left")
-             .filter(F.coalesce("c", F.lit(0)) >= F.col("m") - F.floor(F.col("n") / 4)).select("d0", "d1"))
-    groups = materialize(groups, "op4groups")
-    reps = materialize(groups.join(alive, ["d0", "d1"]).select("rep", F.col("d0").alias("id")), "op4rep")
-
-    texts = src.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("text is not null")
+    full = materialize(src.mapInArrow(_signatures(share), "doc_id long, n long, d0 long, d1 long, tok array<long>"), "op4sig")
+    sigs = materialize(full.select("doc_id", "n", "d0", "d1"), "op4doc")
+    groups = materialize(sigs.filter("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "op4groups")
+    reps = materialize(groups.join(_alive(full), ["d0", "d1"]).select("rep", F.col("d0").alias("id")), "op4rep")
+    discard(full)
+
+    ids = reps.select(F.col("rep").alias("doc_id")).distinct()
+    if reps.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = src.join(ids, "doc_id", "left_semi").filter("text is not null")
     sets = materialize(
         texts.mapInArrow(_full_sets, "rep long, id long, set array<long>").join(reps, ["rep", "id"], "left_semi")
         .select("id", "set", F.size("set").cast("long").alias("n")), "op4set")
-    comp = connected_components(_links(sets.dropDuplicates(["id"])), "a", "b")
+    links = materialize(_links(sets.dropDuplicates(["id"])), "op4link")
+    discard(sets)
+    comp = connected_components(links, "a", "b")
 
     # a component is named by the least doc_id of its sets
     member = groups.join(comp.withColumnRenamed("node", "d0"), "d0", "left").withColumn("component", F.coalesce("component", "d0"))
@@ -113,6 +112,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).alias("component_id"))
 
 
+def _alive(full: DataFrame) -> DataFrame:
+    """(d0, d1) of the sets that can have a partner, by the sampled shingles that two different sets hold."""
+    tok = full.filter("tok is not null").select("d0", F.explode("tok").alias("h"))
+    shared = tok.groupBy("h").agg(F.min("d0").alias("a"), F.max("d0").alias("b")).filter("a <> b").select("h")
+    hits = tok.join(shared, "h").groupBy("d0").agg(F.count("*").alias("c"))
+    sizes = full.filter("tok is not null").groupBy("d0", "d1").agg(F.max("n").alias("n"), F.max(F.size("tok")).alias("m"))
+    return (sizes.join(hits, "d0", "left")
+            .filter(F.coalesce("c", F.lit(0)) >= F.col("m") - F.floor(F.col("n") / 4)).select("d0", "d1"))
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that join exactly the sets that the links join; sets: (id, set, n)."""
     tok = sets.select("id", F.explode("set").alias("h"))
