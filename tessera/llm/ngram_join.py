@@ -10,9 +10,9 @@ The join is exact (over 64-bit shingle hashes) and works in these steps:
 3. The remaining sets are ordered rarest shingle first.  Shingles of one set only take the first
    positions and are never indexed.  Index lists hold the prefix (set, size, position); a list is cut
    into blocks by size class, and a probe skips all blocks whose size or position bound rules it out.
-4. Answer skipping: every set in a list is compared with the list's leader only.  For two other
-   sets the overlaps with their leader bound their own overlap from both sides, so most pairs follow
-   from computed answers; pairs already in one component need none.  What is left is verified.
+4. Answer skipping: every set in a list is compared with the list's leader only.  Two other sets share
+   at most what both share with the leader and, outside it, shingles that other sets hold too; so most
+   pairs follow from computed answers, and pairs already in one component need none.  What is left is verified.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component.  A row
 whose doc_id is null links with nothing and gets a null component.  Repeated rows and repeated ids are
@@ -133,11 +133,11 @@ def _links(sets: DataFrame) -> DataFrame:
                .filter("100 * (n - u) >= 75 * n")
                .withColumn("width", F.expr("n - ceil(75 * n / 100) + 1 - u")).filter("width > 0"))
     post = ordered.select("id", "n", "u", F.posexplode(F.expr("slice(common, 1, int(width))")).alias("j", "t")).select(
-        F.col("t.h").alias("h"), "id", "n", (F.col("u") + F.col("j")).alias("pos"))
+        F.col("t.h").alias("h"), "id", "n", "u", (F.col("u") + F.col("j")).alias("pos"))
     post = materialize(post, "op4post")
 
-    # answers with the leader of each list
-    lead = post.groupBy("h").agg(F.min(F.struct("id", "n", "pos")).alias("l"), F.count("*").alias("k")).filter("k > 1")
+    # answers with the leader of each list: the set with fewest shingles of its own, the one most of its copies stem from
+    lead = post.groupBy("h").agg(F.min(F.struct("u", "id", "n", "pos")).alias("l"), F.count("*").alias("k")).filter("k > 1")
     star = (post.join(lead, "h").filter("id <> l.id")
             .filter(f"least(n - pos, l.n - l.pos) >= {_need('n', 'l.n')}")
             .select("id", F.col("l.id").alias("leader")).distinct())
@@ -158,7 +158,7 @@ def _links(sets: DataFrame) -> DataFrame:
         "x.h = y.h and x.block = y.size_class and x.component <> y.component and (y.main or x.id < y.id) "
         "and x.id <> x.leader and y.id <> y.leader "
         f"and least(x.n - x.pos, y.n - y.pos) >= {_need('x.n', 'y.n')} "
-        f"and coalesce(least(x.o, y.o) + least(x.n - x.o, y.n - y.o), x.n + y.n) >= {_need('x.n', 'y.n')}"))
+        f"and coalesce(least(x.o, y.o) + least(x.n - x.u - x.o, y.n - y.u - y.o), x.n + y.n) >= {_need('x.n', 'y.n')}"))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     more = _overlaps(rest, sets).filter(f"o >= {_need('na', 'nb')}").select("a", "b")
     return linked.union(more)
