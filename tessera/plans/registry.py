@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _m in ("relational", "textual", "retrieval", "stream"):
+for _m in ("relational", "catalog", "textual", "retrieval", "stream"):
     importlib.import_module(f"tessera.plans.{_m}")
