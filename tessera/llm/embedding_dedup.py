@@ -107,9 +107,29 @@ def _router(cuts, depths: dict[tuple[int, int], int], trees: int, seed: int, spi
     return run
 
 
+def _least_linked(n: int, cols: np.ndarray, met: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least place of the component of each of ``n`` places; ``met`` holds (rows, linked to which of ``cols``)."""
+    root = np.arange(n)
+    while met:
+        last = root.copy()
+        for part, new in met:
+            for at, other, linked in ((part, cols, new), (cols, part, new.T)):
+                low = np.where(linked, root[other][None, :], n).min(axis=1)
+                at, low = at[low < n], low[low < n]
+                np.minimum.at(root, root[at], low)  # the root follows too, so whole trees move at once
+                np.minimum.at(root, at, low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == last).all():
+            break
+    return root
+
+
 def _compare(least: float):
-    """Pairs of one leaf or of two of its blocks -> one row per vector: links found here, and the least vector of its cluster."""
+    """Pairs of one leaf or of two of its blocks -> one row per vector: links found here, and the least vector of its
+    component under them."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("k", ignore_index=True)  # places are in the order of keys, so the least place is the least vector
         leaf, bi, bj = int(g["leaf"].iloc[0]), int(g["bi"].iloc[0]), int(g["bj"].iloc[0])
         k, w, dim = g["k"].to_numpy(), g["w"].to_numpy(), int(g["dim"].iloc[0])
         u = np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), dim)
@@ -121,17 +141,18 @@ def _compare(least: float):
         earlier = np.zeros((len(g), max(1, len(ids))), np.float32)
         for r, x in enumerate(g["leaves"]):
             earlier[r, [ids[n] for n in x if n < leaf]] = 1
-        links, root = np.zeros(len(g), np.int64), k.copy()
+        links, met = np.zeros(len(g), np.int64), []
         for s in range(0, len(rows), 256):
             part = rows[s:s + 256]
             new = (u[part] @ u[cols].T >= least) & (earlier[part] @ earlier[cols].T == 0)
             new &= (k[part][:, None] < k[cols][None, :]) if bi == bj else True
             links[part] += new @ w[cols]
             links[cols] += w[part] @ new
-            root[part] = np.minimum(root[part], np.where(new, k[cols][None, :], k[part][:, None]).min(axis=1))
-            root[cols] = np.minimum(root[cols], np.where(new, k[part][:, None], k[cols][None, :]).min(axis=0))
+            if new.any():
+                met.append((part, new))
+        root = _least_linked(len(g), cols, met)
         hit = links > 0
-        return pd.DataFrame({"k": k[hit], "links": links[hit], "root": root[hit]})
+        return pd.DataFrame({"k": k[hit], "links": links[hit], "root": k[root[hit]]})
     return run
 
 

@@ -136,6 +136,31 @@ def test_embedding_links(spark):
     assert got[180]["component_id"] <= got[0]["component_id"] == 0
 
 
+def test_embedding_chains(spark):
+    """Vectors that drift: each links with its neighbours only, so components follow the whole chain."""
+    rng = np.random.default_rng(18)
+    rows, chain = [], {}
+    for c in range(60):
+        a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+        for j in range(8):
+            i = (37 * (8 * c + j) + 11) % 480
+            rows.append((i, [float(x) for x in np.cos(0.3 * j) * a + np.sin(0.3 * j) * b], 0))
+            chain.setdefault(c, []).append(i)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    u = np.array([v for _, v, _ in sorted(rows)])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+    want = list(range(len(u)))
+    for _ in range(len(u)):
+        want = [min([want[i], *(want[j] for j in np.flatnonzero(true[i]))]) for i in range(len(u))]
+    assert all(want[i] == min(c) for c in chain.values() for i in c)
+    for options in ({}, {"leaf": 512, "block": 64}):  # one leaf; one leaf in pairs of blocks
+        got = {r["vec_id"]: r for r in embedding_dedup.embedding_components(df, **{"leaf": 512, **options}).collect()}
+        assert [got[i]["n_links"] for i in range(len(u))] == list(true.sum(axis=1))
+        assert [got[i]["component_id"] for i in range(len(u))] == want
+        assert all(got[i]["kept"] == (want[i] == i) for i in range(len(u)))
+
+
 # ---- 6 packing
 
 def test_packing_is_an_exact_round_trip(spark):
