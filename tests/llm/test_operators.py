@@ -325,3 +325,31 @@ def test_pipeline_stages(spark):
     assert [c for _, c in comp] == list(range(len(comp)))
     assert not any(x.startswith("email") for t in texts for x in brute_spans(t))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Null and repeated ids: each row has its own verdict."""
+    import corpus_pipeline
+
+    random.seed(21)
+    words = [f"{a}{b}{c}" for a in ("ba", "to", "mi") for b in ("ra", "lo", "ne") for c in ("do", "sa", "ti", "ku")]
+    make = lambda n=60: " ".join(random.choice(words) for _ in range(n))
+    item, a, c, d, e, f = (make() for _ in range(6))
+    junk = "#@%& 0x91 $$$ ~~~ " * 12
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame_of = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    train = [(i, make()) for i in range(100, 140)]
+    spark.createDataFrame([(i, 1, 0) for i, _ in train], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    quality_stage, duplicate_stage, decontamination_stage = (s for _, s in corpus_pipeline.STAGES[:3])
+
+    kept = texts(quality_stage(spark, frame_of([*train, (None, train[0][1]), (None, junk), (5, train[1][1]), (5, junk)]), str(tmp_path)))
+    assert (None, train[0][1]) in kept and (5, train[1][1]) in kept and not any(t == junk for _, t in kept)
+
+    # 5 holds a copy of 3's text and a text of its own; null ids link too and come last
+    rows = [(5, c), (5, a), (3, c), (None, d), (None, d), (None, e), (9, e), (7, f), (7, f)]
+    assert texts(duplicate_stage(spark, frame_of(rows), str(tmp_path))) == sorted([(5, a), (3, c), (None, d), (9, e), (7, f)], key=str)
+
+    rows = [(5, a), (5, a + " " + item), (None, c), (None, item)]
+    assert texts(decontamination_stage(spark, frame_of(rows), str(tmp_path))) == sorted([(5, a), (None, c)], key=str)
