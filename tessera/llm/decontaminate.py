@@ -5,7 +5,11 @@ documents are hashed under each mask over the kept positions only, so a substitu
 position does not spoil the hit.  Hits are joined on (mask, hash), give an alignment (item, shift), and
 around each alignment the two token sequences are compared position by position: it counts when at least
 ``least_share`` of the aligned item tokens agree over at least ``least_tokens`` agreeing tokens
-(all of a shorter item).
+(all of a shorter item).  Items shorter than the shortest mask are hashed whole and found where all their
+tokens stand in a row.
+
+Each row of the test set is an item of its own, whatever its item_id: ids may repeat (question and answers,
+translations), and a null id is reported as null.
 
 The test set is small by nature: up to ``broadcast_windows`` hashed windows are shipped to the tasks, after
 counting them.  A larger test set is joined by a shuffle on the hashes instead, with the same result.
@@ -28,6 +32,7 @@ from tessera.session import materialize
 
 #: Kept (1) and ignored (0) positions of each window.
 MASKS = ("11110111", "1101101011", "110010110101", "11100100111")
+SHORT = min(map(len, MASKS))
 _STRIP = b""" .,;:!?"'()[]{}<>*#$%&|-_=+/\\~`^@"""
 _M1 = U64(0x9E3779B97F4A7C15)
 
@@ -48,6 +53,16 @@ def window_hashes(w: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
+def item_masks(n: int) -> tuple[str, ...]:
+    """The masks of an item of ``n`` tokens; one that no mask fits is hashed whole."""
+    return MASKS if n >= SHORT else ("1" * n,) if n else ()
+
+
+def whole(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first of the places ``at`` of each hash: a short item agrees in full wherever it stands."""
+    return at[np.sort(np.unique(h[at], return_index=True)[1])]
+
+
 def agreement(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
     """(agreeing, aligned) tokens when item token i lies on document token i + shift."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
@@ -71,7 +86,7 @@ def best_run(doc: np.ndarray, item: np.ndarray, shift: int, least_share: float)
     return best
 
 
-def _judge(items: list[tuple[int, np.ndarray]], least_tokens: int, least_share: float):
+def _judge(items: list[tuple[int | None, np.ndarray]], least_tokens: int, least_share: float):
     def run(w: np.ndarray, hits: set[tuple[int, int]]):
         """The best verified item of a document: (item_id, agreeing, aligned) or None."""
         best = None
@@ -84,13 +99,14 @@ def _judge(items: list[tuple[int, np.ndarray]], least_tokens: int, least_share:
     return run
 
 
-def _scan(items: list[tuple[int, np.ndarray]], least_tokens: int, least_share: float):
+def _scan(items: list[tuple[int | None, np.ndarray]], least_tokens: int, least_share: float):
     """Look document windows up in the shipped table of item windows, verify, and give one row per document."""
     table: dict[int, list[tuple[int, int]]] = {}
     for i, (_, t) in enumerate(items):
-        for mask in MASKS:
+        for mask in item_masks(len(t)):
             for pos, h in enumerate(window_hashes(t, mask).tolist()):
                 table.setdefault(h, []).append((i, pos))
+    short = ["1" * n for n in sorted({len(t) for _, t in items if len(t) < SHORT})]
     keys = np.fromiter(table, U64, len(table))
     bits = np.zeros(1 << 22, bool)
     bits[(keys & U64((1 << 22) - 1)).astype(np.int64)] = True
@@ -102,19 +118,20 @@ def _scan(items: list[tuple[int, np.ndarray]], least_tokens: int, least_share: f
             for text in b.column(1).to_pylist():
                 w = word_hashes(tokens(text))
                 hits = set()
-                for mask in MASKS:
+                for mask in (*MASKS, *short):
                     h = window_hashes(w, mask)
-                    for p in np.flatnonzero(bits[(h & U64((1 << 22) - 1)).astype(np.int64)]).tolist():
+                    at = np.flatnonzero(bits[(h & U64((1 << 22) - 1)).astype(np.int64)])
+                    for p in (at if len(mask) >= SHORT else whole(h, at)).tolist():
                         hits.update((i, p - q) for i, q in table.get(int(h[p]), ()))
-                out.append(judge(w, hits) or (None, 0, 0))
+                out.append(judge(w, hits))
             yield _answers(b.column(0), out)
     return run
 
 
 def _answers(ids: pa.Array, out: list) -> pa.RecordBatch:
-    item, same, length = zip(*out, strict=True) if out else ((), (), ())
+    item, same, length = zip(*(x or (None, 0, 0) for x in out), strict=True) if out else ((), (), ())
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([i is not None for i in item], pa.bool_()), pa.array(item, pa.int64()),
+        [ids, pa.array([x is not None for x in out], pa.bool_()), pa.array(item, pa.int64()),
          pa.array(same, pa.int64()), pa.array(length, pa.int64())],
         ["doc_id", "contaminated", "item_id", "n_same", "n_aligned"])
 
@@ -122,15 +139,28 @@ def _answers(ids: pa.Array, out: list) -> pa.RecordBatch:
 RESULT = "doc_id long, contaminated boolean, item_id long, n_same long, n_aligned long"
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in rows(batches, 64):
-        for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = word_hashes(tokens(text))
-            hs = [window_hashes(w, m) for m in MASKS]
-            if sum(map(len, hs)):
-                pos = np.concatenate([np.arange(len(h)) for h in hs])
-                yield pa.RecordBatch.from_arrays([pa.array([rid] * len(pos), pa.int64()), pa.array(np.concatenate(hs).view(np.int64)),
-                                                  pa.array(pos, pa.int64())], ["rid", "h", "pos"])
+def _windows(short: list[str] | None):
+    """(rid, h, pos) of all windows: of items by their own masks, or of documents where ``short`` lists the masks of short items."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches, 64):
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = word_hashes(tokens(text))
+                hs, at = [], []
+                for mask in item_masks(len(w)) if short is None else (*MASKS, *short):
+                    h = window_hashes(w, mask)
+                    at.append(np.arange(len(h)) if len(mask) >= SHORT else whole(h, np.arange(len(h))))
+                    hs.append(h[at[-1]])
+                if sum(map(len, hs)):
+                    pos = np.concatenate(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(pos), pa.int64()), pa.array(np.concatenate(hs).view(np.int64)),
+                                                      pa.array(pos, pa.int64())], ["rid", "h", "pos"])
+    return run
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token counts below SHORT that occur."""
+    seen = {n for b in batches for t in b.column(0).to_pylist() if 0 < (n := len(tokens(t))) < SHORT}
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["n"])
 
 
 def _verify(least_tokens: int, least_share: float):
@@ -139,9 +169,9 @@ def _verify(least_tokens: int, least_share: float):
             out = []
             for text, item_id, item, shifts in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 t = word_hashes(tokens(item))
-                out.append(_judge([(item_id, t)], least_tokens, least_share)(
-                    word_hashes(tokens(text)), {(0, s) for s in shifts}) or (None, 0, 0))
-            yield _answers(b.column(0), out)
+                out.append(_judge([(item_id, t)], least_tokens, least_share)(word_hashes(tokens(text)), {(0, s) for s in shifts}))
+            a = _answers(b.column(0), out)
+            yield pa.RecordBatch.from_arrays([*a.columns, b.column(3)], [*a.schema.names, "item"])
     return run
 
 
@@ -149,25 +179,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   item_text: str = "text", least_tokens: int = 12, least_share: float = 0.75,
                   broadcast_windows: int = 200_000) -> DataFrame:
     """Return (doc_id, contaminated, item_id, n_same, n_aligned), one row per document; the item is the one
-    with most agreeing tokens, the first in the order of ids among equals."""
+    with most agreeing tokens, the first in the order of ids (null last) and texts among equals."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     test = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item")) \
-        .filter("item is not null and item_id is not null")
+        .filter("item is not null")
     n = test.select(F.sum(F.size(F.split("item", r"\s+"))) * len(MASKS)).first()[0] or 0
     if n <= broadcast_windows:
-        got = [(r["item_id"], word_hashes(tokens(r["item"]))) for r in test.orderBy("item_id", "item").collect()]
+        got = [(r["item_id"], word_hashes(tokens(r["item"]))) for r in test.orderBy(F.asc_nulls_last("item_id"), "item").collect()]
         return src.mapInArrow(_scan([x for x in got if len(x[1])], least_tokens, least_share), RESULT)
 
     keyed = materialize(src.withColumn("rid", F.expr("uuid()")), "op3docs").withColumn("rid", F.xxhash64("rid"))
-    mine = keyed.select("rid", "text").mapInArrow(_windows, "rid long, h long, pos long")
-    theirs = test.select(F.col("item_id").alias("rid"), F.col("item").alias("text")).mapInArrow(_windows, "rid long, h long, pos long") \
-        .select("h", F.col("rid").alias("item_id"), F.col("pos").alias("q"))
-    hits = (mine.join(theirs, "h").select("rid", "item_id", (F.col("pos") - F.col("q")).alias("shift")).distinct()
-            .groupBy("rid", "item_id").agg(F.collect_list("shift").alias("shifts")))
-    checked = (hits.join(keyed.select("rid", "text"), "rid").join(test.dropDuplicates(["item_id"]), "item_id")
+    test = materialize(test.withColumn("key", F.monotonically_increasing_id()), "op3items")
+    found = test.select("item").mapInArrow(_lengths, "n long").distinct().collect()  # fewer than SHORT rows
+    short = ["1" * n for n in sorted(r["n"] for r in found)]
+    mine = keyed.select("rid", "text").mapInArrow(_windows(short), "rid long, h long, pos long")
+    theirs = test.select(F.col("key").alias("rid"), F.col("item").alias("text")).mapInArrow(_windows(None), "rid long, h long, pos long") \
+        .select("h", F.col("rid").alias("key"), F.col("pos").alias("q"))
+    hits = (mine.join(theirs, "h").select("rid", "key", (F.col("pos") - F.col("q")).alias("shift")).distinct()
+            .groupBy("rid", "key").agg(F.collect_list("shift").alias("shifts")))
+    order = F.struct(-F.col("n_same"), F.col("item_id").isNull(), "item_id", "item")
+    checked = (hits.join(keyed.select("rid", "text"), "rid").join(test, "key")
                .select("rid", "text", "item_id", "item", "shifts")
-               .mapInArrow(_verify(least_tokens, least_share), RESULT).filter("contaminated")
-               .groupBy("doc_id").agg(F.max_by(F.struct("item_id", "n_same", "n_aligned"), F.struct("n_same", -F.col("item_id"))).alias("b")))
+               .mapInArrow(_verify(least_tokens, least_share), f"{RESULT}, item string").filter("contaminated")
+               .groupBy("doc_id").agg(F.min_by(F.struct("item_id", "n_same", "n_aligned"), order).alias("b")))
     return keyed.select("doc_id", "rid").join(checked.withColumnRenamed("doc_id", "rid"), "rid", "left").select(
         "doc_id", F.col("b").isNotNull().alias("contaminated"), "b.item_id",
         F.coalesce("b.n_same", F.lit(0)).alias("n_same"), F.coalesce("b.n_aligned", F.lit(0)).alias("n_aligned"))

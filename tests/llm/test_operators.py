@@ -71,6 +71,26 @@ def test_contamination_both_ways(spark):
     assert not decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count()
 
 
+def test_contamination_of_repeated_null_and_short_items(spark):
+    random.seed(16)
+    words = [f"w{i}" for i in range(400)]
+    make = lambda n: [random.choice(words) for _ in range(n)]
+    first, second, nameless, lead = make(30), make(30), make(20), make(60)
+    six, one, eight = [f"s{i}" for i in range(6)], ["solo"], [f"e{i}" for i in range(8)]
+    items = [(7, first), (7, second), (None, nameless), (9, six), (3, six), (None, one), (11, eight)]
+    texts = [lead, lead + first + lead, lead + second + lead, lead + nameless, lead + six + lead, lead + six[:5] + lead + six[1:],
+             one, lead + one + make(5) + one, six + nameless, eight + lead, ["soloist"], lead[:3]]
+    want = [None, (7, 30), (7, 30), (None, 20), (3, 6), None, (None, 1), (None, 1), (None, 20), (11, 8), None, None]
+    test = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    docs = frame(spark, [" ".join(t) for t in texts])
+    both = []
+    for limit in (200_000, 0):
+        got = {r["doc_id"]: r for r in decontaminate.contamination(docs, test, broadcast_windows=limit).collect()}
+        assert [(got[i]["item_id"], got[i]["n_same"]) if got[i]["contaminated"] else None for i in range(len(texts))] == want
+        both.append([got[i] for i in range(len(texts))])
+    assert both[0] == both[1]
+
+
 # ---- 4 shingle join
 
 def brute_components(texts):
