@@ -1,22 +1,28 @@
 """URL verdicts: longest fitting rule, else a ratio of two character language models.
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains.  Where several fit, the longest
-(host and path together) wins, so the rule table is matched by equality on the host's suffixes.
+(host and path together) wins.
 
-Urls without a rule are judged by two smoothed variable-order Markov models over the characters of the host,
-one of the hosts of accepted and one of those of rejected urls; each distinct host counts once, and paths are left to the rules.  Each context of up to ``ORDER`` - 1 characters shrinks
-its counts towards the next shorter context.  Training urls are rejected when a part of their host between dots and hyphens is one of
-``seeds`` or a block rule without a path decides them; accepted when no rule blocks them and no part is a seed.
-The verdict is block when the length-normalised log-likelihood difference exceeds a cut
-calibrated so that at most ``false_blocks`` of the accepted training hosts exceed it.
+Urls without a rule are judged by two smoothed variable-order Markov models over the bytes of host, path and query: each
+context of up to ``ORDER`` - 1 bytes shrinks its counts towards the next shorter context, down to a uniform start.
+Training urls are all distinct urls, digit runs as one 0, each counted once, so a hot host weighs no more than its addresses:
 
-Counts are hashed into ``BUCKETS`` cells per order and class, so what is shipped is bounded whatever the input.
-A null url and one without ``://`` have an empty host and path, no rule, and are allowed.
+* rejected: urls that a block rule decides, and urls one of whose words is in ``seeds`` (a start list, not a verdict);
+* accepted: urls that an allow rule decides, and all urls that nothing marks.  The unmarked ones are dealt by host into
+  ``FOLDS`` folds, and a url is scored without its own fold, so an unmarked host does not vouch for itself.
+
+The score is the mean over bytes of log P(rejected) - log P(accepted).  The cut lies midway between the median score of
+unmarked and of seeded training urls, and at least ``spread`` robust deviations above the first.  Without rejected urls all is allowed.
+
+Counts are hashed into ``CELLS`` cells per order and table, so what is shipped is bounded whatever the input (under 20 MB).
+
+A null url and one without ``://`` have an empty host and path, no rule and no score, and are allowed, and so is one of an
+empty host without path and query.  Repeated rows are judged each; very long urls are scored whole.  An empty table gives an empty
+result.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,108 +31,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import rows
-from tessera.llm.grams import packed
 from tessera.session import materialize
 
-ORDER, BUCKETS, FLUSH = 4, 1 << 16, 100_000
+ORDER, CELLS, FOLDS = 5, 1 << 16, 4
+#: Tables of counts: one per fold of unmarked urls, then the allowed and the rejected.
+ALLOWED, REJECTED = FOLDS, FOLDS + 1
+#: Weight of a context's shorter context.
+SHRINK = 2.0
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Parts of host names that mark unwanted sites.
+#: Words of a url that start the rejected class.
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "farm", "loan", "loans", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
 
 
 def parts(url="url"):
-    """(host, path) of a url column."""
+    """(host, path, query with its ?) of a url column."""
     rest = F.expr(f"case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end")
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
-
-
-def _cells(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """The text of each predicted character, its cell per order, and its context's cell per order."""
-    word, place, keys = packed(texts, ORDER)
-    m, s = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
-    grams = [np.where(place >= k, ((x + np.uint64(1)) * m) >> s, 0).astype(np.int64) for k, x in enumerate(keys)]
-    contexts = [np.where(place >= k, (((x >> np.uint64(16)) + np.uint64(7)) * m) >> s, 0).astype(np.int64) for k, x in enumerate(keys)]
-    return word, grams, contexts
+    query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
+    return tuple(F.coalesce(x, F.lit("")) for x in (host, path, query))
+
+
+def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of each text and its end: the text's index, and per order the cell of the gram that ends there and of its context."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    lead = ORDER - 1
+    buf = np.frombuffer(b"".join(b"\x01" * lead + x + b"\x02" for x in raw), np.uint8).astype(np.uint64)
+    width = np.fromiter(map(len, raw), np.int64, len(raw)) + 1 + lead
+    text = np.repeat(np.arange(len(raw)), width)
+    at = np.arange(len(buf)) - np.repeat(np.cumsum(width) - width, width) >= lead
+    m, s, eight = np.uint64(0x9E3779B97F4A7C15), np.uint64(48), np.uint64(8)
+    key, grams, contexts = np.zeros(len(buf), np.uint64), [], []
+    for k in range(ORDER):
+        part = np.zeros(len(buf), np.uint64)
+        part[k:] = buf[:len(buf) - k] << np.uint64(8 * k)
+        key = key | part
+        own = key[at] + (np.uint64(k + 1) << np.uint64(56))
+        grams.append((own * m >> s).astype(np.int64))
+        contexts.append((((own >> eight) + np.uint64(7)) * m >> s).astype(np.int64))
+    return text[at], np.array(grams).reshape(ORDER, -1), np.array(contexts).reshape(ORDER, -1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, cell, n): cell = (order * 2 + is_context) * BUCKETS + hash."""
+    """(tbl, cell, n): cell = (order * 2 + is_context) * CELLS + hash."""
     sums: dict[int, np.ndarray] = {}
-    held: dict[int, Counter] = {}
-
-    def add(c: int) -> None:
-        words = held.pop(c)
-        n = np.fromiter(words.values(), np.float64, len(words))
-        w, grams, contexts = _cells(list(words))
-        s = sums.setdefault(c, np.zeros(2 * ORDER * BUCKETS))
-        for k in range(ORDER):
-            s[2 * k * BUCKETS:(2 * k + 1) * BUCKETS] += np.bincount(grams[k], n[w], BUCKETS)
-            s[(2 * k + 1) * BUCKETS:(2 * k + 2) * BUCKETS] += np.bincount(contexts[k], n[w], BUCKETS)
-
     for b in rows(batches, 4096):
-        for c, text, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            held.setdefault(c, Counter())[text] += n
-            if len(held[c]) > FLUSH:
-                add(c)
-    for c in list(held):
-        add(c)
+        tables = b.column(0).to_numpy(zero_copy_only=False)
+        text, grams, contexts = cells(b.column(1).to_pylist())
+        for c in np.unique(tables):
+            mine = tables[text] == c
+            s = sums.setdefault(int(c), np.zeros((ORDER, 2, CELLS)))
+            for k in range(ORDER):
+                s[k, 0] += np.bincount(grams[k][mine], minlength=CELLS)
+                s[k, 1] += np.bincount(contexts[k][mine], minlength=CELLS)
     for c, s in sums.items():
         at = np.flatnonzero(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c)), pa.array(at), pa.array(s[at])], ["c", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(s.reshape(-1)[at])], ["tbl", "cell", "n"])
 
 
-def likelihood_difference(texts: list[str], n: dict[int, np.ndarray]) -> np.ndarray:
-    """Mean over characters of log P(rejected model) - log P(accepted model)."""
-    word, grams, contexts = _cells(texts)
-    logs = {}
-    for c in (0, 1):
-        p = np.full(len(word), 1 / 256)
+def likelihood_difference(texts: list[str], accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """Mean over bytes of log P(rejected model) - log P(accepted model); a model is (order, gram or context, cell)."""
+    if not texts:
+        return np.empty(0)
+    text, grams, contexts = cells(texts)
+    logs = []
+    for n in (accepted, rejected):
+        p = np.full(len(text), 1 / 256)
         for k in range(ORDER):
-            g, h = n[c][2 * k][grams[k]], n[c][2 * k + 1][contexts[k]]
-            p = np.where((grams[k] > 0) | (k == 0), (g + 2.0 * p) / (h + 2.0), p)
-        logs[c] = np.log(np.minimum(p, 1.0))
-    return np.bincount(word, logs[1] - logs[0], len(texts)) / np.maximum(1, np.bincount(word, minlength=len(texts)))
+            p = (n[k, 0][grams[k]] + SHRINK * p) / (n[k, 1][contexts[k]] + SHRINK)
+        logs.append(np.log(np.minimum(p, 1.0)))
+    return np.bincount(text, logs[1] - logs[0], len(texts)) / np.bincount(text, minlength=len(texts))
 
 
-def _score(n: dict[int, np.ndarray]):
+def _score(shipped):
+    """Adds llr to batches whose first columns are (fold, norm); llr is null where norm is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shipped.value
+        every = tables[:ALLOWED + 1].sum(axis=0)
         for b in rows(batches, 4096):
-            d = likelihood_difference(b.column(0).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d)], [*b.schema.names, "llr"])
+            folds, norms = b.column(0).to_pylist(), b.column(1).to_pylist()
+            known: dict[tuple[int, str], float | None] = {}
+            for f in set(folds):
+                mine = sorted({t for t, g in zip(norms, folds, strict=True) if g == f and t})
+                for i in range(0, len(mine), 512):
+                    d = likelihood_difference(mine[i:i + 512], every - tables[f], tables[REJECTED])
+                    known.update(zip(((f, t) for t in mine[i:i + 512]), d.tolist(), strict=True))
+            llr = [known.get((f, t)) for f, t in zip(folds, norms, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(llr, pa.float64())], [*b.schema.names[2:], "llr"])
     return run
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
-               seeds: Sequence[str] = SEEDS, false_blocks: float = 0.01) -> DataFrame:
-    """Return (page_id, host, path, rule, verdict, llr), one row per row; llr is null where a rule decides or the host is empty."""
+               seeds: Sequence[str] = SEEDS, spread: float = 3.0) -> DataFrame:
+    """Return (page_id, host, path, rule, verdict, llr), one row per row; llr is null where a rule decides or there is nothing to score."""
     spark = pages.sparkSession
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    host, path = parts()
-    src = src.select("page_id", host.alias("host"), path.alias("path"))
+    host, path, query = parts()
+    src = src.select("page_id", host.alias("host"), path.alias("path"), query.alias("query"))
     # a few rules by contract: their size is the length of the parameter
-    fits = [F.when(F.expr(f"(host = '{h}' or endswith(host, '.{h}')) and startswith(path, '{p}')"),
+    fits = [F.when(((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p),
                    F.struct(F.lit(len(h) + len(p)).alias("len"), F.lit(h + p).alias("rule"), F.lit(v).alias("v"))) for v, h, p in rules]
-    src = src.withColumn("_r", F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<len:int,rule:string,v:string>"))
-    src = src.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.v").alias("ruled"))
-    src = src.withColumn("seeded", F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False))
-    src = materialize(src, "op10urls")
-
-    per_host = src.filter("host <> ''").groupBy("host", "seeded").agg(
-        F.count(F.when(F.col("ruled").isNull() | (F.col("ruled") == "allow") | F.col("seeded"), 1)).alias("n"))
-    train = per_host.filter("n > 0").select(F.col("seeded").cast("long").alias("c"), F.col("host").alias("t"), F.lit(1).cast("long").alias("n"))
-    got = train.mapInArrow(_count, "c long, cell long, n double").groupBy("c", "cell").agg(F.sum("n").alias("n")).toPandas()
-    n = {c: np.zeros((2 * ORDER, BUCKETS)) for c in (0, 1)}
-    for c in (0, 1):
-        x = got[got["c"] == c]
-        n[c].reshape(-1)[x["cell"].to_numpy(np.int64)] = x["n"]
-    hosts = per_host.select("host", "seeded").mapInArrow(_score(n), "host string, seeded boolean, llr double")
-    hosts = materialize(hosts, "op10hosts")
-    cut = hosts.filter("not seeded").agg(F.percentile_approx("llr", 1 - false_blocks, 100_000)).first()[0]
-    cut = max(0.0, cut or 0.0)
-    out = src.join(hosts.select("host", "llr"), "host", "left")
-    return out.select("page_id", "host", "path", "rule",
-                      F.when(F.col("ruled").isNotNull(), F.col("ruled")).when(F.col("llr") > cut, "block").otherwise("allow").alias("verdict"),
-                      F.when(F.col("ruled").isNull(), F.col("llr")).alias("llr"))
+    none = F.lit(None).cast("struct<len:int,rule:string,v:string>")
+    src = src.withColumn("_r", F.array_max(F.array_compact(F.array(*fits))) if fits else none)
+    src = src.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.v").alias("ruled"),
+                     F.regexp_replace(F.concat("host", "path", "query"), "[0-9]+", "0").alias("norm"),
+                     F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"))
+
+    words = F.split(F.lower("norm"), r"[^\p{L}\p{N}]+")
+    seeded = F.arrays_overlap(words, F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
+    marked = F.when((F.col("ruled") == "block") | seeded, REJECTED).when(F.col("ruled") == "allow", ALLOWED).otherwise(F.col("fold"))
+    train = materialize(src.filter("norm <> ''").select(marked.cast("int").alias("tbl"), "norm", "fold", seeded.alias("seeded")).distinct(), "op10train")
+    got = train.select("tbl", "norm").mapInArrow(_count, "tbl int, cell int, n double").groupBy("tbl", "cell").agg(F.sum("n").alias("n")).toPandas()
+    tables = np.zeros((FOLDS + 2, ORDER, 2, CELLS), np.float32)
+    tables.reshape(FOLDS + 2, -1)[got["tbl"], got["cell"]] = got["n"]
+    if not tables[REJECTED].any():
+        return src.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("llr"))
+
+    shipped = spark.sparkContext.broadcast(tables)
+    judged = train.filter(f"tbl < {FOLDS} or seeded").select("fold", "norm", "seeded").mapInArrow(_score(shipped), "seeded boolean, llr double")
+    judged = materialize(judged, "op10judged")
+    mid = judged.agg(*[F.percentile_approx(F.when(c, F.col("llr")), 0.5, 100_000) for c in (~F.col("seeded"), F.col("seeded"))]).first()
+    accepted = mid[0] or 0.0
+    off = judged.filter("not seeded").agg(F.percentile_approx(F.abs(F.col("llr") - accepted), 0.5, 100_000)).first()[0] or 0.0
+    cut = max(accepted + spread * 1.4826 * off, (accepted + mid[1]) / 2 if mid[1] is not None else 0.0, 0.0)
+
+    ask = src.select("fold", F.when(F.col("ruled").isNull(), F.col("norm")).otherwise("").alias("norm"), "page_id", "host", "path", "rule", "ruled")
+    out = ask.mapInArrow(_score(shipped), "page_id long, host string, path string, rule string, ruled string, llr double")
+    verdict = F.coalesce("ruled", F.when(F.col("llr") > cut, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "llr")

@@ -321,10 +321,6 @@ def test_urls(spark):
     for r in url_filter.judge_urls(df).collect():
         host, path, rule, verdict = brute_url(urls[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict is None or r["verdict"] == verdict)
-        if rule is None and re.search("casino-win|pills|spam-farm", host):
-            assert r["verdict"] == "block"
-        if rule is None and host.startswith(("thth", "blog.th")):
-            assert r["verdict"] == "allow"
 
 
 # ---- pipeline
