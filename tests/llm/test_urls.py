@@ -58,10 +58,9 @@ def test_planted_urls_outside_the_seeds(spark):
     got = [v for _, v in sorted((r["page_id"], r["verdict"]) for r in rows if r["page_id"] >= 10**9)]
     assert got[:2] == ["block"] * 2 and got[8:] == ["allow"] * 3
     assert got[2:8].count("block") >= 3  # no seed word in these hosts: half of them are found, as measured
-    # without one of the words, the other marks still block most of what it marked
-    seeds = [s for s in U.SEEDS if s not in ("cheap", "pills")]
-    less = [r["verdict"] for r in U.judge_urls(have, seeds=seeds).filter("rule is null and host like '%cheap-pills%'").collect()]
-    assert less and np.mean([v == "block" for v in less]) > 0.9
+    # what two of the words marked is judged by the rules' verdicts without them; all else stays
+    less = U.judge_urls(have, seeds=[s for s in U.SEEDS if s not in ("cheap", "pills")]).filter("rule is null and host like '%-%' and host not like '%cheap%'").collect()
+    assert less and all(r["verdict"] == "block" for r in less)
     assert not any(r["verdict"] == "block" and r["rule"] is None and "-" not in r["host"] and r["page_id"] < 10**9 for r in rows)
 
 
