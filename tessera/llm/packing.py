@@ -14,7 +14,9 @@ these few lengths are extra transitions.
 The stream is solved in stretches of about ``stretch`` ids; the last window of a stretch stays open and is carried
 into the next one, so memory is bounded and cuts do not depend on the ends of Arrow batches for more
 than one window.  There is no shuffle: a partition is packed where it is read, and sequence ids hold the
-number of the partition.  Null and empty texts are the single end id.  Repeated rows are packed each.
+number of the partition.  Ids are those of the vocabulary's own library, strings of special tokens in a text included.
+Null and empty texts are the single end id, an empty table gives an empty result.  Repeated rows are packed each; very long texts are
+encoded whole and cut.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -127,7 +129,7 @@ RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack(vocab: str, width: int, stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocab)
+        encode = encoder(vocab, special=True)
         stream = _Stream(sentence_ends(vocab), width)
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
