@@ -1,7 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Each page becomes a small tree.  Elements that are never article text (navigation, header, footer, asides, forms,
-scripts, hidden parts) and elements whose class, id or role says so (adverts, menus, notices, comments) are dropped.
+scripts, hidden parts) are dropped; of a header inside an article the headings stay.  A class, id or role marks an element as an advert,
+menu, notice or the like only when each word of one of its names says so or is a mere word of layout ("ad-box", not "no-ads" or "social-science").
+Marked elements are dropped, but for those around an article or main element and those that hold most of the paragraph
+text; marked comments are dropped unless an article or main element is in them.
 Paragraphs pass points, one plus their commas plus their length up to three hundred characters, to their ancestors: all to the
 parent, half to the grandparent, less to the next two.  A container's score is discounted by the share of its text inside links.
 The best container is kept, widened to the article or main element around it, with those of its siblings that score
@@ -35,37 +38,82 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROP = frozenset("head nav header footer aside form button select option datalist fieldset menu dialog script style noscript template "
                  "iframe object embed applet svg math canvas audio video map textarea title input".split())
 #: Words in a class, id or role that mark what is not article text.
-DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners promo promoted promotion sponsor sponsored sponsors "
+DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner banners promo promoted promotion sponsor sponsored sponsors "
                        "nav navbar navigation menu menus sidebar sidebars aside header masthead footer contentinfo complementary breadcrumb "
-                       "breadcrumbs pagination pager comment comments commentlist disqus reply replies respond cookie cookies consent gdpr "
-                       "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
-                       "social related recommended widget toolbar search skip".split())
+                       "breadcrumbs pagination pager cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
+                       "subscribe subscription signup login share sharing social related recommended widget toolbar search skip".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words of layout, which say nothing alone.
+LAYOUT_WORDS = frozenset("area bar block body bottom box btn button buttons col column container desktop fixed global group holder icon icons inner item items "
+                         "left link links list message messages mobile module outer page panel posts primary region right row secondary section site slot "
+                         "sticky stories text thread title top unit wrap wrapper x zone".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Why an element is dropped: never, always, by its names, by names of comments.
+KEEP, ALWAYS, MARKED, COMMENT = range(4)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "drop", "points", "chars", "linked", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: int = KEEP):
         self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
         self.points = 0.0
         self.chars = self.linked = self.commas = 0
 
 
-def _dropped(tag: str, attrs: str) -> bool:
+def _named(value: str) -> int:
+    """What the names of a class, id or role say."""
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        telling = {w for w in words if not w.isdigit()} - LAYOUT_WORDS
+        if telling and telling <= DROP_WORDS | COMMENT_WORDS:
+            return COMMENT if telling & COMMENT_WORDS else MARKED
+    return KEEP
+
+
+def _dropped(tag: str, attrs: str) -> int:
     if tag in DROP:
-        return True
+        return ALWAYS
     if not attrs or tag in ("html", "body"):
-        return False
-    words: set[str] = set()
+        return KEEP
+    why = KEEP
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORD.findall(value))
+            why = max(why, _named(value))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return bool(words & (COMMENT_WORDS if tag in ("article", "main") else DROP_WORDS))
+            return ALWAYS
+    if tag in HEADINGS or (tag in ("article", "main") and why == MARKED):
+        return KEEP
+    return why
+
+
+def _settle(root: Node) -> None:
+    """Decide on the marked elements, and keep the headings of headers inside articles."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node.tag == "header" and inside:
+            node.drop = KEEP
+            node.children = [x for x in node.children if not isinstance(x, str) and (x.tag in HEADINGS or x.tag == "hgroup")]
+        if node.drop == ALWAYS:
+            continue
+        order.append(node)
+        inside = inside or node.tag in ("article", "main")
+        stack.extend((c, inside) for c in node.children if not isinstance(c, str))
+    text, holds = {id(x): 0 for x in order}, {id(x): False for x in order}
+    for node in reversed(order):
+        if node.drop == COMMENT:
+            text[id(node)] = 0
+        elif node.tag in ("p", "pre", "blockquote"):
+            text[id(node)] += sum(len(c) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            text[id(node.parent)] += text[id(node)]
+            holds[id(node.parent)] |= holds[id(node)] or (node.tag in ("article", "main") and node.drop == KEEP)
+    for node in order:
+        if holds[id(node)] or (node.drop == MARKED and 2 * text[id(node)] > text[id(root)]):
+            node.drop = KEEP
 
 
 def parse(page: str) -> Node:
@@ -113,7 +161,7 @@ def parse(page: str) -> Node:
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, pos)
-            node.drop = True
+            node.drop = ALWAYS
             pos = end.end() if end else n
         elif tag not in VOID and not attrs.endswith("/"):
             at = node
@@ -179,6 +227,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     order = _measure(root)
     scored = [x for x in order if x.points > 0 and x.tag not in INLINE and x.tag != "html"]
     if not scored:
