@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.session import materialize
 
 U64 = np.uint64
 _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
@@ -54,3 +61,35 @@ def lists(parts: list[np.ndarray], dtype, valid: list[bool] | None = None) -> pa
     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
     mask = None if valid is None else pa.array([not v for v in valid])
     return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)
+
+
+#: The name of the key that ``row_keys`` adds.
+ROW = "__row"
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row that stays the same whenever it is read: its file and its place there.
+    What is not plainly read from Parquet is written first."""
+    try:
+        assert docs._jdf.queryExecution().analyzed().children().isEmpty()
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except (AnalysisException, AssertionError):
+        docs = materialize(docs, "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    # one row per file, not per document
+    files = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    files = materialize(files.withColumn("__no", F.row_number().over(W.orderBy("__file")).cast("long")), "files")
+    key = F.shiftleft("__no", 40).bitwiseOR(F.col("__at"))
+    return placed.join(F.broadcast(files), "__file").select(*docs.columns, key.alias(ROW))
+
+
+@contextmanager
+def freed(spark: SparkSession):
+    """Within, Spark drops the shuffle files of a query when it ends, so they do not pile up over the steps of a long job."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -1,25 +1,32 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of the words of trusted text.
 
-The model is over characters inside white-space-delimited words (order four, word ends included), so junk, shouting
-and markup cost as much as strange words do.  Counting is one pass over all trusted texts with a combine
-in each task; everything after it is DataFrame work on the gram table: continuation counts, the three discounts
-of each order, context weights, and joins that give each gram its interpolated probability.
+Words are runs without ASCII white space.  A text is its words and an end sign, behind ``order`` - 1 start signs.  The model
+is counted by shuffles on 64-bit keys of n-grams and stays a table, sharded by key; nothing of it reaches the driver but four
+counts of counts per order:
 
-A text's perplexity is the mean over its characters.  It is kept when its perplexity is at most the
-``quantile`` of the trusted texts of its language (all trusted texts where a language has fewer than
-``least_trusted``).  Languages are the rows' ``lang``; null is a language of its own.
+* the highest order has counts, lower ones the number of distinct grams one longer that end in theirs;
+* each order has three discounts, a context's back-off weight is what they free, and below the words all is uniform.
 
-The gram table is shipped to the tasks only up to ``broadcast_grams`` rows, after counting it; a larger one is joined
-to the distinct words by gram and to the documents by word, with the same scores.
+Scoring.  With the log probabilities written as corrections of the next shorter gram,
 
-Texts without words (null, empty, white space) have a null perplexity and are rejected.  Without trusted text
-nothing can be judged and all texts with words are kept.  Repeated labels: one trusted label is enough unless
-another one of the same id says otherwise.
+    log p(w | context) = log p(unknown) + sum over orders of  v(gram) + b(context),
+    v(gram) = log P(gram) - b(context) - log P(gram without its first word), 0 if unseen,   b = log back-off weight, 0 if unseen,
+
+so a text's score is a sum over its grams of all orders and (key, v + b) is all that is joined: documents give rows (row, key,
+count), each gram of a document once.  The join runs in ``shards`` parts of the key space one after the other, so only a part of
+the grams is on disk at a time.
+
+A text is kept when its perplexity per word is at most the ``quantile`` of trusted texts of its language that the model has
+not seen: a fifth of them, by hash of the id, is held out (all languages' where a language holds out fewer than ``least_trusted``).
+Languages are the rows' ``lang``; null is a language of its own.
+
+Texts without words (null, empty, white space) have a null perplexity and are rejected.  Without trusted text nothing can be
+judged and all texts with words are kept.  Repeated rows and ids are judged each; a null id is never trusted.  A trusted
+label counts unless another one of the same id says otherwise.  An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import rows
-from tessera.llm.grams import START, WordCache, packed
-from tessera.session import materialize
+from tessera.llm.common import U64, freed, mix, row_keys, rows, word_hashes
+from tessera.session import discard, materialize
 
-ORDER = 4
-#: Distinct words that a task holds before it passes its counts on.
-FLUSH = 100_000
+#: Words of a gram; see the README for what a longer one costs.
+ORDER = 2
+SHARDS = 4
+START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
+_M1 = U64(0x9E3779B97F4A7C15)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -42,180 +51,143 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .filter("q = 1 and t = 0").select(F.col("doc_id").cast("long").alias("doc_id")))
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def grams(words: Counter) -> pa.RecordBatch:
-        _, place, keys = packed(list(words), ORDER)
-        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(w) + 1 for w in words])
-        ks, vs, cs = [], [], []
-        for k in range(1, ORDER + 1):
-            # full-length grams, and shorter ones that begin a word: nothing can stand before those
-            use = (keys[k - 1] != 0) & ((k == ORDER) | (place == k - 1))
-            if use.any():
-                v, inv = np.unique(keys[k - 1][use], return_inverse=True)
-                ks.append(np.full(len(v), k))
-                vs.append(v)
-                cs.append(np.bincount(inv, n[use]).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(vs).view(np.int64)),
-                                           pa.array(np.concatenate(cs))], ["k", "g", "n"])
-
-    words: Counter = Counter()
-    for b in rows(batches):
-        for text in b.column(0).to_pylist():
-            if text:
-                words.update(text.split())
-        if len(words) > FLUSH:
-            yield grams(words)
-            words.clear()
-    if words:
-        yield grams(words)
-
-
-def _context(g="g"):
-    return F.shiftrightunsigned(g, 16)
-
-
-def fit(texts: DataFrame) -> DataFrame:
-    """The model of a table (text): rows (k, g, logp, logb); logb is the back-off weight of g as a context, null if it is none."""
-    raw = materialize(texts.select("text").mapInArrow(_count_grams, "k long, g long, n long")
-                      .groupBy("k", "g").agg(F.sum("n").alias("n")), "op9raw")
-    counts = {ORDER: raw.filter(F.col("k") == ORDER).select("g", "n")}
-    for k in range(ORDER - 1, 0, -1):
-        mask = (1 << (16 * k)) - 1
-        cont = counts[k + 1].select(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-        begins = raw.filter(F.col("k") == k).select("g", "n")
-        counts[k] = materialize(cont.union(begins).groupBy("g").agg(F.sum("n").alias("n")), "op9cont")
-    lower, parts = None, []
-    for k in range(1, ORDER + 1):
-        c = counts[k]
-        nn = c.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all")).first()
-        y = nn["c1"] / max(1, nn["c1"] + 2 * nn["c2"])
-        d = [min(i, max(0.0, i - (i + 1) * y * nn[f"c{i + 1}"] / max(1, nn[f"c{i}"]))) if nn[f"c{i}"] else 0.5 for i in (1, 2, 3)]
-        d = [x if 0 < x < i else 0.5 * i for i, x in zip((1, 2, 3), d, strict=True)]
-        disc = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        c = c.withColumn("h", _context()).withColumn("disc", disc)
-        ctx = c.groupBy("h").agg(F.sum("n").alias("total"), F.sum("disc").alias("off")).withColumn("gamma", F.col("off") / F.col("total"))
-        p = c.join(ctx, "h").withColumn("own", (F.col("n") - F.col("disc")) / F.col("total"))
-        if k == 1:
-            p = p.withColumn("p", F.col("own") + F.col("gamma") / (nn["all"] + 1))
-            floor = ctx.select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("g"),
-                               F.log(F.lit(1.0) / (nn["all"] + 1)).alias("logp"), F.log("gamma").alias("logb"))
-            parts.append(floor)
-        else:
-            mask = (1 << (16 * (k - 1))) - 1
-            p = p.withColumn("low", F.col("g").bitwiseAND(F.lit(mask))).join(lower, "low", "left") \
-                .withColumn("p", F.col("own") + F.col("gamma") * F.coalesce("plow", F.lit(1e-9)))
-            parts.append(ctx.select(F.lit(-1).alias("k"), F.col("h").alias("g"), F.lit(None).cast("double").alias("logp"),
-                                    F.log("gamma").alias("logb")))
-        p = materialize(p.select("g", "p"), "op9p")
-        lower = p.select(F.col("g").alias("low"), F.col("p").alias("plow"))
-        parts.append(p.select(F.lit(k).alias("k"), "g", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb")))
-    model = parts[0]
-    for x in parts[1:]:
-        model = model.union(x)
-    # a gram and a context with the same packed key are the same characters: one row holds both
-    return materialize(model.groupBy("g").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb")), "op9model")
-
-
-class Model:
-    """The gram table as sorted arrays; scores words."""
-
-    def __init__(self, g: np.ndarray, logp: np.ndarray, logb: np.ndarray):
-        i = np.argsort(g.astype(np.int64).view(np.uint64), kind="stable")
-        self.g, self.logp, self.logb = g.astype(np.int64).view(np.uint64)[i], logp[i].astype(np.float32), logb[i].astype(np.float32)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.g, keys), len(self.g) - 1)
-        return np.where(self.g[i] == keys, i, -1)
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word, its end included."""
-        word, place, keys = packed(words, ORDER)
-        total, open_ = np.zeros(len(word)), np.ones(len(word), bool)
-        for k in range(ORDER, 0, -1):
-            at = np.flatnonzero(open_ & (keys[k - 1] != 0) & (place >= k - 1))
-            i = self._find(keys[k - 1][at])
-            hit = (i >= 0) & ~np.isnan(self.logp[i])
-            total[at[hit]] += self.logp[i[hit]]
-            open_[at[hit]] = False
-            miss = at[~hit]
-            j = self._find(keys[k - 1][miss] >> np.uint64(16))
-            b = np.where(j >= 0, self.logb[j], np.nan)
-            total[miss] += np.where(np.isnan(b), 0.0, b)
-        zero = self._find(np.zeros(1, np.uint64))[0]
-        total[open_] += self.logp[zero]
-        return np.bincount(word, total, len(words))
-
-
-def _score(model: Model):
+def gram_keys(text: str, order: int) -> list[np.ndarray]:
+    """For k = 1..order the keys of the k-grams that end at each sign, start signs included; 0 where there are none."""
+    w = word_hashes(text.encode("utf-8", "surrogatepass").split())
+    h = np.concatenate([np.full(max(1, order - 1), START, U64), w, np.array([END], U64)])
+    keys = [h]
+    for k in range(2, order + 1):
+        key = np.zeros(len(h), U64)
+        key[k - 1:] = mix((mix(keys[-1][k - 2:-1] + U64(k)) + h[k - 1:]) * _M1)
+        keys.append(key)
+    return keys
+
+
+def _grams(order: int):
+    """(o, k, s, c, n): each gram of a predicted word, the gram without its first word, its context; n counts the longest ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches, 2000):
+            held: list[list[tuple]] = [[] for _ in range(order + 1)]
+            for text in b.column(0).to_pylist():
+                if text:
+                    keys = gram_keys(text, order)
+                    for k in range(max(2, 1), order + 1):
+                        lead = max(1, order - 1)
+                        held[k].append((keys[k - 1][lead:], keys[k - 2][lead:], keys[k - 2][lead - 1:-1]))
+            for k in range(2, order + 1):
+                if held[k]:
+                    g, s, c = (np.concatenate(x) for x in zip(*held[k], strict=True))
+                    v, at, n = np.unique(g, return_index=True, return_counts=True)
+                    cols = [np.full(len(v), k, np.int32), v.view(np.int64), s[at].view(np.int64), c[at].view(np.int64), n if k == order else np.zeros(len(v), np.int64)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["o", "k", "s", "c", "n"])
+    return run
+
+
+def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[DataFrame, float]:
+    """The model of a table (text): rows (k, v, shard), and the log probability of an unknown word.  order is at least 2."""
+    with freed(texts.sparkSession):
+        raw = materialize(texts.select("text").mapInArrow(_grams(order), "o int, k long, s long, c long, n long")
+                          .groupBy("o", "k").agg(F.min("s").alias("s"), F.min("c").alias("c"), F.sum("n").alias("n")), "op9raw")
+        counts = {order: raw.filter(F.col("o") == order)}
+        for o in range(order - 1, 0, -1):
+            cont = counts[o + 1].groupBy(F.col("s").alias("k")).agg(F.count("*").alias("n"))
+            counts[o] = materialize(raw.filter(F.col("o") == o).select("k", "s", "c").join(cont, "k") if o > 1 else cont, "op9cont")
+        lower, values, unknown = None, None, 0.0
+        for o in range(1, order + 1):
+            c = counts[o]
+            nn = c.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all")).first()
+            d = discounts([nn[f"c{i}"] for i in (1, 2, 3, 4)])
+            c = c.withColumn("disc", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+            if o == 1:
+                t = c.agg(F.sum("n").alias("total"), F.sum("disc").alias("off")).first()
+                if not t["total"]:
+                    return values_of(c.select("k", F.lit(0.0).alias("v")), shards), 0.0
+                uniform = t["off"] / t["total"] / (nn["all"] + 1)
+                unknown = float(np.log(uniform))
+                p = c.select("k", F.log((F.col("n") - F.col("disc")) / t["total"] + uniform).alias("logp"))
+                part = p.select("k", (F.col("logp") - unknown).alias("v"))
+            else:
+                ctx = c.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("disc") / F.sum("n")).alias("free"))
+                p = (c.select("k", "s", "c", (F.col("n") - F.col("disc")).alias("own"))
+                     .join(lower.select(F.col("k").alias("s"), F.col("logp").alias("low")), "s").join(ctx, "c")
+                     .select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b")))
+                part = p.select("k", (F.col("logp") - F.col("low") - F.col("b")).alias("v")).union(ctx.select(F.col("c").alias("k"), F.log("free").alias("v")))
+                p = p.select("k", "logp")
+            if o < order:
+                p = materialize(p, "op9p")
+            lower, values = p, part if values is None else values.union(part)
+        out = values_of(values, shards)
+        discard(raw, *[counts[o] for o in range(1, order)])
+        return out, unknown
+
+
+def values_of(values: DataFrame, shards: int) -> DataFrame:
+    """One row per key: a gram's own value and its weight as a context add up."""
+    return materialize(values.groupBy("k").agg(F.sum("v").cast("float").alias("v")).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")), "op9model")
+
+
+def discounts(n: list[int]) -> list[float]:
+    """The three discounts from the numbers of grams seen 1 to 4 times; half of the count where they are not usable."""
+    y = n[0] / max(1, n[0] + 2 * n[1])
+    d = [i - (i + 1) * y * n[i] / max(1, n[i - 1]) for i in (1, 2, 3)]
+    return [x if 0 < x < i and n[i - 1] else 0.5 * i for i, x in zip((1, 2, 3), d, strict=True)]
+
+
+def _document_grams(order: int, shards: int, shard: int):
+    """(rid, k, n): the distinct grams of each document whose keys belong to the shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(model.words)
-        for b in rows(batches):
-            texts = [(t or "").split() for t in b.column(1).to_pylist()]
-            cache.learn(texts)
-            logp = [float(cache.of(w).sum()) if w else None for w in texts]
-            n = [sum(map(len, w)) + len(w) for w in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([None if x is None else float(np.exp(-x / m)) for x, m in zip(logp, n, strict=True)], pa.float64())],
-                ["doc_id", "lang", "perplexity"])
+        lead = max(1, order - 1)
+        for b in rows(batches, 64):
+            ids, ks, ns = [], [], []
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text and not text.isspace():
+                    keys = gram_keys(text, order)
+                    # all grams but the longest also serve as contexts: those of the start signs come along
+                    every = np.concatenate([*(k[lead - 1:] for k in keys[:-1]), keys[-1][lead:]]).view(np.int64)
+                    k, n = np.unique(every[every % shards == shard], return_counts=True)
+                    ids.append(np.full(len(k), rid, np.int64))
+                    ks.append(k)
+                    ns.append(n)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ks, ns)], ["rid", "k", "n"])
     return run
 
 
-def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in rows(batches, 20_000):
-        words = b.column(0).to_pylist()
-        word, place, keys = packed(words, ORDER)
-        cols = [pa.array([words[i] for i in word])] + [pa.array(np.where(place >= k - 1, x, 0).view(np.int64)) for k, x in enumerate(keys, 1)]
-        yield pa.RecordBatch.from_arrays(cols, ["w", "g1", "g2", "g3", "g4"])
-
-
-def _score_sharded(src: DataFrame, model: DataFrame) -> DataFrame:
-    """The scores of ``Model`` by joins: grams to the distinct words, word scores to the documents."""
-    docs = src.withColumn("rid", F.expr("uuid()"))
-    docs = materialize(docs, "op9docs")
-    words = docs.select("rid", F.explode(F.split(F.trim(F.regexp_replace("text", r"[\s\x1c-\x1f\x85   -     　]+", " ")), " ")).alias("w")) \
-        .filter("w <> ''").groupBy("rid", "w").agg(F.count("*").alias("n"))
-    words = materialize(words, "op9words")
-    parts = words.select("w").distinct().mapInArrow(_word_parts, "w string, g1 long, g2 long, g3 long, g4 long")
-    for k in range(1, ORDER + 1):
-        m = model.filter("g <> 0 and logp is not null").select(F.col("g").alias(f"g{k}"), F.col("logp").alias(f"p{k}"))
-        c = model.filter("logb is not null").select(F.col("g").alias(f"h{k}"), F.col("logb").alias(f"b{k}"))
-        parts = parts.join(m, f"g{k}", "left").withColumn(f"h{k}", _context(f"g{k}")).join(c, f"h{k}", "left") \
-            .withColumn(f"b{k}", F.when(F.col(f"g{k}") != 0, F.coalesce(f"b{k}", F.lit(0.0))).otherwise(0.0))
-    zero = model.filter("g = 0").select(F.col("logp").alias("p0"))
-    score, off = None, F.lit(0.0)
-    for k in range(ORDER, 0, -1):
-        term = F.col(f"p{k}") + off
-        score = F.when(F.col(f"p{k}").isNotNull(), term) if score is None else score.when(F.col(f"p{k}").isNotNull(), term)
-        off = off + F.col(f"b{k}")
-    parts = parts.crossJoin(F.broadcast(zero)).withColumn("s", score.otherwise(F.col("p0") + off))
-    scored = parts.groupBy("w").agg(F.sum("s").alias("s"))
-    doc = words.join(scored, "w").groupBy("rid").agg(F.sum(F.col("s") * F.col("n")).alias("logp"), F.sum((F.length("w") + 1) * F.col("n")).alias("m"))
-    return docs.join(doc, "rid", "left").select("doc_id", "lang", F.exp(-F.col("logp") / F.col("m")).alias("perplexity"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          quantile: float = 0.995, least_trusted: int = 30, broadcast_grams: int = 4_000_000,
-          broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Return (doc_id, lang, perplexity, threshold, keep), one row per document."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                      F.col(lang_col).cast("string").alias("lang"))
-    ids = materialize(trusted_ids(labels), "op9ids")
-    small = ids.count() <= broadcast_ids
-    near = F.broadcast(ids) if small else ids
-    model = fit(src.join(near, "doc_id", "left_semi"))
-    size = model.count()
-    if size <= 1:
-        scored = src.select("doc_id", "lang", F.when(F.length(F.trim("text")) > 0, 1.0).alias("perplexity"))
-    elif size <= broadcast_grams:
-        t = model.toPandas()
-        scored = src.mapInArrow(_score(Model(*(t[c].to_numpy() for c in ("g", "logp", "logb")))), "doc_id long, lang string, perplexity double")
+def score(keyed: DataFrame, model: DataFrame, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
+    """(rid, s): the sum of the values of each document's grams, from (rid, text); documents without a known gram are absent."""
+    parts = None
+    for shard in range(shards):
+        with freed(keyed.sparkSession):
+            mine = keyed.select("rid", "text").mapInArrow(_document_grams(order, shards, shard), "rid long, k long, n long")
+            part = mine.join(model.filter(F.col("shard") == shard).select("k", "v"), "k").groupBy("rid").agg(F.sum(F.col("v") * F.col("n")).alias("s"))
+            part = materialize(part, "op9part")
+        parts = part if parts is None else parts.union(part)
+    return parts.groupBy("rid").agg(F.sum("s").alias("s"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", unique: bool = False,
+          quantile: float = 0.995, least_trusted: int = 30, held_out: int = 5, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
+    """Return (doc_id, lang, perplexity, threshold, keep), one row per document.  ``unique`` says that the ids are keys of the rows."""
+    src = docs if unique else row_keys(docs)
+    src = src.select(F.col(id_col if unique else "__row").cast("long").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
+                     F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    ids = materialize(trusted_ids(labels).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0), "op9ids")
+    texts = src.join(ids.filter("not held").select("doc_id"), "doc_id", "left_semi")
+    model, unknown = fit(texts, order, shards)
+    base = src.select("rid", "doc_id", "lang", F.regexp_count("text", F.lit(WORD)).alias("m"))
+    if unknown == 0.0:
+        scored = base.select("doc_id", "lang", F.when(F.col("m") > 0, 1.0).alias("perplexity"))
     else:
-        scored = _score_sharded(src, model)
+        logp = F.coalesce("s", F.lit(0.0)) + unknown * (F.col("m") + 1)
+        scored = base.join(score(src, model, order, shards), "rid", "left").select(
+            "doc_id", "lang", F.when(F.col("m") > 0, F.exp(-logp / (F.col("m") + 1))).alias("perplexity"))
     scored = materialize(scored, "op9score")
-    seen = scored.join(near, "doc_id", "left_semi").filter("perplexity is not null")
+    discard(model)
+    seen = scored.join(ids.filter("held").select("doc_id"), "doc_id", "left_semi").filter("perplexity is not null")
     q = lambda: F.percentile_approx("perplexity", quantile, 100_000)
     per = seen.groupBy("lang").agg(q().alias("own"), F.count("*").alias("c")).filter(F.col("c") >= least_trusted)
     every = seen.agg(q().alias("all"))
+    # one row per language, and one row
     return (scored.join(F.broadcast(per.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")), "left")
             .crossJoin(F.broadcast(every)).withColumn("threshold", F.coalesce("own", "all"))
             .select("doc_id", "lang", "perplexity", "threshold",

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html_text, langid, ngram_join, packing, pii, quality, token_counts, url_filter
+from tessera.llm import decontaminate, embedding_dedup, html_text, langid, ngram_join, packing, pii, token_counts, url_filter
 from tessera.llm.tokenize import default_vocab, encoder
 from tests.conftest import DATA
 
@@ -275,32 +275,6 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "please phone [phone] today and see the report of 2024 pages" and clean[8] == "please phone [id] today"
 
 
-# ---- 9 quality
-
-def test_quality_model(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    extra = spark.createDataFrame([(-1, None), (-2, " ")], "doc_id long, text string").selectExpr("doc_id", "text", "null as lang", "'s' as source", "0L as n_chars")
-    a = quality.judge(docs.union(extra), labels).toPandas().set_index("doc_id").sort_index()
-    b = quality.judge(docs.union(extra), labels, broadcast_grams=0).toPandas().set_index("doc_id").sort_index()
-    assert np.allclose(a["perplexity"].fillna(-1), b["perplexity"].fillna(-1), rtol=1e-3)
-    t = labels.filter("quality = 1 and toxic = 0").toPandas()["doc_id"]
-    assert a.loc[t, "keep"].mean() > 0.98 and not a.loc[[-1, -2], "keep"].any()
-    bad = labels.filter("quality = 0").toPandas()["doc_id"]
-    assert a.loc[bad, "keep"].mean() < 0.35
-    assert quality.judge(docs, labels.limit(0)).filter("keep").count() == docs.filter("length(trim(text)) > 0").count()
-
-
-def test_model_sums_to_one(spark):
-    m = quality.fit(spark.createDataFrame([("abab abba cab",), ("bac cab abc aabb",), ("ccab bbac",)], "text string")).toPandas()
-    model = quality.Model(*(m[c].to_numpy() for c in ("g", "logp", "logb")))
-    # the scores of a word's continuations differ from the word's by one character's probability: over all characters they sum to at most one
-    for head in ("a", "ab", "ca"):
-        words = [head + c for c in "abc"]
-        with_end = model.words(words + [head])
-        stem = [float(x) for x in with_end]
-        assert sum(np.exp(stem)) <= 1.0 + 1e-6
-
-
 # ---- 10 urls
 
 def brute_url(url):
