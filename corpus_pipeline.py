@@ -9,34 +9,14 @@ has its own verdict.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, packing, pii, quality
+from tessera.llm.common import ROW, row_keys
 from tessera.session import materialize, table
 
 
-ROW = "__row"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row that stays the same whenever it is read: its file and its place there.
-    What is not plainly read from Parquet is written first."""
-    try:
-        assert docs._jdf.queryExecution().analyzed().children().isEmpty()
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except (AnalysisException, AssertionError):
-        docs = materialize(docs, "rows")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    # one row per file, not per document
-    files = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
-    files = materialize(files.withColumn("__no", F.row_number().over(W.orderBy("__file")).cast("long")), "files")
-    key = F.shiftleft("__no", 40).bitwiseOR(F.col("__at"))
-    return placed.join(F.broadcast(files), "__file").select(*docs.columns, key.alias(ROW))
-
-
 def _keep(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``keyed`` whose key is in ``rows`` (doc_id: row keys, unique), without the key."""
     kept = keyed.join(rows.select(F.col("doc_id").alias("__keep")), F.col(ROW) == F.col("__keep"), "left_semi")
@@ -45,15 +25,15 @@ def _keep(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model rejects go.  Each row of a repeated id has the labels of that id."""
-    keyed = _keyed(docs)
+    keyed = row_keys(docs)
     labels = table(spark, sf_dir, "labels")
     labels = labels.join(keyed.select("doc_id", ROW), "doc_id").drop("doc_id").withColumnRenamed(ROW, "doc_id")
-    return _keep(keyed, quality.judge(keyed, labels, id_col=ROW).filter("keep"))
+    return _keep(keyed, quality.judge(keyed, labels, id_col=ROW, unique=True).filter("keep"))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the one of the least id, null last, and one of those among equal ids."""
-    keyed = _keyed(docs)
+    keyed = row_keys(docs)
     groups = ngram_join.ngram_components(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     chosen = groups.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias("doc_id"))
@@ -62,7 +42,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
-    keyed = _keyed(docs)
+    keyed = row_keys(docs)
     verdict = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=ROW)
     return _keep(keyed, verdict.filter("not contaminated"))
 
