@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 #: Cyrillic letters and their Latin spelling.
 LATIN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
@@ -177,3 +180,88 @@ def text_type(c) -> Column:
     return (F.when(t.rlike(r"^(19|20)[0-9]{2}$"), kind("year", 0.95)).when(t.rlike(r"^[0-9]{8,14}$"), kind("barcode", 0.9))
             .when(t.rlike(r"[0-9]+([.,][0-9]+)?\s*%"), kind("percentage", 0.9)).when(t.rlike(r"[0-9]+([.,][0-9]+)?\s*(ml|l|мл|л)\b"), kind("volume", 0.85))
             .when(t.rlike(r"^[0-9\s.,-]+$"), kind("number", 0.6)).when(t.rlike(r"\p{L}"), kind("text", 0.5)).otherwise(kind("other", 0.1)))
+
+
+#: Short tokens that are meant.
+SHORT_TERMS = r"(?i)^(xo|vs|igp|doc|aoc|docg)$"
+
+
+def observation_validity(c, confidence, width, height, line: Column) -> tuple[Column, Column, Column]:
+    """(score, valid, reasons) of a recognised text: confidence in percent, its box and whether it is a line."""
+    t, one, zero = col(c), F.lit(1.0), F.lit(0.0)
+    chars = F.regexp_replace(t, r"\s", "")
+    letters = F.regexp_replace(t, r"[^\p{L}\p{N}]", "")
+    n = F.length(letters)
+    distinct = F.size(F.array_distinct(F.filter(F.split(F.lower(letters), ""), lambda x: x != "")))
+    conf = F.greatest(zero, F.least(one, F.coalesce(col(confidence), zero) / 100))
+    share = F.when(F.length(chars) > 0, n / F.length(chars)).otherwise(zero)
+    diversity = F.when(n > 0, distinct / n).otherwise(zero)
+    aspect = col(width) / F.greatest(F.lit(0.0001), col(height))
+    plausible = aspect.between(0.12, 35) & (col(height) >= 0.006)
+    short = t.rlike(r"^(19|20)[0-9]{2}$") | t.rlike(r"^[0-9]{2,4}$") | t.rlike(SHORT_TERMS)
+    score = F.round(conf * 0.4 + F.least(one, n / F.when(line, 10).otherwise(5)) * 0.18 + diversity * 0.14 + share * 0.16 + plausible.cast("double") * 0.12, 4)
+    why = F.array_compact(F.array(
+        F.when(n == 0, F.lit("NO_ALPHANUMERIC_CONTENT")), F.when((n <= 2) & (conf < 0.45) & ~short, F.lit("LOW_CONFIDENCE_SHORT_TEXT")),
+        F.when(share < 0.5, F.lit("LOW_ALPHANUMERIC_RATIO")), F.when(~plausible, F.lit("IMPLAUSIBLE_BBOX_GEOMETRY"))))
+    valid = short | ((F.size(why) == 0) & (score >= 0.38))
+    none = F.expr("cast(array() as array<string>)")
+    return score, valid, F.when(valid, none).when(F.size(why) > 0, why).otherwise(F.array(F.lit("LOW_VALIDITY_SCORE")))
+
+
+def search_forms(*parts) -> Column:
+    """All spellings under which a row is found: each part and its tokens as they are and with look-alike letters of either script."""
+    none = F.expr("cast(array() as array<string>)")
+    def of(c) -> Column:
+        text = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(col(c).cast("string")), "ё", "е"), r"[^\p{L}\p{N}\s-]", " "), r"\s+", " "))
+        plain = F.concat(F.array(text), F.split(text, " "))
+        to_latin, to_cyrillic = LOOKALIKE, LOOKALIKE[::-1]
+        return F.when(F.length(text) > 0, F.concat(plain, *[F.transform(plain, lambda x, m=m: F.translate(x, *m)) for m in (to_latin, to_cyrillic)])).otherwise(none)
+    return F.array_join(F.filter(F.array_distinct(F.concat(*[F.coalesce(of(p), none) for p in parts])), lambda x: F.length(x) >= 2), " ")
+
+
+def aliases(title, maker, category, region, year, code, service: Sequence[str] = ()) -> Column:
+    """array<struct<value, type, weight>>: the names under which an item is known, blank ones left out, without repeats."""
+    words = F.filter(F.split(normalize_match_text(title), " "), lambda x: F.length(x) > 1)
+    bare = F.array_join(F.filter(words, lambda x: ~x.isin(*service)) if service else words, " ")
+    made = [(normalize_match_text(title), "normalized-title", 1.0), (bare, "title-without-service-words", 0.95), (normalize_match_text(maker), "manufacturer", 0.85),
+            (normalize_match_text(category), "category", 0.45), (normalize_match_text(region), "region", 0.4),
+            (normalize_match_text(col(year).cast("string")), "year", 0.25), (normalize_match_text(code), "barcode", 1.0)]
+    every = F.array(*[F.when(F.length(v) > 0, F.struct(v.alias("value"), F.lit(k).alias("type"), F.lit(w).alias("weight"))) for v, k, w in made])
+    return F.array_distinct(F.array_compact(every))
+
+
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity of two texts; 0 where one is null or empty.  For pairs that blocking has found."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+
+
+def phrase_spans(words: Sequence[str], lexicon: dict[str, list[tuple[str, ...]]]) -> list[tuple[int, int, str]]:
+    """(begin, end, phrase) of the longest phrases from left to right; lexicon: first word -> phrases as word tuples."""
+    out, i = [], 0
+    while i < len(words):
+        fits = [p for p in lexicon.get(words[i], ()) if tuple(words[i:i + len(p)]) == p]
+        best = max(fits, key=lambda p: (len(p), p), default=None)
+        if best:
+            out.append((i, i + len(best), " ".join(best)))
+        i += len(best) if best else 1
+    return out
+
+
+def recognise_phrases(tokens, phrases: Sequence[str]) -> Column:
+    """array<struct<begin, end, phrase>> of the phrases (a lexicon in memory, at most a few thousand) in an array of words."""
+    lexicon: dict[str, list[tuple[str, ...]]] = {}
+    for p in phrases:
+        lexicon.setdefault(p.split()[0], []).append(tuple(p.split()))
+
+    @F.pandas_udf(ArrayType(StructType().add("begin", "int").add("end", "int").add("phrase", "string")))
+    def run(t: pd.Series) -> pd.Series:
+        return pd.Series([[{"begin": b, "end": e, "phrase": p} for b, e, p in phrase_spans(list(x), lexicon)] if x is not None else None for x in t])
+    return run(col(tokens))
+
+
+def changed_paths(a, b) -> Column:
+    """Sorted names whose values differ between two maps, missing ones included."""
+    a, b = col(a), col(b)
+    names = F.array_union(F.map_keys(a), F.map_keys(b))
+    return F.array_sort(F.filter(names, lambda k: ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k))))

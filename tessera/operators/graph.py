@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)).filter("u <> v").distinct(), "cc")
+        old, e = e, materialize(_small_star(_large_star(e)).filter("u <> v").distinct(), "cc")
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

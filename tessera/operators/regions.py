@@ -1,10 +1,18 @@
-"""Order-dependent work inside one image: non-maximum suppression and consensus of overlapping regions."""
+"""Regions of images: joins by position, best pairs, duplicates, unions, suppression and consensus."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import geometry as K
+from tessera.functions import text as T
+from tessera.operators.graph import connected_components
 
 
 def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -44,3 +52,67 @@ def consensus(regions: DataFrame, least: float = 0.5, image: str = "image") -> D
         return pd.DataFrame(out, columns=[image, "text", "x", "y", "width", "height", "support", "score"])
     kind = dict(regions.dtypes)[image]
     return regions.groupBy(image).applyInPandas(run, f"{image} {kind}, text string, x double, y double, width double, height double, support long, score double")
+
+
+def inside(outer: DataFrame, inner: DataFrame, image: str, outer_box: str, inner_box: str, least: float = 0.62) -> DataFrame:
+    """Pairs of one image whose inner rectangle is covered to ``least`` or has its centre inside the outer one."""
+    j = outer.join(inner, image)
+    return j.filter((K.coverage(inner_box, outer_box) >= least) | K.centre_inside(inner_box, outer_box))
+
+
+def best_pair(objects: DataFrame, scored: DataFrame, image: str, object_key: Sequence[str], label_key: Sequence[str]) -> DataFrame:
+    """The object of each image with the best joint score: 0.62 of its own (object_score) and 0.38 of its best label's (label_score),
+    or its own alone where no label lies on it."""
+    keys = [image, *object_key]
+    order = W.partitionBy(*keys).orderBy(F.desc("label_score"), *label_key)
+    best = scored.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*keys, *label_key, "label_score")
+    joint = F.when(F.col("label_score").isNull(), F.col("object_score")).otherwise(F.col("object_score") * 0.62 + F.col("label_score") * 0.38)
+    top = W.partitionBy(image).orderBy(F.desc(F.round("joint", 9)), *object_key)
+    return objects.join(best, keys, "left").withColumn("joint", joint).withColumn("_r", F.row_number().over(top)).filter("_r = 1").drop("_r")
+
+
+def duplicate_regions(regions: DataFrame, image: str, key: Sequence[str], box: str, text: str, most: int = 5, **thresholds) -> DataFrame:
+    """For each region up to ``most`` others of its image that may be the same, by rectangle and text: the other's key with _2, total, class."""
+    other = regions.select(image, *[F.col(k).alias(f"{k}_2") for k in key], F.col(box).alias("_b"), F.col(text).alias("_t"))
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(k) == F.col(f"{k}_2")
+    both = (F.length(text) > 0) & (F.length("_t") > 0)
+    total, kind = K.duplicate_class("_g", "_s", **thresholds)
+    j = regions.join(other, image).filter(~same).withColumn("_g", K.overlap_similarity(box, "_b")).withColumn("_s", F.when(both, T.edit_similarity(text, "_t")))
+    j = j.withColumn("total", total).withColumn("class", kind).filter("class <> 'unlikely'")
+    order = W.partitionBy(image, *key).orderBy(F.desc(F.round("total", 9)), *[f"{k}_2" for k in key])
+    return j.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r", "_b", "_t", "_g", "_s")
+
+
+def reviewable(regions: DataFrame, crop: str, key: str, text: str, confidence: str, validity: str, support: str, consensus: str, semantic: Column,
+               order: Sequence[str], limit: int = 24) -> DataFrame:
+    """The ``limit`` best regions of a crop that a reviewer should see, with their quality and place in reading order."""
+    c, v, s, a = (F.col(x) for x in (confidence, validity, support, consensus))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    admitted = ((c >= 0.7) & (v >= 0.5)) | ((c >= 0.35) & (s >= 2) & (a >= 0.58) & (v >= 0.5)) | ((c >= 0.4) & semantic & (v >= 0.55))
+    q = regions.filter((letters >= 2) & admitted).withColumn("quality", c * 0.45 + v * 0.25 + a * 0.2 + F.least(F.lit(1.0), s / 3) * 0.1)
+    best = W.partitionBy(crop).orderBy(F.desc(F.round("quality", 9)), key)
+    q = q.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= limit).drop("_r")
+    return q.withColumn("place", F.row_number().over(W.partitionBy(crop).orderBy(*order)))
+
+
+def merge_fragments(boxes: DataFrame, image: str, n: str, group: str, contained: float = 0.82) -> DataFrame:
+    """Boxes (image, n: number in the image below 2^20, group, x, y, width, height) united where they overlap without one holding ``contained`` of
+    the smaller, or where they share a group: one row per union with its first number, members, bounds and mode."""
+    node = F.shiftleft(F.xxhash64(image) if dict(boxes.dtypes)[image] == "string" else F.col(image).cast("long"), 20) + F.col(n)
+    b = boxes.withColumn("_v", node).withColumn("_r", F.struct("x", "y", "width", "height"))
+    o = b.select(image, F.col("_v").alias("_w"), F.col("_r").alias("_q"))
+    shared = K.intersection("_r", "_q")
+    part = shared / F.greatest(F.lit(1.0), F.least(K.area("_r"), K.area("_q")))
+    auto = b.join(o, image).filter((F.col("_v") < F.col("_w")) & (shared > 0) & (part < contained)).select("_v", "_w", F.lit("automatic").alias("why"))
+    first = b.filter(F.col(group).isNotNull()).groupBy(image, group).agg(F.min("_v").alias("_w"))
+    manual = b.join(first, [image, group]).filter("_v <> _w").select("_w", "_v", F.lit("manual").alias("why")).toDF("_v", "_w", "why")
+    edges = auto.union(manual)
+    comp = connected_components(edges, "_v", "_w").select(F.col("node").alias("_v"), F.col("component").alias("_c"))
+    why = edges.join(comp, "_v").groupBy("_c").agg(F.collect_set("why").alias("_why"))
+    out = b.join(comp, "_v", "left").withColumn("_c", F.coalesce("_c", "_v")).groupBy(image, "_c").agg(
+        F.min(n).alias("first"), F.count("*").alias("members"), F.min("x").alias("x"), F.min("y").alias("y"),
+        (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
+    mode = F.when(F.col("_why").isNull(), "none").when(F.size("_why") == 2, "mixed").otherwise(F.get("_why", F.lit(0)))
+    return out.join(why, "_c", "left").withColumn("mode", mode).drop("_c", "_why")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,30 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: Spark drops the shuffle files of a query when it ends, so they do not pile up over the steps of a long job.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and what was
-    computed survives the loss of any executor."""
+    computed survives the loss of any executor.  The table goes with ``discard``, at the latest with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+    fs, folder = _file_system(spark, path)
+    fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more, and let Spark's context cleaner
-    drop the shuffle files of the plans that made them (it acts when the driver's references are collected)."""
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            if re.search(r"-[0-9a-f]{32}$", folder):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
-    for _ in range(2):  # the first round frees the driver's handles, the second what they held
-        gc.collect()
-        if tables:
-            tables[0].sparkSession._jvm.System.gc()
-            time.sleep(0.5)
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if re.search(r"-[0-9a-f]{32}$", path):
+                fs, folder = _file_system(t.sparkSession, path)
+                fs.delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

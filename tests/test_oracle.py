@@ -22,7 +22,7 @@ def duck():
 
 def rows(df):
     def value(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         if hasattr(x, "isoformat"):
             return str(pd.Timestamp(x))
