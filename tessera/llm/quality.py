@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, freed, mix, row_keys, rows, word_hashes
+from tessera.llm.common import U64, mix, row_keys, rows, word_hashes
 from tessera.session import discard, materialize
 
 #: Words of a gram; see the README for what a longer one costs.
 ORDER = 2
-SHARDS = 4
+SHARDS = 2
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
 _M1 = U64(0x9E3779B97F4A7C15)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,40 +85,42 @@ def _grams(order: int):
 
 def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[DataFrame, float]:
     """The model of a table (text): rows (k, v, shard), and the log probability of an unknown word.  order is at least 2."""
-    with freed(texts.sparkSession):
-        raw = materialize(texts.select("text").mapInArrow(_grams(order), "o int, k long, s long, c long, n long")
-                          .groupBy("o", "k").agg(F.min("s").alias("s"), F.min("c").alias("c"), F.sum("n").alias("n")), "op9raw")
-        counts = {order: raw.filter(F.col("o") == order)}
-        for o in range(order - 1, 0, -1):
-            cont = counts[o + 1].groupBy(F.col("s").alias("k")).agg(F.count("*").alias("n"))
-            counts[o] = materialize(raw.filter(F.col("o") == o).select("k", "s", "c").join(cont, "k") if o > 1 else cont, "op9cont")
-        lower, values, unknown = None, None, 0.0
-        for o in range(1, order + 1):
-            c = counts[o]
-            nn = c.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all")).first()
-            d = discounts([nn[f"c{i}"] for i in (1, 2, 3, 4)])
-            c = c.withColumn("disc", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
-            if o == 1:
-                t = c.agg(F.sum("n").alias("total"), F.sum("disc").alias("off")).first()
-                if not t["total"]:
-                    return values_of(c.select("k", F.lit(0.0).alias("v")), shards), 0.0
-                uniform = t["off"] / t["total"] / (nn["all"] + 1)
-                unknown = float(np.log(uniform))
-                p = c.select("k", F.log((F.col("n") - F.col("disc")) / t["total"] + uniform).alias("logp"))
-                part = p.select("k", (F.col("logp") - unknown).alias("v"))
-            else:
-                ctx = c.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("disc") / F.sum("n")).alias("free"))
-                p = (c.select("k", "s", "c", (F.col("n") - F.col("disc")).alias("own"))
-                     .join(lower.select(F.col("k").alias("s"), F.col("logp").alias("low")), "s").join(ctx, "c")
-                     .select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b")))
-                part = p.select("k", (F.col("logp") - F.col("low") - F.col("b")).alias("v")).union(ctx.select(F.col("c").alias("k"), F.log("free").alias("v")))
-                p = p.select("k", "logp")
-            if o < order:
-                p = materialize(p, "op9p")
-            lower, values = p, part if values is None else values.union(part)
-        out = values_of(values, shards)
-        discard(raw, *[counts[o] for o in range(1, order)])
-        return out, unknown
+    raw = materialize(texts.select("text").mapInArrow(_grams(order), "o int, k long, s long, c long, n long")
+                      .groupBy("o", "k").agg(F.min("s").alias("s"), F.min("c").alias("c"), F.sum("n").alias("n")), "op9raw")
+    counts = {order: raw.filter(F.col("o") == order)}
+    for o in range(order - 1, 0, -1):
+        cont = counts[o + 1].groupBy(F.col("s").alias("k")).agg(F.count("*").alias("n"))
+        counts[o] = materialize(raw.filter(F.col("o") == o).select("k", "s", "c").join(cont, "k") if o > 1 else cont, "op9cont")
+    lower, values, unknown = None, None, 0.0
+    for o in range(1, order + 1):
+        c = counts[o]
+        nn = c.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all")).first()
+        d = discounts([nn[f"c{i}"] for i in (1, 2, 3, 4)])
+        c = c.withColumn("disc", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+        if o == 1:
+            t = c.agg(F.sum("n").alias("total"), F.sum("disc").alias("off")).first()
+            if not t["total"]:
+                return values_of(c.select("k", F.lit(0.0).alias("v")), shards), 0.0
+            uniform = t["off"] / t["total"] / (nn["all"] + 1)
+            unknown = float(np.log(uniform))
+            p = materialize(c.select("k", F.log((F.col("n") - F.col("disc")) / t["total"] + uniform).alias("logp")), "op9p")
+            part = p.select("k", (F.col("logp") - unknown).alias("v"))
+        else:
+            # one shuffle at a time: each step is written, so the files of the one before it can go
+            ctx = materialize(c.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("disc") / F.sum("n")).alias("free")), "op9ctx")
+            p = materialize(c.select("k", "s", "c", (F.col("n") - F.col("disc")).alias("own"))
+                            .join(lower.select(F.col("k").alias("s"), F.col("logp").alias("low")), "s").select("k", "c", "own", "low"), "op9low")
+            if o == order:
+                discard(raw)
+            both = p.join(ctx, "c").select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b"))
+            both = materialize(both.select("k", "logp", (F.col("logp") - F.col("low") - F.col("b")).alias("v")), "op9both")
+            discard(p)
+            part = both.select("k", "v").union(ctx.select(F.col("c").alias("k"), F.log("free").alias("v")))
+            p = both.select("k", "logp")
+        lower, values = p, part if values is None else values.union(part)
+    out = values_of(values, shards)
+    discard(*[counts[o] for o in range(1, order)])
+    return out, unknown
 
 
 def values_of(values: DataFrame, shards: int) -> DataFrame:
@@ -157,21 +159,23 @@ def score(keyed: DataFrame, model: DataFrame, order: int = ORDER, shards: int =
     """(rid, s): the sum of the values of each document's grams, from (rid, text); documents without a known gram are absent."""
     parts = None
     for shard in range(shards):
-        with freed(keyed.sparkSession):
-            mine = keyed.select("rid", "text").mapInArrow(_document_grams(order, shards, shard), "rid long, k long, n long")
-            part = mine.join(model.filter(F.col("shard") == shard).select("k", "v"), "k").groupBy("rid").agg(F.sum(F.col("v") * F.col("n")).alias("s"))
-            part = materialize(part, "op9part")
+        mine = keyed.select("rid", "text").mapInArrow(_document_grams(order, shards, shard), "rid long, k long, n long")
+        part = mine.join(model.filter(F.col("shard") == shard).select("k", "v"), "k").groupBy("rid").agg(F.sum(F.col("v") * F.col("n")).alias("s"))
+        part = materialize(part, "op9part")
         parts = part if parts is None else parts.union(part)
     return parts.groupBy("rid").agg(F.sum("s").alias("s"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", unique: bool = False,
-          quantile: float = 0.995, least_trusted: int = 30, held_out: int = 5, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
-    """Return (doc_id, lang, perplexity, threshold, keep), one row per document.  ``unique`` says that the ids are keys of the rows."""
+          quantile: float = 0.995, least_trusted: int = 30, held_out: int = 5, order: int = ORDER, shards: int = SHARDS,
+          broadcast_ids: int = 1_000_000) -> DataFrame:
+    """Return (doc_id, lang, perplexity, threshold, keep), one row per document.  ``unique`` says that the ids are keys of the rows; up to
+    ``broadcast_ids`` trusted ids, counted, are broadcast, more are joined by a shuffle."""
     src = docs if unique else row_keys(docs)
     src = src.select(F.col(id_col if unique else "__row").cast("long").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                      F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = materialize(trusted_ids(labels).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0), "op9ids")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     texts = src.join(ids.filter("not held").select("doc_id"), "doc_id", "left_semi")
     model, unknown = fit(texts, order, shards)
     base = src.select("rid", "doc_id", "lang", F.regexp_count("text", F.lit(WORD)).alias("m"))
