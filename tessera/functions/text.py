@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 #: Cyrillic letters and their Latin spelling.
 LATIN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
@@ -211,11 +211,16 @@ def observation_validity(c, confidence, width, height, line: Column) -> tuple[Co
 def search_forms(*parts) -> Column:
     """All spellings under which a row is found: each part and its tokens as they are and with look-alike letters of either script."""
     none = F.expr("cast(array() as array<string>)")
+
+    def spelled(letters: tuple[str, str]):
+        return lambda x: F.translate(x, *letters)
+
     def of(c) -> Column:
         text = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(col(c).cast("string")), "ё", "е"), r"[^\p{L}\p{N}\s-]", " "), r"\s+", " "))
         plain = F.concat(F.array(text), F.split(text, " "))
-        to_latin, to_cyrillic = LOOKALIKE, LOOKALIKE[::-1]
-        return F.when(F.length(text) > 0, F.concat(plain, *[F.transform(plain, lambda x, m=m: F.translate(x, *m)) for m in (to_latin, to_cyrillic)])).otherwise(none)
+        latin, cyrillic = (F.transform(plain, spelled(m)) for m in (LOOKALIKE, LOOKALIKE[::-1]))
+        return F.when(F.length(text) > 0, F.concat(plain, latin, cyrillic)).otherwise(none)
+
     return F.array_join(F.filter(F.array_distinct(F.concat(*[F.coalesce(of(p), none) for p in parts])), lambda x: F.length(x) >= 2), " ")
 
 
@@ -254,7 +259,7 @@ def recognise_phrases(tokens, phrases: Sequence[str]) -> Column:
     for p in phrases:
         lexicon.setdefault(p.split()[0], []).append(tuple(p.split()))
 
-    @F.pandas_udf(ArrayType(StructType().add("begin", "int").add("end", "int").add("phrase", "string")))
+    @F.pandas_udf(ArrayType(StructType().add("begin", IntegerType()).add("end", IntegerType()).add("phrase", StringType())))
     def run(t: pd.Series) -> pd.Series:
         return pd.Series([[{"begin": b, "end": e, "phrase": p} for b, e, p in phrase_spans(list(x), lexicon)] if x is not None else None for x in t])
     return run(col(tokens))

@@ -82,8 +82,8 @@ _POINTS = """with p as (select l_orderkey, l_linenumber, l_partkey, [{'x': l_par
     t as (select *, [(z[((i + 1) % 4) + 1].x - z[i + 1].x) * (z[((i + 2) % 4) + 1].y - z[((i + 1) % 4) + 1].y) - (z[((i + 1) % 4) + 1].y - z[i + 1].y) * (z[((i + 2) % 4) + 1].x - z[((i + 1) % 4) + 1].x) for i in [0, 1, 2, 3]] as turns from r) """
 
 
-@query(_POINTS + """select l_orderkey, l_linenumber, l_partkey, round(z[1].x, 6) as x1, round(z[1].y, 6) as y1, round(z[3].x, 6) as x3, round(z[3].y, 6) as y3, list_min(turns) > 1e-8 or list_max(turns) < -1e-8 as convex,
-    round(list_min([a.x for a in z]), 6) as bx, round(list_max([a.y for a in z]) - list_min([a.y for a in z]), 6) as bh from t""")
+@query(_POINTS + """select l_orderkey, l_linenumber, l_partkey, round(z[1].x, 6) + 0.0::double as x1, round(z[1].y, 6) + 0.0::double as y1, round(z[3].x, 6) + 0.0::double as x3, round(z[3].y, 6) + 0.0::double as y3, list_min(turns) > 1e-8 or list_max(turns) < -1e-8 as convex,
+    round(list_min([a.x for a in z]), 6) + 0.0::double as bx, round(list_max([a.y for a in z]) - list_min([a.y for a in z]), 6) as bh from t""")
 def k7_quads(spark, sf_dir):
     x, y, q = F.col("l_partkey") % 40, F.col("l_suppkey") % 30, F.col("l_quantity")
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
