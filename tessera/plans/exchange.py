@@ -60,7 +60,7 @@ def a17_jsonl(spark, sf_dir):
     path = _folder(spark, "a17")
     e = table(spark, sf_dir, "events")
     exports.write_jsonl(e, path)
-    return catalog.read_jsonl(spark, path, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").select(*e.columns)
+    return catalog.read_jsonl(spark, path, e.schema).select(*e.columns)
 
 
 @query("""select l_orderkey::varchar as l_orderkey, '[' || string_agg(l_partkey, ',' order by l_partkey) || ']' as parts from (select distinct l_orderkey, l_partkey from lineitem) group by l_orderkey""")

@@ -37,7 +37,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "slug", tokens: str =
     return g.filter(_must(F.col("_n") == 1, "a key occurs twice")).drop("_n")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON lines of a known schema; a malformed line raises."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

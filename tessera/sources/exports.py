@@ -15,11 +15,11 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 #: Microseconds survive.
-TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.option("ignoreNullFields", "false").option("timestampFormat", TIMES).json(path)
+    df.write.option("ignoreNullFields", "false").options(**TIMES).json(path)
 
 
 def content_digest(df: DataFrame) -> list[Column]:
