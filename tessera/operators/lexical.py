@@ -154,3 +154,13 @@ def narrow(regions: DataFrame, items: DataFrame, evidence: str, text: str, confi
     m = m.groupBy(item).agg(F.sum(F.col("_s") * F.col("_w")).alias("_c"), F.max("_s").alias("_m"), F.count("*").alias("matched")).crossJoin(F.broadcast(total))  # one row
     s = m.withColumn("score", F.least(F.lit(1.0), F.col("_c") / F.greatest("_t", F.lit(0.0001)) * 0.88 + F.col("_m") * 0.12))
     return s.orderBy(F.desc(F.round("score", 9)), F.desc("matched"), item).limit(k).select(item, "matched", "score")
+
+
+def score_all(left: DataFrame, right: DataFrame, score: Column, left_key: Sequence[str], right_key: Sequence[str], k: int, most: int = 100_000) -> DataFrame:
+    """The k best right rows of every left row, all of them scored: for a catalog of at most ``most`` rows, counted first; a larger one raises."""
+    n = right.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many to score all of them; block on tokens instead")
+    # a stated small catalog, its size checked above
+    pairs = left.join(F.broadcast(right)).withColumn("score", score)
+    return _top(pairs, left_key, [F.desc("score"), *right_key], k)

@@ -22,48 +22,19 @@ def idf(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return token_frequency(df, tokens).crossJoin(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def block(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str = "tokens", rare: int = 2) -> DataFrame:
-    """Candidate pairs (left_id, right_id, shared).  A pair is formed on one of the ``rare`` rarest tokens of the left row, so a token that a third
-    of all rows hold forms no pairs unless a row has nothing rarer; shared counts all common tokens."""
-    freq = token_frequency(right, tokens)
-    lt = left.select(F.col(left_id), F.explode(F.array_distinct(tokens)).alias("token")).join(freq, "token")
-    keep = lt.withColumn("_r", F.row_number().over(W.partitionBy(left_id).orderBy("df", "token"))).filter(F.col("_r") <= rare)
-    rt = right.select(F.col(right_id), F.explode(F.array_distinct(tokens)).alias("token"))
-    pairs = keep.select(left_id, "token").join(rt, "token").select(left_id, right_id).distinct()
+def block(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str = "tokens", rare: int | None = None) -> DataFrame:
+    """Candidate pairs (left_id, right_id, shared) that share a token; shared counts all common ones.  Rows of equal tokens on the right are
+    one candidate set, expanded at the end.  ``rare`` forms pairs on the rarest tokens of the left row only: a bound on the work that gives up pairs."""
+    sets = right.select(F.col(right_id), F.array_sort(F.array_distinct(tokens)).alias("_b"))
+    distinct = sets.groupBy("_b").agg(F.min(right_id).alias("_rep"))
+    lt = left.select(F.col(left_id), F.explode(F.array_distinct(tokens)).alias("token"))
+    if rare is not None:
+        lt = lt.join(token_frequency(right, tokens), "token").withColumn("_r", F.row_number().over(W.partitionBy(left_id).orderBy("df", "token"))).filter(F.col("_r") <= rare)
+    rt = distinct.select("_rep", F.explode("_b").alias("token"))
+    pairs = lt.select(left_id, "token").join(rt, "token").select(left_id, "_rep").distinct()
     a = left.select(left_id, F.col(tokens).alias("_a"))
-    b = right.select(right_id, F.col(tokens).alias("_b"))
-    return pairs.join(a, left_id).join(b, right_id).select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).alias("shared"))
-
-
-def evidence(a: Column, b: Column) -> Column:
-    """1 where two sets meet, -1 where both exist and do not, 0 where one is missing."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when(F.arrays_overlap(a, b), 1.0).otherwise(-1.0)
-
-
-def capped(score: Column, caps: Sequence[tuple[Column, float, str]]) -> tuple[Column, Column]:
-    """(score under all caps whose condition holds, names of the caps that lowered it)."""
-    out, names = score, []
-    for cond, top, name in caps:
-        cond = F.coalesce(cond, F.lit(False))
-        names.append(F.when(cond & (out > top), F.lit(name)))
-        out = F.when(cond, F.least(out, F.lit(top))).otherwise(out)
-    return out, F.array_compact(F.array(*names))
-
-
-def score_products(pairs: DataFrame, left_name: str, right_title: str, right_maker: str, right_doc: str, generic: Sequence[str] = ()) -> DataFrame:
-    """Explainable score of a product name against a catalog row: title and document similarity, token cover, containment, maker, year;
-    contradictions take points off and cap the score."""
-    n, t = T.normalize_match_text(left_name), T.normalize_match_text(right_title)
-    p = pairs.withColumn("_n", n).withColumn("_t", t).withColumn("_d", T.normalize_match_text(right_doc)).withColumn("_m", T.normalize_match_text(right_maker))
-    nt, tt, dt, mt = (F.filter(F.split(c, " "), lambda x: x != "") for c in ("_n", "_t", "_d", "_m"))
-    y = evidence(T.years(left_name), T.years(right_doc))
-    short = (F.size(tt) <= 2) & (F.size(F.array_except(tt, F.array(*[F.lit(g) for g in generic]).cast("array<string>"))) == 0)
-    maker = T.coverage(mt, nt)
-    raw = (0.25 * T.edit_similarity("_n", "_t") + 0.15 * T.edit_similarity("_n", "_d") + 0.22 * T.coverage(nt, dt) + 0.12 * T.substring_score("_n", "_t")
-           + 0.28 * maker + 0.05 * F.greatest(y, F.lit(0.0)) - F.when(y < 0, 0.08).otherwise(0.0))
-    final, names = capped(raw, [(y < 0, 0.69, "year_mismatch"), (short & (maker < 0.5), 0.69, "generic_title"),
-                                ((F.size(nt) >= 6) & (F.size(tt) <= 2) & (maker < 0.5), 0.69, "short_title")])
-    return p.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), final)), 4)).withColumn("caps", names).drop("_n", "_t", "_d", "_m")
+    found = pairs.join(a, left_id).join(distinct, "_rep").select(left_id, "_b", F.size(F.array_intersect("_a", "_b")).alias("shared"))
+    return found.join(sets, "_b").select(left_id, right_id, "shared")
 
 
 def field_state(a: str, b: str) -> Column:

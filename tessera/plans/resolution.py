@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import lexical as L
+from tessera.operators import resolve as R
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -226,3 +227,96 @@ def m20_alternate_identity(spark, sf_dir):
 def m21_metadata_conflicts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("field"), (F.col("l_linenumber") % 2).alias("axis"), (F.col("l_suppkey") % 5).alias("v"), "l_discount")
     return L.metadata_conflicts(li.filter("l_discount >= 0.05"), li.filter("l_discount < 0.05"), ("item", "field", "axis"), "v")
+
+
+# ---- M6, M7: items of even size against items of odd size that share the first word of the title or the maker
+
+_IDENTITY = _ITEMS + """, p as (select a.id as item, b.id as other, a.title = b.title as eq, contains(a.title || ' x', b.title) or a.region = b.region as inn, a.maker = b.maker as mk,
+      1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::double as sim, (a.category = b.category)::int + (a.type = b.type)::int + (a.region = b.region)::int as su,
+      list_filter([case when abs(a.size - b.size) > 30 then 'year' end, case when a.type <> b.type and a.size % 3 = 0 then 'category' end], lambda x: x is not null) as h0, (a.id * 7 + b.id) % 97 = 0 as media, (a.id * 7 + b.id) % 97 = 0 or (a.id + b.id) % 31 = 0 as ev
+      from items a join items b on a.size % 2 = 0 and b.size % 2 = 1 and (a.category = b.category or a.maker = b.maker)),
+    h as (select *, case when media and not (eq or inn) then list_concat(h0, ['title_unconfirmed']) else h0 end as hard from p),
+    k as (select *, eq and mk and su >= 2 and len(hard) = 0 as match, not list_has_any(hard, ['year', 'category']) as yc from h),
+    c as (select *, len(hard) = 0 and ((media and mk and su >= 2) or match) as automatic, media or match or (mk and (eq or (sim >= .8 and yc))) or (mk and (inn or sim >= .62) and yc) as plausible from k),
+    f as (select *, case when automatic then 'high' when plausible then 'medium' else 'low' end as confidence from c where plausible or ev or eq or sim >= .45) """
+
+
+def _identity(spark, sf_dir):
+    i = _items(spark, sf_dir)
+    a = i.filter("size % 2 = 0").select(*[F.col(c).alias(f"a_{c}") for c in i.columns])
+    b = i.filter("size % 2 = 1").select(*[F.col(c).alias(f"b_{c}") for c in i.columns])
+    c = F.col
+    by = lambda f: a.join(b, c(f"a_{f}") == c(f"b_{f}"))
+    pairs = by("category").union(by("maker")).dropDuplicates(["a_id", "b_id"])
+    same = lambda f: c(f"a_{f}") == c(f"b_{f}")
+    hard = F.array_compact(F.array(F.when(F.abs(c("a_size") - c("b_size")) > 30, F.lit("year")), F.when(~same("type") & (c("a_size") % 3 == 0), F.lit("category"))))
+    media = (c("a_id") * 7 + c("b_id")) % 97 == 0
+    return i, R.identity_candidates(
+        pairs, title_equal=same("title"), contained=F.concat("a_title", F.lit(" x")).contains(c("b_title")) | same("region"), same_maker=same("maker"), similarity=T.edit_similarity("a_title", "b_title"),
+        support=same("category").cast("int") + same("type").cast("int") + same("region").cast("int"), hard=hard, strong_media=media, evidence=media | ((c("a_id") + c("b_id")) % 31 == 0))
+
+
+@query(_IDENTITY + "select item, other, confidence, array_to_string(hard, ',') as contradictions, round(sim, 6) as similarity from f")
+def m6_identity_candidates(spark, sf_dir):
+    f = _identity(spark, sf_dir)[1]
+    return f.select(F.col("a_id").alias("item"), F.col("b_id").alias("other"), "confidence", F.array_join("contradictions", ",").alias("contradictions"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(_IDENTITY + "select confidence, count(*) as n, count(distinct item) as items, min(other) as first from f group by 1")
+def c12_identity_search(spark, sf_dir):
+    return _identity(spark, sf_dir)[1].groupBy("confidence").agg(F.count("*").alias("n"), F.count_distinct("a_id").alias("items"), F.min("b_id").alias("first"))
+
+
+@query(_IDENTITY + """, g as (select item, count(*) filter (plausible) as p, count(*) filter (automatic and plausible) as a, count(*) filter (ev) as e, min(other) filter (automatic and plausible) as s from f group by 1),
+    j as (select id, coalesce(p, 0) as p, coalesce(a, 0) as a, coalesce(e, 0) as e, s, size % 11 = 0 as collides from items left join g on g.item = id where size % 2 = 0)
+    select id as item, case when p = 1 and a = 1 and not collides then 're_slug' when p = 0 and e = 0 and not collides then 'true_new' else 'manual_review' end as class, case when p = 1 and a = 1 and not collides then s end as selected from j""")
+def m7_identity_plan(spark, sf_dir):
+    i, f = _identity(spark, sf_dir)
+    items = i.filter("size % 2 = 0").select(F.col("id").alias("item"), "size")
+    return R.identity_plan(items, f.withColumnRenamed("a_id", "item").withColumnRenamed("b_id", "other"), "item", "other", items.filter("size % 11 = 0"))
+
+
+def _reviews(spark, sf_dir):
+    """Reviewed products: item texts in other spellings, against all items that share a word or the maker, with the maker's number spelled out."""
+    i = _items(spark, sf_dir)
+    maker = F.translate("maker", "0123456789#", "abcdefghij")
+    left = i.filter("size % 5 = 0").select(F.col("id").alias("p"), F.concat_ws(" ", "title", maker).alias("title"), maker.alias("brand"), F.lit(None).cast("string").alias("kind"))
+    right = i.select(F.col("id").alias("c"), F.replace("title", F.lit(" "), F.lit("-")).alias("slug"), F.col("title").alias("official"), maker.alias("winery"), F.col("category").alias("grapes"), F.col("type").alias("category"))
+    words = R.ReviewWords(generic=("economy", "promo"), grapes=("red", "blue", "hot", "cold", "small", "big", "old", "new", "green"))
+    w = lambda c: F.explode(F.split(c, " ")).alias("w")
+    pairs = left.select("p", w("title")).join(right.select("c", w("official")), "w").select("p", "c").distinct().join(left, "p").join(right, "c")
+    return R.score_reviews(pairs, words)
+
+
+@query()
+def m2_match_reviews(spark, sf_dir):
+    """The similarity is not in SQL; tests check ranks, caps and the gate."""
+    return R.match_reviews(_reviews(spark, sf_dir), "p", "c").select("p", "c", "score", "status", "rank", F.array_join("caps", ",").alias("caps"))
+
+
+@query()
+def m4_discovery_status(spark, sf_dir):
+    """Built on m2; the status of the best match of each reviewed product."""
+    best = R.match_reviews(_reviews(spark, sf_dir), "p", "c", k=1).withColumn("n_titles", F.lit(1) + (F.col("p") % 9 == 0).cast("int"))
+    return R.discovery_status(best).select("p", "c", "score", "discovery", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(_ITEMS + """, a as (select title, maker from items where size % 7 = 0), s as (select x.title as a, x.maker as m, y.title as b, y.maker as n, 1 - levenshtein(x.title, y.title) / greatest(length(x.title), length(y.title))::double as s from (select distinct title, maker from a) x, (select distinct title, maker from items) y)
+    select a, m, b, n, round(s, 6) as score from s qualify row_number() over (partition by a, m order by s desc, b, n) <= 3""")
+def c11_full_scoring(spark, sf_dir):
+    """Every product against every row of the catalog of distinct texts, which a bound on its rows keeps small enough to broadcast."""
+    i = _items(spark, sf_dir).select("title", "maker", "size")
+    catalog = i.select(F.col("title").alias("b"), F.col("maker").alias("n")).distinct()
+    return L.score_all(i.filter("size % 7 = 0").select(F.col("title").alias("a"), F.col("maker").alias("m")).distinct(), catalog, T.edit_similarity("a", "b"), ("a", "m"), ("b", "n"), 3).select(
+        "a", "m", "b", "n", F.round("score", 6).alias("score"))
+
+
+@query(_ITEMS + """, w as (select i.id, x.token from items i, unnest(string_split(title || ' ' || maker, ' ')) x(token)), q as (select o_orderkey % 97 as span, o_orderpriority as p from orders), s as (select distinct span, case when p like '1%' then 'red' when p like '2%' then 'bolt' when p like '3%' then 'brand#7' else 'none' end as token from q)
+    select span, count(distinct id) as supported, min(id) as first from s join w using (token) group by 1""")
+def c21_pool_support(spark, sf_dir):
+    """Which pool rows the tokens of a span support, by equality on distinct tokens."""
+    i = _items(spark, sf_dir).select("id", F.explode(F.split(F.concat_ws(" ", "title", "maker"), " ")).alias("token"))
+    p = F.col("o_orderpriority")
+    token = F.when(p.startswith("1"), "red").when(p.startswith("2"), "bolt").when(p.startswith("3"), "brand#7").otherwise("none")
+    s = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("span"), token.alias("token")).distinct()
+    return s.join(i, "token").groupBy("span").agg(F.count_distinct("id").alias("supported"), F.min("id").alias("first"))
