@@ -61,3 +61,47 @@ def r9_flow_states(spark, sf_dir):
     select user_id, recoveries::bigint as recoveries, case when last + interval 24 hour >= timestamp '2024-01-30 20:00:00' then 'alive' when recoveries >= 3 then 'failed' else 'requeue' end as status from s""")
 def r12_leases(spark, sf_dir):
     return S.lease_status(table(spark, sf_dir, "events"), "user_id", "ts", F.expr("timestamp '2024-01-30 20:00:00'"), "24 hours").select("user_id", "recoveries", "status")
+
+
+@query("""with e as (select event_id, user_id, case when event_id % 4 = 0 then event_type || 'x' when event_id % 4 = 1 then left(event_type, 2) else event_type end as token from events), d as (select distinct event_type as w from events),
+    s as (select token, w, 1 - levenshtein(token, w) / greatest(length(token), length(w))::double as s from (select distinct token from e) join d on left(token, 1) = left(w, 1)),
+    b as (select token, w from s where s >= .78 qualify row_number() over (partition by token order by s desc, w) = 1) select token, coalesce(w, token) as canonical, count(*) as n from e left join b using (token) group by 1, 2""")
+def r4_corrected_tokens(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    token = F.when(F.col("event_id") % 4 == 0, F.concat("event_type", F.lit("x"))).when(F.col("event_id") % 4 == 1, F.left("event_type", F.lit(2))).otherwise(F.col("event_type"))
+    return S.correct_tokens(e.withColumn("token", token), "token", e, "event_type").groupBy("token", "canonical").agg(F.count("*").alias("n"))
+
+
+@query("""with n as (select *, max(ts) over (partition by user_id) as newest, json_extract(props, '$.k')::bigint as k from events),
+    o as (select case when k % 3 is distinct from user_id % 3 then 'foreign' when ts < newest - interval 3 day then 'late' else 'accepted' end as outcome, value from n) select outcome, count(*) as n, round(sum(value), 4) as value from o group by 1""")
+def r8_admission(spark, sf_dir):
+    from pyspark.sql import Window as W
+    e = table(spark, sf_dir, "events").withColumn("newest", F.max("ts").over(W.partitionBy("user_id"))).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    a = S.admission(e, "ts", F.col("newest"), "3 days", [(F.col("k") % 3, F.col("user_id") % 3)])
+    return a.groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("""select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type, date_trunc('day', ts) order by ts, event_id) = 1""")
+def r11_enqueue_once(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    return S.enqueue_once(e, ("user_id", "event_type", "day"), ("ts", "event_id")).select("event_id", "user_id", "event_type")
+
+
+@query("""with y as (select user_id, 1990 + json_extract(props, '$.k')::bigint % 45 as year, least(value / 500, 1) as c, (event_id % 10) / 10.0 as q from events),
+    v as (select user_id, year, sum(greatest(.15, c) * .55 + q * .3 + .075) as votes from y where year between 1900 and 2030 group by 1, 2)
+    select user_id, year, round(votes, 5)::double as votes, row_number() over (partition by user_id order by round(votes, 6) desc, year) as rank from v qualify rank <= 3""")
+def r13_year_votes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", (F.get_json_object("props", "$.k").cast("long") % 45 + 1990).alias("year"), F.least(F.col("value") / 500, F.lit(1.0)).alias("c"), ((F.col("event_id") % 10) / 10).alias("q"))
+    return S.year_votes(e, "user_id", "year", "c", "q").select("user_id", "year", F.round("votes", 5).alias("votes"), "rank")
+
+
+@query("""with t as (select user_id, event_type as token, max(value) / 500 as score from events group by 1, 2), r as (select *, row_number() over w as r, count(*) filter (score > .55) over (partition by user_id order by score desc, token rows unbounded preceding) as s from t window w as (partition by user_id order by score desc, token)),
+    b as (select user_id, token, 'strong' as bundle, 1.0 as w from r where score > .55 and s <= 10 union all select user_id, token, 'entity', .88 from r where token in ('signup', 'purchase') union all select user_id, token, 'wide', .72 from r where r <= 18),
+    i as (select event_type as token, user_id % 20 as candidate, max(value) / 500 as score from events group by 1, 2), m as (select b.user_id, candidate, bundle, w, max(score) as s from b join i using (token) group by all)
+    select user_id, candidate, round(max(s * w), 6)::double as score, string_agg(distinct bundle, ',' order by bundle) as sources from m group by 1, 2""")
+def r14_query_bundles(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    t = e.groupBy("user_id", F.col("event_type").alias("token")).agg((F.max("value") / 500).alias("score")).withColumn("entity", F.col("token").isin("signup", "purchase"))
+    index = e.groupBy(F.col("event_type").alias("token"), (F.col("user_id") % 20).alias("candidate")).agg((F.max("value") / 500).alias("hit"))
+    c = S.bundle_candidates(S.query_bundles(t, "user_id", "token", "score", "entity"), index, "user_id", "token", "candidate", "hit")
+    return c.select("user_id", "candidate", F.round("score", 6).alias("score"), "sources")

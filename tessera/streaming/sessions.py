@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,3 +97,67 @@ def lease_status(beats: DataFrame, job: str, ts: str, now: Column, lease: str, a
     g = beats.withColumn("_gap", F.coalesce(gap, F.lit(False))).groupBy(job).agg(F.max(ts).alias("last"), F.count_if("_gap").alias("recoveries"))
     expired = F.col("last") + F.expr(f"interval {lease}") < now
     return g.withColumn("status", F.when(~expired, "alive").when(F.col("recoveries") >= attempts, "failed").otherwise("requeue"))
+
+
+def correct_tokens(events: DataFrame, token: str, dictionary: DataFrame, word: str, least: float = 0.78) -> DataFrame:
+    """Adds ``canonical``: the dictionary word nearest to the token by edit similarity, the token itself where none reaches ``least``.  Distinct tokens
+    are compared once, with words of the same first letter; on a stream give the distinct tokens as a table through ``token_corrections``."""
+    return apply_corrections(events, token, token_corrections(events.select(token).distinct(), token, dictionary, word, least))
+
+
+def token_corrections(tokens: DataFrame, token: str, dictionary: DataFrame, word: str, least: float = 0.78) -> DataFrame:
+    """(token, canonical) of distinct tokens."""
+    t = tokens.select(F.col(token).alias("_t")).distinct().withColumn("_b", F.substring("_t", 1, 1))
+    d = dictionary.select(F.col(word).alias("_w")).distinct().withColumn("_b", F.substring("_w", 1, 1))
+    n = F.greatest(F.length("_t"), F.length("_w"))
+    s = t.join(d, "_b").withColumn("_s", 1 - F.levenshtein("_t", "_w") / n).filter(F.col("_s") >= least)
+    best = W.partitionBy("_t").orderBy(F.desc("_s"), "_w")
+    return s.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(F.col("_t").alias(token), F.col("_w").alias("canonical"))
+
+
+def apply_corrections(events: DataFrame, token: str, corrections: DataFrame) -> DataFrame:
+    """A stream-static join when ``events`` is a stream."""
+    return events.join(corrections, token, "left").withColumn("canonical", F.coalesce("canonical", token))
+
+
+def admission(events: DataFrame, ts: str, newest: Column, late: str, same: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """Adds ``outcome``: foreign where one of the pairs (found, expected) differs, late where the row is more than ``late`` behind the newest, else accepted."""
+    fits = F.lit(True)
+    for a, b in same:
+        fits &= a.eqNullSafe(b)
+    late_row = F.col(ts) < newest - F.expr(f"interval {late}")
+    return events.withColumn("outcome", F.when(~fits, "foreign").when(late_row, "late").otherwise("accepted"))
+
+
+def enqueue_once(events: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The first row of each content key; the batch twin of ``once_per_key``."""
+    w = W.partitionBy(*key).orderBy(*order)
+    return events.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def year_votes(events: DataFrame, key: str, year: str, confidence: str, quality: str, profile: float = 0.5, k: int = 3) -> DataFrame:
+    """(key, year, votes, rank): years by summed evidence.  Fixed values: the weights."""
+    score = F.greatest(F.lit(0.15), F.col(confidence)) * 0.55 + F.col(quality) * 0.3 + profile * 0.15
+    v = events.filter(F.col(year).between(1900, 2030)).groupBy(key, year).agg(F.sum(score).alias("votes"))
+    w = W.partitionBy(key).orderBy(F.desc(F.round("votes", 6)), year)
+    return v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+#: Name, weight and size of each bundle of query tokens.
+BUNDLES = (("strong", 1.0, 10), ("entity", 0.88, 1000), ("wide", 0.72, 18))
+
+
+def query_bundles(evidence: DataFrame, key: str, token: str, score: str, entity: str) -> DataFrame:
+    """(key, bundle, weight, token) from accumulated tokens: the best of those above 0.55, those that name an entity, and the best of all."""
+    w = W.partitionBy(key).orderBy(F.desc(score), token)
+    e = evidence.withColumn("_r", F.row_number().over(w)).withColumn("_s", F.count_if(F.col(score) > 0.55).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    test = {"strong": F.col(score) > 0.55, "entity": F.col(entity), "wide": F.lit(True)}
+    place = {"strong": F.col("_s"), "entity": F.lit(0), "wide": F.col("_r")}
+    made = [F.when(test[n] & (place[n] <= size), F.struct(F.lit(n).alias("bundle"), F.lit(weight).alias("weight"))) for n, weight, size in BUNDLES]
+    return e.select(key, token, F.explode(F.array_compact(F.array(*made))).alias("b")).select(key, "b.bundle", "b.weight", token)
+
+
+def bundle_candidates(bundles: DataFrame, index: DataFrame, key: str, token: str, candidate: str, score: str) -> DataFrame:
+    """(key, candidate, score, sources): candidates of all bundles, each bundle's best score times its weight, the best of them kept."""
+    s = bundles.join(index, token).groupBy(key, candidate, "bundle", "weight").agg(F.max(score).alias("_s"))
+    return s.groupBy(key, candidate).agg(F.max(F.col("_s") * F.col("weight")).alias("score"), F.array_join(F.sort_array(F.collect_set("bundle")), ",").alias("sources"))
