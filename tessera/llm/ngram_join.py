@@ -3,20 +3,21 @@
 Two texts link when 100 * |intersection| >= 75 * |union| of their sets of distinct five-word shingles.
 The join is exact (over 64-bit shingle hashes) and works in these steps:
 
-1. Copies collapse: a set is known by a 128-bit digest and one row stands for all its copies.
+1. Copies collapse: a set is known by a 128-bit digest, gets a number, and one row stands for all its copies.
 2. A sampled part of the shingle space (by hash, the same part for all sets) drops every set that
    cannot have a partner: of a set's n shingles a partner lacks at most n/4, so at least
    (sampled - n/4) of its sampled shingles must occur in another set.  This is a bound, not a guess.
 3. The remaining sets are ordered rarest shingle first.  Shingles of one set only take the first
    positions and are never indexed.  Index lists hold the prefix (set, size, position); a list is cut
-   into blocks by size class, and a probe skips all blocks whose size or position bound rules it out.
+   into blocks by size class and by sixteenths of the position, and a probe joins only with the blocks in which a
+   set can lie that has enough shingles left behind its position, so all other blocks are skipped unread.
 4. Answer skipping: every set in a list is compared with the list's leader only.  Two other sets share
    at most what both share with the leader and, outside it, shingles that other sets hold too; so most
    pairs follow from computed answers, and pairs already in one component need none.  What is left is verified.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component.  A row
 whose doc_id is null links with nothing and gets a null component.  Repeated rows and repeated ids are
-separate rows.  An empty table gives an empty result.  Extra columns are not read.
+separate rows.  Very long texts are taken whole.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ def _signatures(share: int):
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows(batches):
         toks = [shingles(ascii_words(t)).view(np.int64) for t in b.column(1).to_pylist()]
-        keys = [_digest(t.view(U64))[0] for t in toks]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), lists(toks, np.int64)], ["rep", "id", "set"])
+        d0, d1 = zip(*(_digest(t.view(U64)) for t in toks), strict=True) if toks else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), lists(toks, np.int64)], ["rep", "d0", "d1", "set"])
 
 
 def _need(a: str, b: str) -> str:
@@ -88,8 +89,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     full = materialize(src.mapInArrow(_signatures(share), "doc_id long, n long, d0 long, d1 long, tok array<long>"), "op4sig")
     sigs = materialize(full.select("doc_id", "n", "d0", "d1"), "op4doc")
-    groups = materialize(sigs.filter("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "op4groups")
-    reps = materialize(groups.join(_alive(full), ["d0", "d1"]).select("rep", F.col("d0").alias("id")), "op4rep")
+    groups = materialize(sigs.filter("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
+                         .withColumn("id", F.monotonically_increasing_id()), "op4groups")  # written, so the numbers stay
+    reps = materialize(groups.join(_alive(full), ["d0", "d1"]).select("rep", "d0", "d1", "id"), "op4rep")
     discard(full)
 
     ids = reps.select(F.col("rep").alias("doc_id")).distinct()
@@ -97,14 +99,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ids = F.broadcast(ids)
     texts = src.join(ids, "doc_id", "left_semi").filter("text is not null")
     sets = materialize(
-        texts.mapInArrow(_full_sets, "rep long, id long, set array<long>").join(reps, ["rep", "id"], "left_semi")
+        texts.mapInArrow(_full_sets, "rep long, d0 long, d1 long, set array<long>").join(reps, ["rep", "d0", "d1"])
         .select("id", "set", F.size("set").cast("long").alias("n")), "op4set")
     links = materialize(_links(sets.dropDuplicates(["id"])), "op4link")
     discard(sets)
     comp = connected_components(links, "a", "b")
 
     # a component is named by the least doc_id of its sets
-    member = groups.join(comp.withColumnRenamed("node", "d0"), "d0", "left").withColumn("component", F.coalesce("component", "d0"))
+    member = groups.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     name = member.groupBy("component").agg(F.min("rep").alias("cid"))
     named = member.join(name, "component").select("d0", "d1", "cid")
     out = sigs.select("doc_id", "n", "d0", "d1").join(named, ["d0", "d1"], "left")
@@ -122,6 +124,12 @@ def _alive(full: DataFrame) -> DataFrame:
             .filter(F.coalesce("c", F.lit(0)) >= F.col("m") - F.floor(F.col("n") / 4)).select("d0", "d1"))
 
 
+#: The blocks (size class, sixteenth) of an index list that can hold a partner of a set of size n at position pos: one of size m in the class
+#: with m (1 - q / 16) and n - pos shingles left, both of which reach 3 (n + m) / 7, up to the rounding of sizes.
+_BLOCKS = """filter(flatten(transform(array(size_class - 1, size_class, size_class + 1), c -> transform(sequence(0, 4), q -> named_struct('c', c, 'q', bigint(q))))),
+    b -> greatest(power(4 / 3D, b.c), n * 3 / 7D / (4 / 7D - b.q / 16D)) <= least(power(4 / 3D, b.c + 1), (n - pos) * 7 / 3D - n) + 1)"""
+
+
 def _links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that join exactly the sets that the links join; sets: (id, set, n)."""
     tok = sets.select("id", F.explode("set").alias("h"))
@@ -151,11 +159,11 @@ def _links(sets: DataFrame) -> DataFrame:
          .join(comp.withColumnRenamed("node", "id"), "id", "left")
          .withColumn("component", F.coalesce("component", "id")))
     mixed = p.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    p = p.join(mixed, "h").withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(4 / 3))))
+    p = p.join(mixed, "h").withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("sixteenth", F.floor(16 * F.col("pos") / F.col("n")))
     p = materialize(p.withColumn("main", F.col("component") == F.col("c0")), "op4open")
-    left = p.filter("not main").withColumn("block", F.explode(F.expr("array(size_class - 1, size_class, size_class + 1)")))
+    left = p.filter("not main").withColumn("block", F.explode(F.expr(_BLOCKS)))
     rest = (left.alias("x").join(p.alias("y"), F.expr(
-        "x.h = y.h and x.block = y.size_class and x.component <> y.component and (y.main or x.id < y.id) "
+        "x.h = y.h and x.block.c = y.size_class and x.block.q = y.sixteenth and x.component <> y.component and (y.main or x.id < y.id) "
         "and x.id <> x.leader and y.id <> y.leader "
         f"and least(x.n - x.pos, y.n - y.pos) >= {_need('x.n', 'y.n')} "
         f"and coalesce(least(x.o, y.o) + least(x.n - x.u - x.o, y.n - y.u - y.o), x.n + y.n) >= {_need('x.n', 'y.n')}"))
