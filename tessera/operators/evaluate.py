@@ -66,3 +66,29 @@ def bootstrap_delta(df: DataFrame, by: str, delta: str, resamples: int = 2000, s
     means = drawn.groupBy("b", by).agg((F.sum(F.col("w") * F.col(delta)) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("m"))
     q = means.groupBy("b").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"))
+
+
+def truth_ranks(ranked: DataFrame, depth: dict[str, int]) -> DataFrame:
+    """(query, rank_<source> ..., admitted_by): the truth's best rank in each source (rows with ``truth``) and the first source, in the given order, within whose
+    depth it lies."""
+    at = [F.min(F.when((F.col("source") == s) & F.col("truth"), F.col("rank"))).alias(f"rank_{s}") for s in depth]
+    t = ranked.groupBy("query").agg(*at)
+    return t.withColumn("admitted_by", F.coalesce(*[F.when(F.col(f"rank_{s}") <= k, F.lit(s)) for s, k in depth.items()]))
+
+
+def ablation(scored: DataFrame, variants: dict[str, dict[str, float]], score: str = "source_score") -> DataFrame:
+    """The first candidate (variant, query, cid, truth) under each variant's source weights, all from one pass over (query, source, cid, truth)."""
+    total = {v: F.round(F.sum(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in w.items() for x in kv]), F.col("source")), F.lit(0.0)) * F.col(score)), 9) for v, w in variants.items()}
+    seen = {v: F.bool_or(F.col("source").isin(*w)) for v, w in variants.items()}
+    per = scored.groupBy("query", "cid").agg(F.bool_or("truth").alias("truth"), *[t.alias(f"t_{v}") for v, t in total.items()], *[s.alias(f"s_{v}") for v, s in seen.items()])
+    best = per.groupBy("query").agg(*[F.max_by(F.struct("cid", "truth"), F.when(F.col(f"s_{v}"), F.struct(f"t_{v}", -F.col("cid")))).alias(v) for v in variants])
+    rows = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("b")) for v in variants])
+    return best.select("query", F.explode(rows).alias("r")).select("r.variant", "query", "r.b.cid", "r.b.truth").filter("cid is not null")
+
+
+def extended_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``versus_baseline`` with the truth's presence in the pool, the accuracy where it is there, and errors inside the truth's group."""
+    n, o, p = F.col("new_ok"), F.col("old_ok"), F.col("in_pool")
+    g = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(n).alias("exact"), F.count_if(n & ~o).alias("fixed"), F.count_if(~n & o).alias("broken"), F.count_if(p).alias("in_pool"),
+                            F.count_if(n & p).alias("_h"), F.count_if(~n & F.col("same_group")).alias("same_group_errors"))
+    return g.withColumn("conditional", F.col("_h") / F.nullif(F.col("in_pool"), F.lit(0))).drop("_h")
