@@ -39,7 +39,7 @@ from tessera.session import discard, materialize
 
 #: Words of a gram; see the README for what a longer one costs.
 ORDER = 2
-SHARDS = 2
+SHARDS = 4
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
 _M1 = U64(0x9E3779B97F4A7C15)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,12 +66,12 @@ def gram_keys(text: str, order: int) -> list[np.ndarray]:
 def _grams(order: int):
     """(o, k, s, c, n): each gram of a predicted word, the gram without its first word, its context; n counts the longest ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows(batches, 2000):
+        for b in rows(batches, 1000):
             held: list[list[tuple]] = [[] for _ in range(order + 1)]
             for text in b.column(0).to_pylist():
                 if text:
                     keys = gram_keys(text, order)
-                    for k in range(max(2, 1), order + 1):
+                    for k in range(2, order + 1):
                         lead = max(1, order - 1)
                         held[k].append((keys[k - 1][lead:], keys[k - 2][lead:], keys[k - 2][lead - 1:-1]))
             for k in range(2, order + 1):
