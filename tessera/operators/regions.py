@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,43 +13,40 @@ from tessera.functions import text as T
 from tessera.operators.graph import connected_components
 
 
-def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.minimum(box[0] + box[2], others[:, 0] + others[:, 2]) - np.maximum(box[0], others[:, 0])
-    h = np.minimum(box[1] + box[3], others[:, 1] + others[:, 3]) - np.maximum(box[1], others[:, 1])
-    i = np.maximum(w, 0) * np.maximum(h, 0)
-    return i / np.maximum(box[2] * box[3] + others[:, 2] * others[:, 3] - i, 1e-12)
-
-
 def suppress(boxes: DataFrame, most: float = 0.5, image: str = "image", box_id: str = "box_id") -> DataFrame:
     """Boxes (image, box_id, x, y, width, height, score) that no better box of their image overlaps by more than ``most``.  A group is one image."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", box_id], ascending=[False, True])
-        b, alive = g[["x", "y", "width", "height"]].to_numpy(float), np.ones(len(g), bool)
-        for i in range(len(g)):
-            if alive[i]:
-                alive[i + 1:] &= _iou(b[i], b[i + 1:]) <= most
-        return g[alive]
-    return boxes.groupBy(image).applyInPandas(run, boxes.schema)
+    others = [c for c in boxes.columns if c not in (image, box_id)]
+    order = F.struct((-F.col("score")).alias("_s"), F.col(box_id), *[F.col(c) for c in others])
+    kind = f"array<{boxes.select(order.alias('o')).schema['o'].dataType.simpleString()}>"
+    kept = F.aggregate(F.sort_array(F.collect_list(order)), F.expr(f"cast(array() as {kind})"),
+                       lambda acc, b: F.when(F.exists(acc, lambda k: K.iou(k, b) > most), acc).otherwise(F.concat(acc, F.array(b))))
+    return boxes.groupBy(image).agg(kept.alias("_k")).select(image, F.explode("_k").alias("_b")).select(*[F.col(image) if c == image else F.col(f"_b.{c}") for c in boxes.columns])
 
 
 def consensus(regions: DataFrame, least: float = 0.5, image: str = "image") -> DataFrame:
-    """Groups of overlapping regions with equal text (image, text, x, y, width, height, score), greedily by score: the score-weighted box,
-    the number of regions and their mean score."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for text, t in g.groupby("text"):
-            t = t.sort_values(["score", "x", "y"], ascending=[False, True, True])
-            b, s, free = t[["x", "y", "width", "height"]].to_numpy(float), t["score"].to_numpy(float), np.ones(len(t), bool)
-            for i in range(len(t)):
-                if free[i]:
-                    m = free & (_iou(b[i], b) >= least)
-                    m[i] = True
-                    free &= ~m
-                    box = np.average(b[m], axis=0, weights=np.maximum(s[m], 1e-9))
-                    out.append((g[image].iloc[0], text, *box, int(m.sum()), float(s[m].mean())))
-        return pd.DataFrame(out, columns=[image, "text", "x", "y", "width", "height", "support", "score"])
-    kind = dict(regions.dtypes)[image]
-    return regions.groupBy(image).applyInPandas(run, f"{image} {kind}, text string, x double, y double, width double, height double, support long, score double")
+    """Groups of overlapping regions with equal text (image, text, x, y, width, height, score), greedily by score: each region joins the first group whose
+    best region it overlaps by ``least``, or starts one; the score-weighted box, the number of regions and their mean score."""
+    box = ("x", "y", "width", "height")
+    order = F.struct((-F.col("score")).alias("_s"), *[F.col(c).cast("double").alias(c) for c in box], F.col("score").cast("double").alias("score"))
+    group = "struct<x:double,y:double,width:double,height:double,n:bigint,s:double,w:double,sums:array<double>>"
+
+    def weight(b: Column) -> Column:
+        return F.greatest(b["score"], F.lit(1e-9))
+
+    def start(b: Column) -> Column:
+        return F.struct(*[b[c].alias(c) for c in box], F.lit(1).cast("bigint").alias("n"), b["score"].alias("s"), weight(b).alias("w"), F.array(*[b[c] * weight(b) for c in box]).alias("sums"))
+
+    def join(g: Column, b: Column) -> Column:
+        sums = F.array(*[g["sums"][i] + b[c] * weight(b) for i, c in enumerate(box)])
+        return F.struct(*[g[c].alias(c) for c in box], (g["n"] + 1).alias("n"), (g["s"] + b["score"]).alias("s"), (g["w"] + weight(b)).alias("w"), sums.alias("sums"))
+
+    def step(acc: Column, b: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda g: K.iou(g, b) >= least), True)
+        return F.when(at == 0, F.concat(acc, F.array(start(b)))).otherwise(F.transform(acc, lambda g, i: F.when(i + 1 == at, join(g, b)).otherwise(g)))
+
+    folded = F.aggregate(F.sort_array(F.collect_list(order)), F.expr(f"cast(array() as array<{group}>)"), step)
+    g = regions.groupBy(image, "text").agg(folded.alias("_g")).select(image, "text", F.explode("_g").alias("_b"))
+    return g.select(image, "text", *[(F.col("_b.sums")[i] / F.col("_b.w")).alias(c) for i, c in enumerate(box)], F.col("_b.n").alias("support"), (F.col("_b.s") / F.col("_b.n")).alias("score"))
 
 
 def inside(outer: DataFrame, inner: DataFrame, image: str, outer_box: str, inner_box: str, least: float = 0.62) -> DataFrame:

@@ -74,6 +74,40 @@ def exact_topk(gallery: DataFrame, queries: DataFrame, k: int, gid: str = "id",
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def best_per_label(gallery: DataFrame, queries: DataFrame, gid: str, qid: str, vec: str, label: str, exclude_self: bool = False) -> DataFrame:
+    """(query, label, score): the best cosine of each query within each label.  Each batch of the gallery keeps one row a query and label; the gallery never moves."""
+    numbered = queries.select(F.col(qid).cast("long").alias("query"), F.col(vec).alias("v"))
+    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
+    kind = dict(gallery.dtypes)[label]
+    out = None
+    for b in range(blocks):
+        q = numbered.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()
+        if not len(q):
+            continue
+        ids, m = q["query"].to_numpy(np.int64), np.vstack(q["v"].to_numpy()).astype(np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+        def search(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for lab, part in f.groupby("label", dropna=False):
+                    g = np.vstack(part["v"].to_numpy()).astype(np.float64)
+                    g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-300)
+                    for s in range(0, len(ids), 256):
+                        scores = np.round(m[s:s + 256] @ g.T, 9)
+                        if exclude_self:
+                            scores[ids[s:s + 256][:, None] == part["id"].to_numpy()[None, :]] = -np.inf
+                        best = scores.max(axis=1)
+                        ok = best > -np.inf
+                        yield pd.DataFrame({"query": ids[s:s + 256][ok], "label": [lab] * int(ok.sum()), "score": best[ok]})
+
+        g = gallery.select(F.col(gid).cast("long").alias("id"), F.col(vec).alias("v"), F.col(label).alias("label")).filter("v is not null")
+        hit = g.mapInPandas(search, f"query long, label {kind}, score double")
+        out = hit if out is None else out.union(hit)
+    if out is None:
+        out = gallery.sparkSession.createDataFrame([], f"query long, label {kind}, score double")
+    return out.groupBy("query", "label").agg(F.max("score").alias("score"))
+
+
 def collapse_references(hits: DataFrame, cid: str, score: str = "score", ref: str = "id") -> DataFrame:
     """The best reference of each (query, catalog id)."""
     return hits.groupBy("query", cid).agg(F.max(score).alias("score"), F.max_by(ref, F.struct(score, -F.col(ref))).alias("reference"))

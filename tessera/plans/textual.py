@@ -21,10 +21,9 @@ def _pairs(spark, sf_dir):
 _PAIRS = "with p as (select x.p_partkey, x.p_name as a, y.p_name as b from part x join part y on y.p_partkey = x.p_partkey + 13) "
 
 
-@query("""select doc_id, trim(regexp_replace(translate(lower(substr(text, 1, 400)), 'ё', 'е'), '[^\\p{L}\\p{N}]+', ' ', 'g')) as norm from documents where lang in ('en', 'de', 'fr', 'es')""")
+@query("""select doc_id, trim(regexp_replace(translate(lower(text), 'ё', 'е'), '[^\\p{L}\\p{N}]+', ' ', 'g')) as norm from documents""")
 def i1_normalize(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang in ('en', 'de', 'fr', 'es')")
-    return d.select("doc_id", T.normalize_match_text(F.substring("text", 1, 400)).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_match_text("text").alias("norm"))
 
 
 @query("""select doc_id, length(text) - length(replace(text, '.', '')) as stops, len(regexp_extract_all(text, '[A-Z]')) as capitals from documents""")
@@ -58,9 +57,17 @@ def i9_classifier(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type").rlike("ECONOMY"), "economy").when(F.col("p_size") > 30, "large").when(F.col("p_name").rlike("bolt"), "bolt").otherwise("other").alias("style"))
 
 
-@query("""select event_id, case when regexp_matches(props, '^(19|20)[0-9]{2}$') then 'year' else 'text' end as kind from events""")
+_LINES = """with t as (select p_partkey, case p_size % 7 when 0 then (1980 + p_size)::varchar when 1 then (4600000000 + p_partkey)::varchar when 2 then (p_size / 2.0)::varchar || ' %' when 3 then (p_size * 10)::varchar || ' ml' when 4 then p_size || ' - ' || p_partkey % 9 when 5 then p_name else '?!' end as t from part) """
+
+
+@query(_LINES + r"""select p_partkey, case when regexp_matches(t, '^(19|20)[0-9]{2}$') then 'year' when regexp_matches(t, '^[0-9]{8,14}$') then 'barcode' when regexp_matches(t, '[0-9]+([.,][0-9]+)?\s*%') then 'percentage'
+    when regexp_matches(t, '[0-9]+([.,][0-9]+)?\s*(ml|l)(\W|$)') then 'volume' when regexp_matches(t, '^[0-9\s.,-]+$') then 'number' when regexp_matches(t, '\p{L}') then 'text' else 'other' end as kind from t""")
 def i10_text_type(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", T.text_type("props")["kind"].alias("kind"))
+    s, k = F.col("p_size"), F.col("p_partkey")
+    kinds = {0: (s + 1980).cast("string"), 1: (k + 4600000000).cast("string"), 2: F.concat((s / 2).cast("decimal(5,1)").cast("string"), F.lit(" %")), 3: F.concat((s * 10).cast("string"), F.lit(" ml")),
+             4: F.concat(s.cast("string"), F.lit(" - "), (k % 9).cast("string")), 5: F.col("p_name"), 6: F.lit("?!")}
+    text = F.coalesce(*[F.when(s % 7 == i, t) for i, t in kinds.items()])
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("t")).select("p_partkey", T.text_type("t")["kind"].alias("kind"))
 
 
 @query(_PAIRS + "select p_partkey, round(1 - levenshtein(a, b) / greatest(length(a), length(b))::double, 6) as sim from p")
@@ -184,14 +191,14 @@ def k3_object_score(spark, sf_dir):
 @query()
 def k6_suppress(spark, sf_dir):
     """Greedy suppression depends on order inside an image; tests compare it with a plain loop."""
-    return regions.suppress(_boxes(spark, sf_dir).select((F.col("image") % 500).alias("image"), F.expr("(image * 10 + box_id) * 100000 + l_partkey").alias("box_id"), "x", "y", "width", "height", "score"), 0.3)
+    return regions.suppress(_boxes(spark, sf_dir).select("image", F.expr("(image * 10 + box_id) * 100000 + l_partkey").alias("box_id"), "x", "y", "width", "height", "score"), 0.3)
 
 
 @query()
 def d40_consensus(spark, sf_dir):
     """Greedy grouping inside an image; tests compare it with a plain loop."""
     b = _boxes(spark, sf_dir)
-    return regions.consensus(b.select((F.col("image") % 50).alias("image"), (F.col("l_partkey") % 4).cast("string").alias("text"), "x", "y", "width", "height", "score"))
+    return regions.consensus(b.select("image", (F.col("l_partkey") % 4).cast("string").alias("text"), "x", "y", "width", "height", "score"))
 
 
 @query("""select l_partkey, round(sum(least(v, 1) * w), 6) as total, max(v > 1)::int as capped from (select l_partkey, l_quantity / 40 as v, .5 as w from lineitem union all select l_partkey, l_discount * 12, .3 from lineitem) group by 1""")

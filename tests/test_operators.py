@@ -51,6 +51,27 @@ def test_suppression(spark):
     assert got == set().union(*(_suppress([b for b in boxes if b[0] == i], 0.3) for i in range(3)))
 
 
+def test_consensus_equals_a_plain_loop(spark):
+    random.seed(3)
+    rows = [(i % 2, random.choice("ab"), random.random() * 12, random.random() * 12, 4 + random.random() * 3, 4 + random.random() * 3, round(random.random(), 4)) for i in range(80)]
+
+    def iou(a, c):
+        w = max(0, min(a[2] + a[4], c[2] + c[4]) - max(a[2], c[2])) * max(0, min(a[3] + a[5], c[3] + c[5]) - max(a[3], c[3]))
+        return w / (a[4] * a[5] + c[4] * c[5] - w)
+    want = []
+    for image in (0, 1):
+        for text in "ab":
+            left = sorted((r for r in rows if r[:2] == (image, text)), key=lambda r: (-r[6], r[2], r[3]))
+            while left:
+                mine = [r for r in left if r is left[0] or iou(left[0], r) >= 0.5]
+                left = [r for r in left if r not in mine]
+                total = sum(r[6] for r in mine)
+                want.append((image, text, round(sum(r[2] * r[6] for r in mine) / total, 6), len(mine), round(total / len(mine), 6)))
+    df = spark.createDataFrame(rows, "image long, text string, x double, y double, width double, height double, score double")
+    got = [(r["image"], r["text"], round(r["x"], 6), r["support"], round(r["score"], 6)) for r in regions.consensus(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_consensus_counts_every_region_once(spark):
     df = spark.createDataFrame([(1, "a", 0.0, 0.0, 4.0, 4.0, 0.9), (1, "a", 0.1, 0.0, 4.0, 4.0, 0.8), (1, "a", 9.0, 9.0, 2.0, 2.0, 0.5), (1, "b", 0.0, 0.0, 4.0, 4.0, 0.7)],
                                "image long, text string, x double, y double, width double, height double, score double")
