@@ -164,3 +164,23 @@ def score_all(left: DataFrame, right: DataFrame, score: Column, left_key: Sequen
     # a stated small catalog, its size checked above
     pairs = left.join(F.broadcast(right)).withColumn("score", score)
     return _top(pairs, left_key, [F.desc("score"), *right_key], k)
+
+
+def text_hits(words: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, id, token, field, idf, conf): the tokens (id, token, field) of catalog rows that a query (query, token, conf) saw; idf is scaled to 0..1 by the
+    number of rows (one row, n)."""
+    df = words.groupBy("token").agg(F.count_distinct("id").alias("_d")).crossJoin(F.broadcast(rows))  # one row
+    idf = df.select("token", (F.log((F.col("n") + 1) / (F.col("_d") + 1)) / F.log(F.col("n") + 1)).alias("idf"))
+    return words.join(queries, "token").join(idf, "token").groupBy("query", "id", "token", "idf", "conf").agg(F.bool_or(F.col("field") == "producer").alias("producer"))
+
+
+def family_features(hits: DataFrame, best: int = 10) -> DataFrame:
+    """(query, id, family, sku, shared_family): seen tokens by what they speak for, each row scaled by its sum (2 at least); family tokens of many rows are damped."""
+    top = _top(hits.groupBy("query", "id").agg(F.sum("idf").alias("_s")), ["query"], [F.desc(F.round("_s", 9)), "id"], best).select("query", "id")
+    members = hits.join(top, ["query", "id"]).groupBy("query", "token").agg(F.count_distinct("id").alias("_m"))
+    h = hits.join(members, ["query", "token"], "left").withColumn("_m", F.coalesce("_m", F.lit(0))).withColumn("_v", F.col("idf") * F.col("conf"))
+    family = F.col("producer") | (F.col("_m") >= 2)
+    s = h.groupBy("query", "id").agg(F.sum(F.when(family, F.col("_v")).otherwise(0.0)).alias("_f"), F.sum(F.when(family, 0.0).otherwise(F.col("_v"))).alias("_k"),
+                                     F.sum(F.when(family, F.col("_v") / F.sqrt(F.greatest(F.lit(1), F.col("_m")))).otherwise(0.0)).alias("_d"))
+    total = lambda a: F.greatest(F.lit(2.0), F.col(a) + F.col("_k"))
+    return s.select("query", "id", (F.col("_f") / total("_f")).alias("family"), (F.col("_k") / total("_f")).alias("sku"), (F.col("_d") / total("_d")).alias("shared_family"))

@@ -108,6 +108,70 @@ def best_per_label(gallery: DataFrame, queries: DataFrame, gid: str, qid: str, v
     return out.groupBy("query", "label").agg(F.max("score").alias("score"))
 
 
+def _blocks(queries: DataFrame, columns: list[str]):
+    """The queries in blocks of QUERY_BLOCK, as pandas with unit vectors."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(n):
+        q = queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select(*columns).toPandas()
+        if len(q):
+            yield q, _unit(q["v"])
+
+
+def _unit(v: pd.Series) -> np.ndarray:
+    m = np.vstack(v.to_numpy()).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def score_summary(gallery: DataFrame, queries: DataFrame, key: str, vec: str, least: float) -> DataFrame:
+    """(query, above, best): how many other gallery rows reach ``least`` by cosine, and the best one.  Each batch of the gallery gives one row a query."""
+    out, schema = None, "query long, above long, best double"
+    g = gallery.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"))
+    for q, m in _blocks(queries.select(F.col(key).cast("long").alias("query"), F.col(vec).alias("v")), ["query", "v"]):
+        ids = q["query"].to_numpy()
+
+        def run(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                s = np.round(m @ _unit(f["v"]).T, 5)
+                s[ids[:, None] == f["id"].to_numpy()[None, :]] = -np.inf
+                yield pd.DataFrame({"query": ids, "above": (s >= least).sum(axis=1), "best": s.max(axis=1)})
+        part = g.mapInPandas(run, schema)
+        out = part if out is None else out.union(part)
+    if out is None:
+        return gallery.sparkSession.createDataFrame([], schema)
+    return out.groupBy("query").agg(F.sum("above").alias("above"), F.max("best").alias("best"))
+
+
+def expected_ranks(gallery: DataFrame, queries: DataFrame, key: str, vec: str, group: str) -> DataFrame:
+    """(query, expected, strict, equivalent) from queries (query, v, expected, ev, group): the rank of the expected row among all others, ties by key, and the rank of the
+    best row of its group.  Two passes over the gallery: the best of the group, then counts of what is better; each batch gives one row a query."""
+    g = gallery.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.col(group).alias("group"))
+    out = None
+    for q, m in _blocks(queries, ["query", "v", "expected", "ev", "group"]):
+        ids, expected, own = (q[x].to_numpy() for x in ("query", "expected", "group"))
+        s0 = np.round((m * _unit(q["ev"])).sum(axis=1), 9)
+
+        def scores(f: pd.DataFrame, ids=ids, m=m) -> np.ndarray:
+            s = np.round(m @ _unit(f["v"]).T, 9)
+            s[ids[:, None] == f["id"].to_numpy()[None, :]] = -np.inf
+            return s
+
+        def best(frames: Iterator[pd.DataFrame], ids=ids, own=own, scores=scores) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"query": ids, "best": np.where(own[:, None] == f["group"].to_numpy()[None, :], scores(f), -np.inf).max(axis=1)})
+        top = g.mapInPandas(best, "query long, best double").groupBy("query").agg(F.max("best").alias("best")).toPandas().set_index("query")["best"].reindex(ids).to_numpy()
+
+        def count(frames: Iterator[pd.DataFrame], ids=ids, expected=expected, s0=s0, top=top, scores=scores) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                s = scores(f)
+                ahead = (s > s0[:, None]) | ((s == s0[:, None]) & (f["id"].to_numpy()[None, :] < expected[:, None]))
+                yield pd.DataFrame({"query": ids, "expected": expected, "strict": ahead.sum(axis=1), "equivalent": (s > top[:, None]).sum(axis=1)})
+        part = g.mapInPandas(count, "query long, expected long, strict long, equivalent long")
+        out = part if out is None else out.union(part)
+    if out is None:
+        return gallery.sparkSession.createDataFrame([], "query long, expected long, strict long, equivalent long")
+    return out.groupBy("query", "expected").agg((F.sum("strict") + 1).alias("strict"), (F.sum("equivalent") + 1).alias("equivalent"))
+
+
 def collapse_references(hits: DataFrame, cid: str, score: str = "score", ref: str = "id") -> DataFrame:
     """The best reference of each (query, catalog id)."""
     return hits.groupBy("query", cid).agg(F.max(score).alias("score"), F.max_by(ref, F.struct(score, -F.col(ref))).alias("reference"))

@@ -567,3 +567,30 @@ def q1_expectations(spark, sf_dir):
     return X.check(duplicate_names=X.unique(t("part"), "p_name"), orphans=X.references(t("orders"), "o_custkey", t("customer").filter("c_nationkey > 3"), "c_custkey"),
                    vocabulary=X.in_vocabulary(t("orders"), "o_orderstatus", ["F", "O"]), range=X.finite_between(t("lineitem"), "l_quantity", 2, 49),
                    required=X.required_when(t("lineitem"), "l_shipdate", "l_linestatus = 'F'"), conflicts=X.conflicting(t("part"), "p_name", "p_type"))
+
+
+@query("select count(*) as broken from orders where o_orderstatus not in ('F', 'O')")
+def q2_vocabulary(spark, sf_dir):
+    return X.in_vocabulary(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"]).agg(F.count("*").alias("broken"))
+
+
+@query("select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey > 3)")
+def q3_references(spark, sf_dir):
+    parents = table(spark, sf_dir, "customer").filter("c_nationkey > 3")
+    return X.references(table(spark, sf_dir, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_quantity < 2 or l_quantity > 49")
+def q5_range(spark, sf_dir):
+    return X.finite_between(table(spark, sf_dir, "lineitem"), "l_quantity", 2, 49).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("select doc_id from documents left join labels using (doc_id) where n_chars > 500 and quality is null")
+def q6_required_when(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return X.required_when(d, "quality", "n_chars > 500").select("doc_id")
+
+
+@query("select p_name, count(distinct p_type) as versions from part group by 1 having count(distinct p_type) > 1")
+def q7_conflicts(spark, sf_dir):
+    return X.conflicting(table(spark, sf_dir, "part"), "p_name", "p_type").select("p_name", "versions")

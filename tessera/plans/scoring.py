@@ -323,3 +323,86 @@ def m8_narrow_catalog(spark, sf_dir):
     """Catalog rows by four recognised texts, two of which are one piece of evidence."""
     g = spark.createDataFrame([("red bolt", 0.9, 1.1, 1), ("brand#12", 0.7, 1.1, 2), ("economy", 0.5, 0.2, 3), ("bolt", 0.4, 1.1, 1)], "t string, conf double, w double, e int")
     return L.narrow(g, _items(spark, sf_dir), "e", "t", "conf", "w", "id", {"title": True, "maker": False, "type": False}).select("id", "matched", F.round("score", 6).alias("score"))
+
+
+# ---- N8, N10, N14, M17: text features and model variants
+
+_CONF = """, q as (select x.* from (values ('q1', 'red', .9), ('q1', 'bolt', .8), ('q1', 'brand#12', .6), ('q2', 'hot', .7), ('q2', 'gear', .95), ('q2', 'economy', .5)) x(query, token, conf)),
+    w as (select i.id, x.token, x.field from items i, lateral (select unnest(string_split(title, ' ')) as token, 'product' as field union all select maker, 'producer' union all select type, 'other') x),
+    n as (select count(*) as n from items), f as (select token, ln((n.n + 1) / (count(distinct id) + 1.0)) / ln(n.n + 1) as idf from w, n group by token, n.n), h as (select query, id, w.token, min(field) as field, idf, conf from w join q using (token) join f using (token) group by all) """
+_TOP = """, b as (select query, id, sum(idf) as s from (select distinct query, id, token, idf from h) group by 1, 2), t as (select query, id from b qualify row_number() over (partition by query order by round(s, 9) desc, id) <= 10),
+    m as (select query, token, count(distinct id) as members from t join h using (query, id) group by 1, 2),
+    v as (select query, id, token, max(field = 'producer') as maker, any_value(idf) * any_value(conf) as v, coalesce(any_value(members), 0) as mem from h left join m using (query, token) group by 1, 2, 3),
+    s as (select query, id, sum(case when maker or mem >= 2 then v else 0 end) as fam, sum(case when maker or mem >= 2 then 0 else v end) as sku, sum(case when maker or mem >= 2 then v / sqrt(greatest(1, mem)) else 0 end) as damped from v group by 1, 2) """
+
+
+def _text_hits(spark, sf_dir):
+    i = _items(spark, sf_dir)
+    q = spark.createDataFrame([("q1", "red", 0.9), ("q1", "bolt", 0.8), ("q1", "brand#12", 0.6), ("q2", "hot", 0.7), ("q2", "gear", 0.95), ("q2", "economy", 0.5)], "query string, token string, conf double")
+    field = lambda t, f: F.struct(t.alias("token"), F.lit(f).alias("field"))
+    w = i.select("id", F.explode(F.concat(F.transform(F.split("title", " "), lambda t: field(t, "product")), F.array(field(c("maker"), "producer"), field(c("type"), "other")))).alias("x")).select("id", "x.token", "x.field")
+    return L.text_hits(w, q, i.agg(F.count("*").alias("n")))
+
+
+@query(_ITEMS + _CONF + """, b as (select query, id, sum(idf) as s, count(*) as tokens from (select distinct query, id, token, idf from h) group by 1, 2), r as (select *, row_number() over (partition by query order by round(least(1, s / 2), 9) desc, id) as rank from b)
+    select query, id, round(least(1, s / 2), 6)::double as identity, tokens, rank from r where rank <= 20""")
+def n10_text_ranking(spark, sf_dir):
+    h = _text_hits(spark, sf_dir).groupBy("query", "id").agg(F.sum("idf").alias("s"), F.count("*").alias("tokens")).withColumn("identity", F.least(F.lit(1.0), c("s") / 2))
+    w = W.partitionBy("query").orderBy(F.desc(F.round("identity", 9)), "id")
+    return h.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").select("query", "id", F.round("identity", 6).alias("identity"), "tokens", "rank")
+
+
+@query(_ITEMS + _CONF + _TOP + "select query, id, round(fam / greatest(2, fam + sku), 6)::double as family, round(sku / greatest(2, fam + sku), 6)::double as sku, round(damped / greatest(2, damped + sku), 6)::double as shared_family from s")
+def n8_structured_text(spark, sf_dir):
+    """A producer's token, or one that two of the ten best rows hold, speaks for the family; all others for the item."""
+    return L.family_features(_text_hits(spark, sf_dir)).select("query", "id", *[F.round(x, 6).alias(x) for x in ("family", "sku", "shared_family")])
+
+
+@query(_FINAL + """, x as (select query, cid, truth, 'A' as model, geometry + ocr_attributes + ocr_identity + quality + semantic as s from t union all
+    select query, cid, truth, 'B', geometry + ocr_attributes + ocr_identity + quality + semantic + rel * .4 * tok + rel * .2 * phr + rel * .2 * am - rel * .2 * ac + .05 * oa - .1 * (1 - rel) from t union all
+    select query, cid, truth, 'C', geometry + quality + semantic + rel * .6 * tok + rel * .2 * am - rel * .2 * ac + .05 * oa - .1 * (1 - rel) from t), y as (select * from x qualify row_number() over (partition by model, query order by round(s, 9) desc, cid) = 1)
+    select model, count(*) as n, count(*) filter (truth) as ok from y group by 1""")
+def n14_model_variants(spark, sf_dir):
+    """A: without reference texts; B: with them; C: reference identity in place of the official one."""
+    f = _final(spark, sf_dir).withColumn("rel", F.round(c("reliability_penalty") * 10 + 1, 9))
+    plain = c("geometry") + c("quality") + c("semantic")
+    tail = c("reference_attribute_match") + c("reference_attribute_conflict") + c("weak_official_agreement") + c("reliability_penalty")
+    models = {"A": plain + c("ocr_attributes") + c("ocr_identity"), "B": plain + c("ocr_attributes") + c("ocr_identity") + c("reference_tokens") + c("reference_phrases") + tail, "C": plain + c("reference_tokens") * 1.5 + tail}
+    best = f.groupBy("query").agg(*[F.max_by("truth", F.struct(F.round(s, 9), -c("cid"))).alias(m) for m, s in models.items()])
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), c(m).alias("ok")) for m in models])
+    return best.select(F.explode(rows).alias("r")).groupBy("r.model").agg(F.count("*").alias("n"), F.count_if("r.ok").alias("ok"))
+
+
+# ---- F1, N5, C18, O1: ranks
+
+@query(_SOURCES + "select query, cid, rank from r where source = 'A' and rank <= 3")
+def f1_topk_stable(spark, sf_dir):
+    return _sources(spark, sf_dir).filter("source = 'A' and rank <= 3").select("query", "cid", "rank")
+
+
+@query(_SOURCES + """, m as (select *, min(score) over w as lo, max(score) over w as hi from r window w as (partition by query, source)) select query, source, cid, round(.75 * case when hi > lo then (score - lo) / (hi - lo) else 1 end + .25 / rank, 6) as source_score from m""")
+def n5_source_scores(spark, sf_dir):
+    return U.source_scores(_sources(spark, sf_dir)).select("query", "source", "cid", F.round("source_score", 6).alias("source_score"))
+
+
+_EXPECTED = """with g as (select vec_id, label, embedding::double[] as e from embeddings where embedding is not null), q as (select a.vec_id as query, a.e, b.vec_id as expected, b.label as el, round(list_cosine_similarity(a.e, b.e), 9) as s from g a join g b on b.vec_id = a.vec_id + 1 where a.vec_id % 50 = 0),
+    x as (select query, expected, s, el, vec_id, label, round(list_cosine_similarity(q.e, g.e), 9) as t from q, g where g.vec_id <> query),
+    r as (select query, expected, 1 + count(*) filter (t > s or (t = s and vec_id < expected)) as strict, max(t) filter (label = el) as best from x group by 1, 2),
+    z as (select r.query, r.expected, strict, 1 + count(*) filter (t > best) as equivalent from r join x using (query) group by all) """
+
+
+@query(_EXPECTED + "select query, expected, strict, equivalent from z")
+def o1_retrieval_ranks(spark, sf_dir):
+    """The strict rank of the expected row, and that of the best row of its group (label)."""
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    asked = e.filter("vec_id % 50 = 0").select(c("vec_id").alias("query"), c("embedding").alias("v"), (c("vec_id") + 1).alias("expected"))
+    right = e.select(c("vec_id").alias("expected"), c("embedding").alias("ev"), c("label").alias("group"))
+    return V.expected_ranks(e, asked.join(right, "expected"), "vec_id", "embedding", "label")
+
+
+@query("""with q as (select vec_id as query, embedding::double[] as e from embeddings where vec_id % 50 = 0), s as (select query, vec_id as id, round(list_cosine_similarity(q.e, embedding::double[]), 5) as score from q, embeddings where vec_id <> query and embedding is not null)
+    select query, count(*) filter (score >= .3) as above, max(score) as best from s group by 1""")
+def c18_cosine_join(spark, sf_dir):
+    """Every query vector against every gallery vector: how many reach a bound, and the best."""
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    return V.score_summary(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 0.3).select("query", "above", F.round("best", 5).alias("best"))
