@@ -184,3 +184,23 @@ def family_features(hits: DataFrame, best: int = 10) -> DataFrame:
                                      F.sum(F.when(family, F.col("_v") / F.sqrt(F.greatest(F.lit(1), F.col("_m")))).otherwise(0.0)).alias("_d"))
     total = lambda a: F.greatest(F.lit(2.0), F.col(a) + F.col("_k"))
     return s.select("query", "id", (F.col("_f") / total("_f")).alias("family"), (F.col("_k") / total("_f")).alias("sku"), (F.col("_d") / total("_d")).alias("shared_family"))
+
+
+def text_candidates(queries: DataFrame, items: DataFrame, query: str, text: str, item: str, title: str, k: int = 20, most: int = 10_000) -> DataFrame:
+    """(query, item, strong, exact, year, top3, char, rank): catalog rows by how many of their words a seen text holds nearly (0.82) and exactly, a shared year, the mean
+    of the three nearest words and the similarity of the whole texts, compared in that order.  Queries are a stated set of at most ``most`` rows, counted first;
+    each meets the distinct words and titles of the catalog once."""
+    n = queries.count()
+    if n > most:
+        raise ValueError(f"{n} queries are too many at once; give them in blocks")
+    word = lambda c: F.array_distinct(F.filter(F.split(T.normalize_match_text(c), " "), lambda w: w != ""))
+    asked = F.broadcast(queries.select(query, F.explode(word(text)).alias("_q")))
+    words = items.select(F.explode(word(title)).alias("_w")).distinct()
+    near = words.crossJoin(asked).withColumn("_r", T.ratio("_w", "_q")).groupBy(query, "_w").agg(F.max("_r").alias("_r"))
+    whole = items.select(title).distinct().crossJoin(F.broadcast(queries.select(query, text))).withColumn("char", T.ratio(T.normalize_match_text(title), T.normalize_match_text(text))).select(query, title, "char")
+    rows = items.select(item, title, F.explode(word(title)).alias("_w")).join(near, "_w").groupBy(query, item, title).agg(
+        F.count_if(F.col("_r") >= 0.82).alias("strong"), F.count_if(F.col("_r") >= 0.999).alias("exact"),
+        F.max(((F.col("_r") >= 0.999) & F.col("_w").rlike("^(19|20)[0-9]{2}$")).cast("int")).alias("year"), F.slice(F.sort_array(F.collect_list("_r"), False), 1, 3).alias("_t"))
+    rows = rows.withColumn("top3", F.aggregate("_t", F.lit(0.0), lambda s, x: s + x) / F.size("_t")).drop("_t").join(whole, [query, title])
+    order = W.partitionBy(query).orderBy(F.desc("strong"), F.desc("exact"), F.desc("year"), F.desc("top3"), F.desc("char"), item)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop(title)

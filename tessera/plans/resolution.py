@@ -320,3 +320,11 @@ def c21_pool_support(spark, sf_dir):
     token = F.when(p.startswith("1"), "red").when(p.startswith("2"), "bolt").when(p.startswith("3"), "brand#7").otherwise("none")
     s = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("span"), token.alias("token")).distinct()
     return s.join(i, "token").groupBy("span").agg(F.count_distinct("id").alias("supported"), F.min("id").alias("first"))
+
+
+@query()
+def m17_text_candidates(spark, sf_dir):
+    """The similarity is not in SQL; tests hold the ranks against plain Python."""
+    q = spark.createDataFrame([("a", "reed bolt brand 12 2001"), ("b", "hot gizmos"), ("c", "smal ring brand 7")], "query string, text string")
+    return L.text_candidates(q, _items(spark, sf_dir).withColumn("name", F.concat_ws(" ", "title", "maker")), "query", "text", "id", "name").select(
+        "query", "id", "strong", "exact", "year", F.round("top3", 6).alias("top3"), F.round("char", 6).alias("char"), "rank")

@@ -100,3 +100,21 @@ def test_ratio_and_phrases(spark):
         a, b = pairs[r["i"]]
         assert r["r"] == (SequenceMatcher(None, a, b).ratio() if a and b else 0.0)
     assert T.phrase_spans("a b c a b d".split(), {"a": [("a", "b"), ("a", "b", "c"), ("a",)], "d": [("d",)]}) == [(0, 3, "a b c"), (3, 5, "a b"), (5, 6, "d")]
+
+
+def test_text_candidates_equal_plain_python(spark):
+    from tessera.operators import lexical as L
+
+    titles = ["red bolt 2001", "red ring", "reed bold 1999", "hot gizmo", "bolt", "old plate 2001 large"]
+    texts = ["red bolts 2001", "hot gizmos old", "x"]
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    items = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    got = L.text_candidates(spark.createDataFrame(list(enumerate(texts)), "q long, text string"), items, "q", "text", "id", "title", k=4).collect()
+    for q, text in enumerate(texts):
+        rows = []
+        for i, t in enumerate(titles):
+            best = sorted((max(ratio(w, x) for x in text.split()) for w in t.split()), reverse=True)
+            year = int(bool({w for w in t.split() if re.fullmatch("(19|20)[0-9]{2}", w)} & set(text.split())))
+            rows.append((sum(b >= .82 for b in best), sum(b >= .999 for b in best), year, round(sum(best[:3]) / len(best[:3]), 9), round(ratio(t, text), 9), -i))
+        want = [-r[5] for r in sorted(rows, reverse=True)[:4]]
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["q"] == q] == want
