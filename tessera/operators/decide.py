@@ -69,12 +69,16 @@ def audit_priority(style_risk: Column, history_risk: Column, rank_risk: Column,
     return style_risk * 0.58 + history_risk * 0.24 + rank_risk * 0.12 + metadata_risk
 
 
-def percentile_risk(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the share of all values that are at most a row's own.  Values are counted first, so the running sum has one row per distinct value."""
-    counted = df.groupBy(value).agg(F.count("*").alias("_c"))
-    total = counted.agg(F.sum("_c").alias("_n"))
-    run = counted.withColumn("_s", F.sum("_c").over(W.orderBy(value)))
-    share = run.crossJoin(F.broadcast(total)).select(value, (F.col("_s") / F.col("_n")).alias(name))  # one row
+def percentile_risk(df: DataFrame, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds the share of all values that are at most a row's own; null for a null.  Distinct values are counted and dealt into ``buckets`` ranges at approximate
+    quantiles: running sums run inside each range, and what lies below a range is a table of one row per range."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    cuts = counted.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000).alias("_q"))
+    dealt = counted.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")  # one row of quantiles
+    ranges = dealt.groupBy("_b").agg(F.sum("_c").alias("_t"))
+    below = ranges.select("_b", (F.sum("_t").over(W.orderBy("_b")) - F.col("_t")).alias("_below"), F.sum("_t").over(W.partitionBy(F.lit(1))).alias("_n"))  # a row per range
+    run = dealt.withColumn("_s", F.sum("_c").over(W.partitionBy("_b").orderBy(value)))
+    share = run.join(F.broadcast(below), "_b").select(value, ((F.col("_below") + F.col("_s")) / F.col("_n")).alias(name))
     return df.join(share, value, "left")
 
 
