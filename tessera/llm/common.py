@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -80,3 +81,32 @@ def row_keys(docs: DataFrame) -> DataFrame:
     files = materialize(files.withColumn("__no", F.row_number().over(W.orderBy("__file")).cast("long")), "files")
     key = F.shiftleft("__no", 40).bitwiseOR(F.col("__at"))
     return placed.join(F.broadcast(files), "__file").select(*docs.columns, key.alias(ROW))
+
+
+def running_sums(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with the sum ``before`` of ``value`` over the earlier rows of the same ``group`` (a long column) by ``order``, which must tell rows apart.
+    Rows are dealt out by ranges of (group, order): each task adds up its own, and the tasks' totals, a row for each task and group
+    in it, give where each begins; so a group may hold any share of the rows."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carry = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, v = b.column(group).to_numpy(), b.column(value).to_numpy()
+            sums = np.cumsum(v) - v
+            first = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
+            start = np.repeat(sums[first], np.diff(np.concatenate([first, [len(g)]])))
+            before = sums - start
+            if g[0] == last:
+                before[:first[1] if len(first) > 1 else len(g)] += carry
+            last, carry = g[-1], int(before[-1] + v[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(g), part)), pa.array(before)], [*names, "__part", "__before"])
+
+    ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    local = materialize(ranged.mapInArrow(run, f"{kinds}, __part long, __before long"), "sums")
+    totals = local.groupBy("__part", group).agg(F.sum(value).alias("__sum"))
+    base = totals.select("__part", group, F.coalesce(F.sum("__sum").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    return local.join(F.broadcast(base), ["__part", group]).select(*names, (F.col("__base") + F.col("__before")).alias("before"))

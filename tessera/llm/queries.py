@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators: each over its whole table, with production parameters.
 
-The two exact joins have oracle SQL.  Tokenizers, trained models and tree walks cannot be stated in SQL; tests/llm holds each of
+The two exact joins and the centroids have oracle SQL.  Tokenizers, trained models and tree walks cannot be stated in SQL; tests/llm holds each of
 those against a plain version, an exact round trip or held-out accuracy.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embedding_dedup, html_text, langid, ngram_join, packing, pii, quality, token_counts, url_filter
+from tessera.llm import centroids, decontaminate, embedding_dedup, html_text, langid, mixing, ngram_join, packing, pii, quality, token_counts, url_filter, whitening
 from tessera.session import table
 
 
@@ -54,9 +54,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_html_text, op3_decontaminate, op4_ngram_join, op5_embedding_dedup,
-                                    op6_packing, op7_langid, op8_pii, op9_quality, op10_url_filter)}
+                                    op6_packing, op7_langid, op8_pii, op9_quality, op10_url_filter, op11_centroids, op12_whitening, op13_mixing)}
 
 
 _LINKED = """, reach as (with recursive r(a, b) as (select id, id from ids union select r.a, l.b from r join links l on l.a = r.b) select a, min(b) as c from r group by 1) """
@@ -73,6 +85,20 @@ ORACLES = {
         + _LINKED + """, k as (select a, count(*) as n from links group by 1) select i.id as vec_id, coalesce(k.n, 0) as n_links, r.c as component_id, i.id = r.c as kept from ids i join reach r on r.a = i.id left join k on k.a = i.id""",
 }
 
+#: Ten rounds of assignment and exact means, then the last assignment; a[i] and c[i] are the assignment and the centroids of round i.
+_ROUND = """, a{i} as materialized (select v.r, arg_min(c.j, (list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.x, c.x)]), c.j)) as j from v, c{i} c group by 1),
+        m{i} as (select a{i}.j, p, cast((sum(v.x[p]) - (sum(v.x[p]) % count(*) + count(*)) % count(*)) // count(*) as bigint) as y from a{i} join v using (r), range(1, 65) t(p) group by 1, 2),
+        n{i} as (select j, list(y order by p) as x from m{i} group by 1),
+        c{k} as materialized (select c.j, coalesce(n.x, c.x) as x from c{i} c left join n{i} n using (j))"""
+
+ORACLES["op11_centroids"] = """with e as (select vec_id, embedding::double[] as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        v as materialized (select row_number() over () as r, vec_id, [cast(floor(1024 * x) as bigint) for x in e] as x from e),
+        c0 as materialized (select row_number() over (order by sha256('3:' || vec_id) nulls last, x) - 1 as j, x from v qualify j < 8)""" + "".join(_ROUND.format(i=i, k=i + 1) for i in range(10)) + """,
+        f as (select v.r, arg_min((c.j, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.x, c.x)])), (list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.x, c.x)]), c.j)) as b from v, c10 c group by 1),
+        g as (select vec_id, cast(b[1] as int) as cluster, cast(b[2] as bigint) as distance from f join v using (r))
+        select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+        from g join c10 c on c.j = g.cluster"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
