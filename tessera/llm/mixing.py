@@ -156,8 +156,9 @@ class Mixture:
 
     @property
     def rows(self) -> DataFrame:
-        """The mix: the pieces of the block in each slot of each shard."""
-        return self.slots.join(self.pieces, ["s", "block"])
+        """The mix: the pieces of the block in each slot of each shard.  Both sides grow with the documents, so neither is broadcast,
+        however small the planner takes the slots to be from the draws they are made of."""
+        return self.slots.hint("merge").join(self.pieces, ["s", "block"])
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", words: bool = False, most: int = 3,
