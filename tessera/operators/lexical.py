@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import wordjoin as J
 
 
 def _top(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
@@ -43,28 +44,31 @@ def keyword_search(queries: DataFrame, items: DataFrame, query: str, keywords: s
     """(query, item, score): the k items that hold most of a query's keywords, longer ones counting more.  Items hold words, so
     candidates come from an equality join on words; a keyword inside a longer word is found through the distinct words."""
     words = items.select(item, F.explode(F.array_distinct(F.split(searchable, " "))).alias("_w"))
-    vocabulary = words.select("_w").distinct()
     keys = queries.select(query, F.explode(F.array_distinct(keywords)).alias("_k"), F.aggregate(F.array_distinct(keywords), F.lit(0), lambda s, x: s + F.length(x)).alias("_n"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-    known = keys.select("_k").distinct().withColumn("_g", F.substring("_k", 1, 3))
-    inside = vocabulary.withColumn("_g", F.explode(grams(F.col("_w")))).join(known, "_g").filter(F.col("_w").contains(F.col("_k"))).select("_k", "_w").distinct()
+    inside = J.texts_holding(words, keys, "_w", "_k")
     hit = keys.join(inside, "_k").join(words, "_w").select(query, item, "_k", "_n").distinct()
     s = hit.groupBy(query, item).agg((F.sum(F.length("_k")) / F.max("_n")).alias("_c"), F.count("*").alias("hits"))
     s = s.withColumn("score", F.least(F.lit(0.99), 0.3 + F.col("_c") * 0.58 + F.least(F.lit(0.12), F.col("hits") * 0.04)))
     return _top(s, [query], [F.desc(F.round("score", 9)), item], k).select(query, item, "hits", "score")
 
 
-def tag_match(queries: DataFrame, tags: DataFrame, query: str, tokens: str, item: str, tag: str, weight: str, k: int = 5) -> DataFrame:
-    """(query, item, matched, score): each query token takes its best tag of an item by edit similarity times weight; coverage, the strongest
-    and a bonus for several matches make the score.  Distinct token-tag pairs are compared once, near ones by first letter."""
-    asked = queries.select(query, F.explode(F.array_distinct(tokens)).alias("_t"), F.size(F.array_distinct(tokens)).alias("_n"))
-    left = asked.select("_t").distinct().withColumn("_b", F.substring("_t", 1, 1))
-    right = tags.select(F.col(tag).alias("_g")).distinct().withColumn("_b", F.substring("_g", 1, 1))
-    near = left.join(right, "_b").withColumn("_s", T.edit_similarity("_t", "_g")).filter("_s > 0").select("_t", "_g", "_s")
-    best = (asked.join(near, "_t").join(tags.select(item, F.col(tag).alias("_g"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(weight))).alias("_w")), "_g")
+def tag_match(queries: DataFrame, tags: DataFrame, query: str, text: str, item: str, tag: str, weight: str, k: int = 5) -> DataFrame:
+    """(query, item, matched, score): each word of a query's text takes its best tag of an item, by the most similar word of the tag (equal, prefix or Dice) or fully
+    where the text holds the whole tag, times the tag's weight; coverage, the strongest and a bonus for several matches make the score.
+    Texts and tags are normalised words; distinct words and tags are compared once.  Fixed values: the weights and bounds."""
+    word = lambda c, name: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))).alias(name)
+    asked = queries.select(query, F.col(text).alias("_x"), word(text, "_t"))
+    asked = asked.join(asked.groupBy(query).agg(F.count("*").alias("_n")), query)
+    known = tags.select(F.col(tag).alias("_g")).distinct()
+    split = known.select("_g", word("_g", "_v"))
+    near = J.dice_pairs(asked.select("_t"), split.select("_v"), "_t", "_v").join(split, "_v").select("_t", "_g", "similarity")
+    held = J.texts_holding(asked.select("_x"), known, "_x", "_g").join(asked.select("_x", "_t").distinct(), "_x").select("_x", "_t", "_g", F.lit(1.0).alias("similarity"))
+    found = asked.join(near, "_t").unionByName(asked.join(held, ["_x", "_t"]))
+    bound = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(weight)))
+    best = (found.groupBy(query, "_t", "_n", "_g").agg(F.max("similarity").alias("_s")).join(tags.select(item, F.col(tag).alias("_g"), bound.alias("_w")), "_g")
             .groupBy(query, item, "_t", "_n").agg(F.max(F.col("_s") * F.col("_w")).alias("_s")))
-    s = best.groupBy(query, item).agg((F.sum("_s") / F.max("_n")).alias("_c"), F.max("_s").alias("_m"), F.count_if(F.col("_s") >= 0.52).alias("matched")).filter("matched > 0")
-    s = s.withColumn("score", F.least(F.lit(0.99), F.col("_c") * 0.62 + F.col("_m") * 0.32 + F.least(F.lit(0.12), (F.col("matched") - 1) * 0.06))).filter("score >= 0.38")
+    s = best.groupBy(query, item).agg((F.sum("_s") / F.max("_n")).alias("_c"), F.max("_s").alias("_m"), F.count_if(F.round("_s", 9) >= 0.52).alias("matched")).filter("matched > 0")
+    s = s.withColumn("score", F.least(F.lit(0.99), F.col("_c") * 0.62 + F.col("_m") * 0.32 + F.least(F.lit(0.12), (F.col("matched") - 1) * 0.06))).filter(F.round("score", 9) >= 0.38)
     return _top(s, [query], [F.desc(F.round("score", 9)), item], k).select(query, item, "matched", "score")
 
 
@@ -86,14 +90,13 @@ def similar_items(items: DataFrame, item: str, title: str, fields: dict[str, flo
 
 def weighted_fuzzy_search(queries: DataFrame, items: DataFrame, query: str, tokens: str, item: str, fields: dict[str, float], least: float = 0.6, k: int = 5) -> DataFrame:
     """(query, item, score): the best similarity of each query token to a word of each field, weighted by field, averaged over the tokens.
-    Distinct words are compared once, by first letter."""
+    Distinct words are compared once, in a join that finds every pair of at least ``least``."""
     words = None
     for f, w in fields.items():
         part = items.select(item, F.lit(w).alias("_f"), F.explode(F.array_distinct(F.split(F.lower(f), " "))).alias("_g"))
         words = part if words is None else words.union(part)
     asked = queries.select(query, F.explode(F.array_distinct(tokens)).alias("_t"), F.size(F.array_distinct(tokens)).alias("_n"))
-    near = (asked.select("_t", F.substring("_t", 1, 1).alias("_b")).distinct().join(words.select("_g", F.substring("_g", 1, 1).alias("_b")).distinct(), "_b")
-            .withColumn("_s", T.edit_similarity("_t", "_g")).filter(F.col("_s") >= least).select("_t", "_g", "_s"))
+    near = J.edit_pairs(asked, words, "_t", "_g", least).withColumnRenamed("similarity", "_s")
     s = asked.join(near, "_t").join(words, "_g").groupBy(query, item, "_t", "_n").agg(F.max(F.col("_s") * F.col("_f")).alias("_s"))
     s = s.groupBy(query, item).agg((F.sum("_s") / F.max("_n")).alias("score"))
     return _top(s, [query], [F.desc(F.round("score", 9)), item], k).select(query, item, "score")

@@ -93,10 +93,9 @@ def reviewable(regions: DataFrame, crop: str, key: str, text: str, confidence: s
 
 
 def merge_fragments(boxes: DataFrame, image: str, n: str, group: str, contained: float = 0.82) -> DataFrame:
-    """Boxes (image, n: number in the image below 2^20, group, x, y, width, height) united where they overlap without one holding ``contained`` of
+    """Boxes (image, n: number in the image, group, x, y, width, height) united where they overlap without one holding ``contained`` of
     the smaller, or where they share a group: one row per union with its first number, members, bounds and mode."""
-    node = F.shiftleft(F.xxhash64(image) if dict(boxes.dtypes)[image] == "string" else F.col(image).cast("long"), 20) + F.col(n)
-    b = boxes.withColumn("_v", node).withColumn("_r", F.struct("x", "y", "width", "height"))
+    b = boxes.withColumn("_v", F.struct(F.col(image).alias("image"), F.col(n).alias("n"))).withColumn("_r", F.struct("x", "y", "width", "height"))
     o = b.select(image, F.col("_v").alias("_w"), F.col("_r").alias("_q"))
     shared = K.intersection("_r", "_q")
     part = shared / F.greatest(F.lit(1.0), F.least(K.area("_r"), K.area("_q")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as GEO
 from tessera.operators import fusion as FU
 from tessera.operators import relational as R
+from tessera.operators import wordjoin as J
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -133,19 +134,17 @@ def c27_consistency_join(spark, sf_dir):
     return d.join(table(spark, sf_dir, "labels").withColumn("in_labels", F.lit(1)), "doc_id", "full").select("doc_id", v.alias("violation")).filter("violation is not null")
 
 
-@query("""with k as (select distinct string_split(p_name, ' ')[1] as word from part), v as (select distinct string_split(p_name, ' ')[-1] as term from part),
-    s as (select word, term, 1.0 - levenshtein(word, term) / greatest(length(word), length(term)) as score from k, v
-          where abs(length(word) - length(term)) <= 0.26 * greatest(length(word), length(term)))
-    select word, term, round(score, 6) as score from s where score >= 0.2 qualify row_number() over (partition by word order by score desc, term) = 1""")
+@query("""with k as (select distinct unnest(string_split(p_name, ' ')) as term from part), w as (select distinct case l_linenumber % 4 when 0 then 'x' || substr(w, 2) when 1 then w || 's' when 2 then left(w, length(w) - 1) else w end as word
+      from (select l_linenumber, unnest(string_split(p_name, ' ')) as w from lineitem join part on p_partkey = l_partkey)),
+    s as (select word, term, 1 - levenshtein(word, term) / greatest(length(word), length(term))::double as score from w cross join k where abs(length(word) - length(term)) <= greatest(1, ceil(length(word) * .26)))
+    select word, term, round(score, 6) as score from s where score >= .74 qualify row_number() over (partition by word order by score desc, length(term), term) = 1""")
 def c28_nearest_keyword(spark, sf_dir):
-    """The nearest term by edit similarity, looked for only among lengths within 26 percent (an equi-join on the length, not on all pairs)."""
-    parts = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("w"))
-    k = parts.select(F.col("w")[0].alias("word")).distinct().withColumn("a", F.length("word"))
-    v = parts.select(F.element_at("w", -1).alias("term")).distinct().withColumn("b", F.length("term"))
-    near = k.withColumn("b", F.explode(F.expr("sequence(cast(floor(a * 0.74) as int), cast(ceil(a / 0.74) as int))")))
-    j = near.join(v, "b").filter(F.abs(F.col("a") - F.col("b")) <= 0.26 * F.greatest("a", "b"))
-    j = j.withColumn("score", 1.0 - F.levenshtein("word", "term") / F.greatest("a", "b")).filter("score >= 0.2")
-    return R.first_per_key(j, "word", [F.desc("score"), "term"]).select("word", "term", F.round("score", 6).alias("score"))
+    """Words of the lines, some of them misspelled, and the equal or nearest keyword of the catalog."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
+    kind = F.col("l_linenumber") % 4
+    word = (F.when(kind == 0, F.concat(F.lit("x"), F.substr("w", F.lit(2)))).when(kind == 1, F.concat("w", F.lit("s"))).when(kind == 2, F.left("w", F.length("w") - 1)).otherwise(F.col("w")))
+    seen = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(word.alias("word")).distinct()
+    return J.nearest_words(seen, parts.select(F.col("w").alias("term")), "word", "term", 0.74, 0.26).select("word", "term", F.round("similarity", 6).alias("score"))
 
 
 @query("""with s as (select *, regexp_replace(url, '[0-9]+/?([?#].*)?$', '') as stem from pages)

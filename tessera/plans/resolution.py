@@ -146,18 +146,36 @@ def m14_keyword_search(spark, sf_dir):
     return L.keyword_search(q, i.withColumn("s", F.concat_ws(" ", "title", "maker")), "query", "ks", "id", "s").select("query", "id", "hits", F.round("score", 6).alias("score"))
 
 
-_TAGS = _ITEMS + """, tags as (select id, unnest(string_split(title, ' ')) as tag, .9 as w from items union all select id, maker, .7 from items union all select id, type, .4 from items),
-    q as (select 'bolt red' as query, ['bolt', 'reed', 'brand#12'] as ts union all select 'hot', ['hot', 'gizmos', 'small']), d as (select query, unnest(ts) as t, len(ts) as n from q),
-    b as (select query, id, t, n, max((1 - levenshtein(t, tag) / greatest(length(t), length(tag))::double) * w) as s from d join tags on substr(t, 1, 1) = substr(tag, 1, 1) and levenshtein(t, tag) < greatest(length(t), length(tag)) group by all),
-    c as (select query, id, count(*) filter (s >= .52) as matched, least(.99, sum(s) / max(n) * .62 + max(s) * .32 + least(.12, greatest(0, count(*) filter (s >= .52) - 1) * .06)) as score from b group by 1, 2)"""
+#: Of every fiftieth item: its title without the first letter, with a wrong one or in a wrong order, and its maker; so no first letter can be trusted.
+_ASKED = """, q as (select id as query, case id // 50 % 3 when 0 then 'x' || substr(title, 2) when 1 then substr(title, 2) || ' ' || left(title, 3) else string_agg_words end || ' ' || maker as text
+      from (select *, array_to_string(list_reverse(string_split(title, ' ')), ' ') as string_agg_words from items) where id % 50 = 0),
+    d as (select query, text, unnest(list_distinct(list_filter(string_split(text, ' '), lambda x: x <> ''))) as t from q), n as (select query, count(*) as n from d group by 1)"""
 
 
-@query(_TAGS + """ select query, id, matched, round(score, 6)::double as score from c where matched > 0 and score >= .38 qualify row_number() over (partition by query order by round(score, 9) desc, id) <= 5""")
+def _asked(items):
+    title = F.col("title")
+    turn = F.floor(F.col("id") / 50) % 3
+    text = (F.when(turn == 0, F.concat(F.lit("x"), F.substr(title, F.lit(2)))).when(turn == 1, F.concat_ws(" ", F.substr(title, F.lit(2)), F.left(title, F.lit(3))))
+            .otherwise(F.array_join(F.reverse(F.split(title, " ")), " ")))
+    return items.filter("id % 50 = 0").select(F.col("id").alias("query"), F.concat_ws(" ", text, "maker").alias("text"))
+
+
+_TAGS = _ITEMS + _ASKED + """, tags as (select id, unnest(string_split(title, ' ')) as tag, .9 as w from items union all select id, title, .95 from items union all select id, maker, .7 from items union all select id, type, .4 from items),
+    split as (select distinct tag, unnest(string_split(tag, ' ')) as v from tags), bi as (select v, [substr(v, i, 2) for i in range(1, length(v))] as g from (select distinct v from split union select distinct t from d) u),
+    pr as (select t, y.v as v, x.g as x, y.g as y from (select distinct t from d) a join bi x on x.v = t cross join bi y where y.v in (select v from split)),
+    sim as (select t, v, case when t = v then 1.0 when least(length(t), length(v)) >= 4 and (starts_with(t, v) or starts_with(v, t)) then .82 when least(length(t), length(v)) < 2 then 0
+      else 2.0 * list_sum([least(len(list_filter(x, lambda z: z = k)), len(list_filter(y, lambda z: z = k))) for k in list_distinct(x)]) / (len(x) + len(y)) end as s from pr),
+    f as (select query, t, tag, max(s) as s from (select query, t, tag, s from d join sim using (t) join split using (v) where s > 0 union all select query, t, tag, 1.0 from d join (select distinct tag from tags) g on contains(text, tag)) group by all),
+    b as (select query, id, t, max(s * w) as s from f join tags using (tag) group by all),
+    c as (select query, id, count(*) filter (round(s, 9) >= .52) as matched, sum(s) / max(n) as cov, max(s) as best from b join n using (query) group by 1, 2),
+    o as (select *, least(.99, cov * .62 + best * .32 + least(.12, (matched - 1) * .06)) as score from c where matched > 0)"""
+
+
+@query(_TAGS + """ select query, id, matched, round(score, 6)::double as score from o where round(score, 9) >= .38 qualify row_number() over (partition by query order by round(score, 9) desc, id) <= 5""")
 def m10_tag_match(spark, sf_dir):
     i = _items(spark, sf_dir)
-    tags = i.select("id", F.explode(F.split("title", " ")).alias("tag"), F.lit(0.9).alias("w")).union(i.select("id", "maker", F.lit(0.7))).union(i.select("id", "type", F.lit(0.4)))
-    q = spark.createDataFrame([("bolt red", ["bolt", "reed", "brand#12"]), ("hot", ["hot", "gizmos", "small"])], "query string, ts array<string>")
-    return L.tag_match(q, tags, "query", "ts", "id", "tag", "w").select("query", "id", "matched", F.round("score", 6).alias("score"))
+    tags = i.select("id", F.explode(F.split("title", " ")).alias("tag"), F.lit(0.9).alias("w")).union(i.select("id", "title", F.lit(0.95))).union(i.select("id", "maker", F.lit(0.7))).union(i.select("id", "type", F.lit(0.4)))
+    return L.tag_match(_asked(i), tags, "query", "text", "id", "tag", "w").select("query", "id", "matched", F.round("score", 6).alias("score"))
 
 
 _SIMILAR = """, p as (select a.id, b.id as other, a.title as t1, b.title as t2, a.{0} = b.{0} as s0, a.{1} = b.{1} as s1, a.{2} = b.{2} as s2 from items a join items b on a.id <> b.id and (a.{0} = b.{0} or a.{1} = b.{1} or a.{2} = b.{2})),
@@ -178,13 +196,14 @@ def m11_metadata_similarity(spark, sf_dir):
     return L.similar_items(_items(spark, sf_dir), "id", "title", weights, base=0.0, title_weight=0.25 * blend, k=3).select("id", "other", F.round("score", 6).alias("score"))
 
 
-@query(_ITEMS + """, q as (select 'hot bolts' as query, ['hot', 'bolts'] as ts union all select 'smal gear brand#7', ['smal', 'gear', 'brand#7']), d as (select query, unnest(ts) as t, len(ts) as n from q),
-    w as (select id, unnest(string_split(title, ' ')) as g, .6 as f from items union all select id, maker, .3 from items union all select id, type, .1 from items),
-    b as (select query, id, t, n, max((1 - levenshtein(t, g) / greatest(length(t), length(g))::double) * f) as s from d join w on substr(t, 1, 1) = substr(g, 1, 1) and 1 - levenshtein(t, g) / greatest(length(t), length(g))::double >= .6 group by all),
-    c as (select query, id, sum(s) / max(n) as score from b group by 1, 2) select query, id, round(score, 6)::double as score from c qualify row_number() over (partition by query order by round(score, 9) desc, id) <= 5""")
+@query(_ITEMS + _ASKED + """, w as (select id, unnest(string_split(title, ' ')) as g, .6 as f from items union all select id, maker, .3 from items union all select id, unnest(string_split(type, ' ')), .1 from items),
+    e as (select t, g, 1 - levenshtein(t, g) / greatest(length(t), length(g))::double as s from (select distinct t from d) cross join (select distinct g from w) where 1 - levenshtein(t, g) / greatest(length(t), length(g))::double >= .6),
+    b as (select query, id, t, max(s * f) as s from d join e using (t) join w using (g) group by all),
+    c as (select query, id, sum(s) / max(n) as score from b join n using (query) group by 1, 2) select query, id, round(score, 6)::double as score from c qualify row_number() over (partition by query order by round(score, 9) desc, id) <= 5""")
 def m15_weighted_fuzzy(spark, sf_dir):
-    q = spark.createDataFrame([("hot bolts", ["hot", "bolts"]), ("smal gear brand#7", ["smal", "gear", "brand#7"])], "query string, ts array<string>")
-    return L.weighted_fuzzy_search(q, _items(spark, sf_dir), "query", "ts", "id", {"title": 0.6, "maker": 0.3, "type": 0.1}).select("query", "id", F.round("score", 6).alias("score"))
+    i = _items(spark, sf_dir)
+    q = _asked(i).withColumn("ts", F.array_distinct(F.filter(F.split("text", " "), lambda x: x != "")))
+    return L.weighted_fuzzy_search(q, i, "query", "ts", "id", {"title": 0.6, "maker": 0.3, "type": 0.1}).select("query", "id", F.round("score", 6).alias("score"))
 
 
 @query("""with p as (select a.p_partkey, string_split(a.p_name || ' 1999', ' ') as seen, string_split(b.p_name || ' 1999', ' ') as base, string_split(c.p_name, ' ') as chal from part a join part b on b.p_partkey = a.p_partkey + 1 join part c on c.p_partkey = a.p_partkey + 2),

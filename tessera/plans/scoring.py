@@ -91,9 +91,9 @@ def _final(spark, sf_dir):
     return li.withColumn("rank", F.row_number().over(w))
 
 
-@query(_FINAL + "select query, cid, round(score, 6) as score, rank from k")
+@query(_FINAL + "select query, cid, round(score::decimal(18,9), 6)::double as score, rank from k")
 def n13_final_score(spark, sf_dir):
-    return _final(spark, sf_dir).select("query", "cid", F.round("score", 6).alias("score"), "rank")
+    return _final(spark, sf_dir).select("query", "cid", F.round(c("score").cast("decimal(18,9)"), 6).cast("double").alias("score"), "rank")
 
 
 _PAIR = """, w as (select * from k where rank = 1 and not truth), b as (select * from k where truth qualify row_number() over (partition by query order by rank) = 1),

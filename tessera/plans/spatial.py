@@ -162,7 +162,7 @@ def f11_reviewable_regions(spark, sf_dir):
         F.col("p_brand").alias("crop"), "p_partkey", F.round("quality", 6).alias("quality"), "place")
 
 
-@query(_BOXES + """, o as (select *, row_number() over (partition by image order by box_id, l_partkey) as n from (select *, case when l_partkey % 5 = 0 then l_partkey % 3 end as grp from b)),
+@query(_BOXES + """, o as (select *, row_number() over (partition by image order by box_id, l_partkey, x, y, w, h) as n from (select *, case when l_partkey % 5 = 0 then l_partkey % 3 end as grp from b)),
     e as (select a.image, a.n as a, b.n as b, a.grp is not null and a.grp = b.grp as manual, i > 0 and i / greatest(1, least(a.w * a.h, b.w * b.h)) < .82 as auto from (select * from o) a join o b on a.image = b.image and a.n <> b.n,
       lateral (select greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) as i)),
     links as (select * from e where manual or auto), reach as (with recursive r(image, a, b) as (select image, n, n from o union select r.image, r.a, l.b from r join links l on l.image = r.image and l.a = r.b) select * from r),
@@ -171,7 +171,7 @@ def f11_reviewable_regions(spark, sf_dir):
     from o join c on c.image = o.image and c.n = o.n left join f on f.image = o.image and f.c = c.c group by 1, 2""")
 def d43_merged_boxes(spark, sf_dir):
     b = _boxes(spark, sf_dir).withColumn("grp", F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 3))
-    b = b.withColumn("n", F.row_number().over(W.partitionBy("image").orderBy("box_id", "l_partkey")).cast("long"))
+    b = b.withColumn("n", F.row_number().over(W.partitionBy("image").orderBy("box_id", "l_partkey", "x", "y", "width", "height")).cast("long"))
     return R.merge_fragments(b, "image", "n", "grp").select(
         "image", "first", "members", F.round("x", 4).alias("x"), F.round("width", 4).alias("width"), F.round("height", 4).alias("height"), "mode")
 

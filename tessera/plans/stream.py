@@ -63,12 +63,17 @@ def r12_leases(spark, sf_dir):
     return S.lease_status(table(spark, sf_dir, "events"), "user_id", "ts", F.expr("timestamp '2024-01-30 20:00:00'"), "24 hours").select("user_id", "recoveries", "status")
 
 
-@query("""with e as (select event_id, user_id, case when event_id % 4 = 0 then event_type || 'x' when event_id % 4 = 1 then left(event_type, 2) else event_type end as token from events), d as (select distinct event_type as w from events),
-    s as (select token, w, 1 - levenshtein(token, w) / greatest(length(token), length(w))::double as s from (select distinct token from e) join d on left(token, 1) = left(w, 1)),
+@query("""with e as (select event_id, case event_id % 6 when 0 then event_type || 'x' when 1 then left(event_type, 2) when 2 then 'x' || substr(event_type, 2) when 3 then translate(event_type, 'aceop', 'асеор') when 4 then (1990 + event_id % 40)::varchar else event_type end as token from events),
+    d as (select distinct event_type as w from events), t as (select distinct token from e where not regexp_full_match(token, '(19|20)[0-9]{2}')),
+    tf as (select distinct token, unnest([lower(token), translate(lower(token), 'авеёкмнорстухі', 'abeekmhopctyxi'), translate(lower(token), 'abeekmhopctyxi', 'авеёкмнорстухі')]) as a from t),
+    df as (select distinct w, unnest([lower(w), translate(lower(w), 'авеёкмнорстухі', 'abeekmhopctyxi'), translate(lower(w), 'abeekmhopctyxi', 'авеёкмнорстухі')]) as b from d),
+    s as (select token, w, max(1 - levenshtein(a, b) / greatest(length(a), length(b))::double) as s from tf cross join df where length(a) >= 2 and length(b) >= 2 group by 1, 2),
     b as (select token, w from s where s >= .78 qualify row_number() over (partition by token order by s desc, w) = 1) select token, coalesce(w, token) as canonical, count(*) as n from e left join b using (token) group by 1, 2""")
 def r4_corrected_tokens(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    token = F.when(F.col("event_id") % 4 == 0, F.concat("event_type", F.lit("x"))).when(F.col("event_id") % 4 == 1, F.left("event_type", F.lit(2))).otherwise(F.col("event_type"))
+    """Tokens with a letter too many, cut, with a wrong first letter, with letters of another script, years, and right ones."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_id") % 6
+    token = (F.when(kind == 0, F.concat("event_type", F.lit("x"))).when(kind == 1, F.left("event_type", F.lit(2))).when(kind == 2, F.concat(F.lit("x"), F.substr("event_type", F.lit(2))))
+             .when(kind == 3, F.translate("event_type", "aceop", "асеор")).when(kind == 4, (F.col("event_id") % 40 + 1990).cast("string")).otherwise(F.col("event_type")))
     return S.correct_tokens(e.withColumn("token", token), "token", e, "event_type").groupBy("token", "canonical").agg(F.count("*").alias("n"))
 
 
@@ -89,10 +94,10 @@ def r11_enqueue_once(spark, sf_dir):
 
 @query("""with y as (select user_id, 1990 + json_extract(props, '$.k')::bigint % 45 as year, least(value / 500, 1) as c, (event_id % 10) / 10.0 as q from events),
     v as (select user_id, year, sum(greatest(.15, c) * .55 + q * .3 + .075) as votes from y where year between 1900 and 2030 group by 1, 2)
-    select user_id, year, round(votes, 5)::double as votes, row_number() over (partition by user_id order by round(votes, 6) desc, year) as rank from v qualify rank <= 3""")
+    select user_id, year, round(votes::decimal(18,9), 5)::double as votes, row_number() over (partition by user_id order by round(votes, 6) desc, year) as rank from v qualify rank <= 3""")
 def r13_year_votes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.get_json_object("props", "$.k").cast("long") % 45 + 1990).alias("year"), F.least(F.col("value") / 500, F.lit(1.0)).alias("c"), ((F.col("event_id") % 10) / 10).alias("q"))
-    return S.year_votes(e, "user_id", "year", "c", "q").select("user_id", "year", F.round("votes", 5).alias("votes"), "rank")
+    return S.year_votes(e, "user_id", "year", "c", "q").select("user_id", "year", F.round(F.col("votes").cast("decimal(18,9)"), 5).cast("double").alias("votes"), "rank")
 
 
 @query("""with t as (select user_id, event_type as token, max(value) / 500 as score from events group by 1, 2), r as (select *, row_number() over w as r, count(*) filter (score > .55) over (partition by user_id order by score desc, token rows unbounded preceding) as s from t window w as (partition by user_id order by score desc, token)),

@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.functions import text as T
+from tessera.operators import wordjoin as J
+
 
 def stability(frames: DataFrame, key: str, ts: str, value: str, seconds: float, least: int, most_delta: float) -> DataFrame:
     """Batch: a row is stable when its key has at least ``least`` rows in the last ``seconds`` and their values spread at most ``most_delta``."""
@@ -100,24 +103,30 @@ def lease_status(beats: DataFrame, job: str, ts: str, now: Column, lease: str, a
 
 
 def correct_tokens(events: DataFrame, token: str, dictionary: DataFrame, word: str, least: float = 0.78) -> DataFrame:
-    """Adds ``canonical``: the dictionary word nearest to the token by edit similarity, the token itself where none reaches ``least``.  Distinct tokens
-    are compared once, with words of the same first letter; on a stream give the distinct tokens as a table through ``token_corrections``."""
+    """Adds ``canonical``: the dictionary word nearest to the token by edit similarity, the token itself where none reaches ``least``.  On a stream
+    give the distinct tokens as a table through ``token_corrections``."""
     return apply_corrections(events, token, token_corrections(events.select(token).distinct(), token, dictionary, word, least))
 
 
 def token_corrections(tokens: DataFrame, token: str, dictionary: DataFrame, word: str, least: float = 0.78) -> DataFrame:
-    """(token, canonical) of distinct tokens."""
-    t = tokens.select(F.col(token).alias("_t")).distinct().withColumn("_b", F.substring("_t", 1, 1))
-    d = dictionary.select(F.col(word).alias("_w")).distinct().withColumn("_b", F.substring("_w", 1, 1))
-    n = F.greatest(F.length("_t"), F.length("_w"))
-    s = t.join(d, "_b").withColumn("_s", 1 - F.levenshtein("_t", "_w") / n).filter(F.col("_s") >= least)
-    best = W.partitionBy("_t").orderBy(F.desc("_s"), "_w")
-    return s.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(F.col("_t").alias(token), F.col("_w").alias("canonical"))
+    """(token, canonical, similarity) of distinct tokens that have a canonical form.  Token and word are compared in all their spellings (as they are, and with look-alike
+    letters of either script), whatever their first letters; of equally similar words the first by letters is taken.  A year stands for itself."""
+    def spelled(df: DataFrame, c: str, name: str, form: str) -> DataFrame:
+        low = F.lower(F.trim(name))
+        forms = F.array(low, F.translate(low, *T.LOOKALIKE), F.translate(low, T.LOOKALIKE[1], T.LOOKALIKE[0]))
+        return df.select(F.col(c).alias(name)).distinct().select(name, F.explode(F.array_distinct(F.filter(forms, lambda x: F.length(x) >= 2))).alias(form))
+
+    year = F.col(token).rlike("^(19|20)[0-9]{2}$")
+    t, d = spelled(tokens.filter(~year), token, "_t", "_a"), spelled(dictionary, word, "_w", "_b")
+    near = J.edit_pairs(t, d, "_a", "_b", least).join(t, "_a").join(d, "_b").groupBy("_t", "_w").agg(F.max("similarity").alias("_s"))
+    best = near.groupBy("_t").agg(F.min(F.struct((-F.col("_s")).alias("far"), "_w")).alias("_o"))
+    years = tokens.filter(year).select(F.col(token)).distinct().select(token, F.col(token).alias("canonical"), F.lit(1.0).alias("similarity"))
+    return best.select(F.col("_t").alias(token), F.col("_o._w").alias("canonical"), (-F.col("_o.far")).alias("similarity")).union(years)
 
 
 def apply_corrections(events: DataFrame, token: str, corrections: DataFrame) -> DataFrame:
     """A stream-static join when ``events`` is a stream."""
-    return events.join(corrections, token, "left").withColumn("canonical", F.coalesce("canonical", token))
+    return events.join(corrections.select(token, "canonical"), token, "left").withColumn("canonical", F.coalesce("canonical", token))
 
 
 def admission(events: DataFrame, ts: str, newest: Column, late: str, same: Sequence[tuple[Column, Column]]) -> DataFrame:
