@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import query
 from tessera.session import table
 from tessera.streaming import sessions as S
+from tessera.streaming import state as ST
 
 
 @query("""select event_id, count(*) over w as seen, count(*) over w >= 2 and max(value) over w - min(value) over w <= 60 as stable from events
@@ -110,3 +111,45 @@ def r14_query_bundles(spark, sf_dir):
     index = e.groupBy(F.col("event_type").alias("token"), (F.col("user_id") % 20).alias("candidate")).agg((F.max("value") / 500).alias("hit"))
     c = S.bundle_candidates(S.query_bundles(t, "user_id", "token", "score", "entity"), index, "user_id", "token", "candidate", "hit")
     return c.select("user_id", "candidate", F.round("score", 6).alias("score"), "sources")
+
+
+# ---- state with timers: batch twins of the processors in tessera.streaming.state
+
+def _frames(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long")
+    token = F.array_distinct(F.array("event_type", F.concat(F.lit("k"), (k % 3).cast("string")), F.concat(F.lit("v"), F.floor(F.col("value") / 200).cast("string"))))
+    return e.withColumn("tokens", F.array_compact(token)).withColumn("sharp", F.col("value") / 1000).withColumn("bright", k / 200)
+
+
+@query("""with f as (select event_id, user_id, ts, list_distinct(list_filter([event_type, 'k' || json_extract(props, '$.k')::bigint % 3, 'v' || floor(value / 200)::bigint], lambda x: x is not null)) as t from events),
+    p as (select a.user_id, a.event_id as id, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double as j from f a join f b on a.user_id = b.user_id and b.ts between a.ts - interval 3 day and a.ts)
+    select user_id, id, count(*) as seen, round(avg(j), 7) as similarity, count(*) >= 3 and round(avg(j), 9) >= .42 as stable from p group by 1, 2""")
+def r1_token_stability(spark, sf_dir):
+    """Frames of three days, since the events of a user lie hours apart."""
+    s = ST.stability_table(_frames(spark, sf_dir), "user_id", "ts", "event_id", "tokens", ms=3 * 86_400_000, least=3, similarity=0.42)
+    return s.withColumn("similarity", F.round("similarity", 7))
+
+
+@query("""with f as (select event_id, user_id, ts, value / 1000 as a, json_extract(props, '$.k')::bigint / 200 as b from events),
+    d as (select *, coalesce(round(abs(a - lag(a) over w) + abs(b - lag(b) over w), 9) >= .3, true) as moved, epoch_us(ts) - lag(epoch_us(ts)) over w as us from f window w as (partition by user_id order by ts, event_id)),
+    i as (select *, sum(moved::int) over (partition by user_id order by ts, event_id) as island from d), s as (select user_id, event_id as id, sum(case when moved then 0 else us end) over (partition by user_id, island order by ts, event_id) / 1000 as ms from i)
+    select user_id, id, ms as stable_ms, least(1, round(ms / 86400000, 9)) as score from s""")
+def r2_stable_duration(spark, sf_dir):
+    """A full day of stillness counts as 1."""
+    s = ST.still_table(_frames(spark, sf_dir), "user_id", "ts", "event_id", ["sharp", "bright"], delta=0.3, full_ms=86_400_000)
+    return s.withColumn("score", F.round("score", 9))
+
+
+@query("""with e as (select *, min(ts) over (partition by user_id) + interval 5 day as e from events)
+    select user_id, 'locked' as kind, null::bigint as id, max(e) as at, count(*) as n, max(value) as best from e where ts < e group by 1 union all select user_id, 'rejected', event_id, ts, null, null from e where ts >= e""")
+def r7_locked_periods(spark, sf_dir):
+    return ST.period_table(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", ms=5 * 86_400_000)
+
+
+@query("""with e as (select user_id, ts, event_id, coalesce(lead(ts) over w, timestamp '2024-02-05 00:00:00') as nxt, max(json_extract(props, '$.k')::bigint = 7) over w as c from events window w as (partition by user_id order by ts, event_id)),
+    x as (select user_id, ts, event_id, c, row_number() over (partition by user_id order by ts, event_id) as recoveries from e where ts + interval 20 hour < nxt),
+    s as (select *, case when c then 'cancelled' when recoveries >= 3 then 'failed' else 'queued' end as status from x)
+    select user_id, ts + interval 20 hour as at, recoveries::int as recoveries, status from s qualify coalesce(count(*) filter (status <> 'queued') over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) = 0""")
+def r12_lease_expiries(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("stop", F.get_json_object("props", "$.k").cast("long") == 7)
+    return ST.lease_table(e, "user_id", "ts", "event_id", "stop", 20 * 3_600_000, F.expr("timestamp '2024-02-05 00:00:00'"))
