@@ -34,6 +34,32 @@ def without_forbidden(candidates: DataFrame, membership: DataFrame, a: str = "qu
     return candidates.join(ma, a, "left").join(mb, b, "left").filter("_ga is null or _gb is null or _ga <> _gb").drop("_ga", "_gb")
 
 
+def forbidden_membership(df: DataFrame, key: str, digest: str, curated: DataFrame, diagnostic: Sequence[str]) -> DataFrame:
+    """(group, reason, hard_only, key) of all groups whose members must not be each other's negatives: rows of equal content, and curated groups (group, reason, key) of known members.
+    Groups of a ``diagnostic`` reason bar only hard negatives, all others every negative.  A group stands for its pairs, which are never listed; groups of one member bar nothing
+    and are left out, null digests make no group, repeated members count once."""
+    same = df.filter(F.col(digest).isNotNull()).select(F.col(digest).cast("string").alias("group"), F.lit("identical_content").alias("reason"), F.lit(False).alias("hard_only"), F.col(key).alias("key"))
+    named = curated.join(df.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select(
+        F.col("group").cast("string"), "reason", F.col("reason").isin(*diagnostic).alias("hard_only"), "key")
+    every = same.union(named).distinct()
+    n = every.groupBy("group", "reason").agg(F.count("*").alias("_n")).filter("_n > 1")
+    return every.join(n, ["group", "reason"], "left_semi")
+
+
+def pair_verdicts(candidates: DataFrame, membership: DataFrame, a: str, b: str) -> DataFrame:
+    """``candidates`` (distinct pairs a, b) with the reasons against them and whether they may be negatives and hard negatives; a key is never its own negative.  Pairs meet the groups of
+    both sides, so the work grows with the candidates and not with the squares of the groups."""
+    m = membership.select("group", "reason", "hard_only", "key")
+    ma, mb = m.withColumnRenamed("key", a), m.withColumnRenamed("key", b)
+    pairs = candidates.select(a, b).distinct()
+    both = pairs.join(ma, a).join(mb, [b, "group", "reason", "hard_only"]).filter(F.col(a) != F.col(b))
+    r = both.groupBy(a, b).agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.bool_and("hard_only").alias("_soft"))
+    out = pairs.join(r, [a, b], "left")
+    other = F.col(a) != F.col(b)
+    return out.select(a, b, F.coalesce("reasons", F.expr("cast(array() as array<string>)")).alias("reasons"), (other & F.coalesce("_soft", F.lit(True))).alias("negative"),
+                      (other & F.col("reasons").isNull()).alias("hard_negative"))
+
+
 def negative_sample(candidates: DataFrame, anchor: str, cand: str, n: int, seed: int) -> DataFrame:
     """n candidates of each anchor without replacement, the same for any partitioning."""
     w = W.partitionBy(anchor).orderBy(F.xxhash64(F.lit(seed), anchor, cand), cand)

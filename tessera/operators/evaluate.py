@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,20 +53,114 @@ def leave_one_out(per_config: DataFrame, group: str = "dataset", config: str = "
     return best.select(group, F.col(f"b.{config}").alias(config), F.col(f"b.{n}").alias(n), F.col(f"b.{ok}").alias(ok))
 
 
+def nested_selection(rows: DataFrame, dataset: str, value: str, truth: str, factors: Sequence[float]) -> DataFrame:
+    """(dataset, config, inner_macro, n, ok): a threshold classifier (value > factor * mean of the fitting rows) chosen by nested folds.
+
+    For each left-out dataset and each other one, every factor is fitted without both and judged on the other; the factor with the best mean accuracy over the
+    others (then the most right rows, then the first) is fitted without the left-out one and judged there.  Fits come from the datasets' sums, and one scan
+    counts each row's place among its dataset's thresholds, so selection costs no further scan.  Datasets are few (a stated list); the rows are any number."""
+    sums = rows.groupBy(dataset).agg(F.count(value).alias("_n"), F.sum(F.col(value).cast("double")).alias("_s"))
+    total = sums.agg(F.sum("_n").alias("_tn"), F.sum("_s").alias("_ts"))
+    out = sums.select(F.col(dataset).alias("outer"), F.col("_n").alias("_on"), F.col("_s").alias("_os"))
+    judged = sums.select(F.col(dataset).alias("judged"), F.col("_n").alias("_jn"), F.col("_s").alias("_js"))
+    same = F.col("outer") == F.col("judged")
+    rest = lambda t, o, j: F.col(t) - F.col(o) - F.when(same, 0).otherwise(F.col(j))
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("config"), F.lit(float(f)).alias("factor")) for i, f in enumerate(factors)]))
+    folds = out.crossJoin(F.broadcast(judged)).crossJoin(F.broadcast(total)).withColumn("g", grid)  # datasets by datasets by factors
+    folds = folds.select("outer", "judged", "g.config", F.round(F.col("g.factor") * rest("_ts", "_os", "_js") / F.nullif(rest("_tn", "_on", "_jn"), F.lit(0)), 6).alias("cut")).filter("cut is not null")
+    cuts = folds.groupBy(F.col("judged").alias(dataset)).agg(F.array_sort(F.collect_set("cut")).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda x: x < F.col(value)))
+    counted = rows.filter(F.col(value).isNotNull() & F.col(truth).isNotNull()).join(F.broadcast(cuts), dataset).groupBy(F.col(dataset).alias("judged"), place.alias("_p")).agg(
+        F.count("*").alias("_c"), F.count_if(F.col(truth)).alias("_t"))
+    at = folds.join(cuts.withColumnRenamed(dataset, "judged"), "judged").withColumn("_i", F.array_position("_cuts", F.col("cut"))).drop("_cuts")
+    hit = F.when(F.col("_p") >= F.col("_i"), F.col("_t")).otherwise(F.col("_c") - F.col("_t"))
+    metrics = at.join(counted, "judged").groupBy("outer", "judged", "config").agg(F.sum("_c").alias("n"), F.sum(hit).alias("ok"))
+    inner = metrics.filter(~same).groupBy("outer", "config").agg(F.round(F.avg(F.col("ok") / F.col("n")), 9).alias("inner_macro"), F.sum("ok").alias("_ok"))
+    best = inner.groupBy("outer").agg(F.max_by(F.struct("config", "inner_macro"), F.struct("inner_macro", "_ok", -F.col("config"))).alias("_b")).select("outer", "_b.config", "_b.inner_macro")
+    return best.join(metrics.filter(same).drop("judged"), ["outer", "config"]).select(F.col("outer").alias(dataset), "config", "inner_macro", "n", "ok")
+
+
+def weight_grid(axes: dict[str, Sequence[float]]) -> list[dict[str, float]]:
+    """All combinations of the axes' values, the last axis fastest."""
+    out: list[dict[str, float]] = [{}]
+    for name, values in axes.items():
+        out = [{**c, name: v} for c in out for v in values]
+    return out
+
+
+def weight_grid_metrics(candidates: DataFrame, grid: Sequence[dict[str, float]], base: Column) -> DataFrame:
+    """(config, dataset, n, exact, broken, siblings, base_exact, base_siblings) of every weighting in one pass: a query's candidates (query, dataset, cid, truth, sibling and the
+    weighted columns), its pool, come together once; each weighting and the baseline ``base`` take their best of them, ties to the least cid."""
+    names = list(grid[0])
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    pool = F.collect_list(F.struct("cid", flag("truth"), flag("sibling"), F.round(base, 9).alias("_base"), *[F.col(n).cast("double").alias(n) for n in names]))
+    per = candidates.groupBy("query", "dataset").agg(pool.alias("_pool"))
+    best = lambda score: F.array_max(F.transform("_pool", lambda x: F.struct(score(x).alias("score"), (-x["cid"]).alias("cid"), x["truth"].alias("truth"), x["sibling"].alias("sibling"))))
+    weights = F.explode(F.array(*[F.struct(F.lit(i).alias("config"), *[F.lit(float(w[n])).alias(n) for n in names]) for i, w in enumerate(grid)])).alias("w")
+    r = per.withColumn("_b", best(lambda x: x["_base"])).select("dataset", "_b", "_pool", weights)
+    r = r.select("dataset", "_b", "w.config", best(lambda x: F.round(sum((x[n] * F.col(f"w.{n}") for n in names), F.lit(0.0)), 9)).alias("_p"))
+    wrong = lambda p: F.col(f"{p}.sibling") & ~F.col(f"{p}.truth")
+    ok, was = F.col("_p.truth"), F.col("_b.truth")
+    return r.groupBy("config", "dataset").agg(F.count("*").alias("n"), F.count_if(ok).alias("exact"), F.count_if(was & ~ok).alias("broken"), F.count_if(wrong("_p")).alias("siblings"),
+                                              F.count_if(was).alias("base_exact"), F.count_if(wrong("_b")).alias("base_siblings"))
+
+
+def feasible_weights(metrics: DataFrame, allowance: dict, most_broken: float = 0.2) -> DataFrame:
+    """(config, macro, exact, broken, feasible).  Feasible: broken at most ``most_broken`` of the queries, each dataset of ``allowance`` at most that many right answers below the
+    baseline, and no more sibling errors than the baseline."""
+    kept = F.lit(True)
+    for name, drop in allowance.items():
+        kept &= (F.col("dataset") != name) | (F.col("exact") >= F.col("base_exact") - drop)
+    return metrics.groupBy("config").agg(F.round(F.avg(F.col("exact") / F.col("n")), 9).alias("macro"), F.sum("exact").alias("exact"), F.sum("broken").alias("broken"),
+                                         ((F.sum("broken") <= most_broken * F.sum("n")) & F.bool_and(kept) & (F.sum("siblings") <= F.sum("base_siblings"))).alias("feasible"))
+
+
+def select_weights(metrics: DataFrame, allowance: dict, most_broken: float = 0.2) -> DataFrame:
+    """The feasible config that is best by macro accuracy, then exact, then fewest broken, then the first; where none is feasible all compete."""
+    return feasible_weights(metrics, allowance, most_broken).orderBy(F.desc("feasible"), F.desc("macro"), F.desc("exact"), "broken", "config").limit(1)
+
+
+#: Distinct values of a group that are drawn together, and resamples that are.
+_VALUES, _RESAMPLES = 4096, 250
+
+
+def resample_means(df: DataFrame, by: str, value: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(by, b, n, mean): the mean of each group under each resample, as many rows drawn with replacement as it has (n, exactly).
+
+    Rows are counted by value first; a resample of a group is a multinomial draw of its values' counts.  A group with many values is drawn in two
+    steps, how many rows each bucket of values gets and then which ones, which is the same law; so a task holds a bucket, not a group.  Draws are seeded by
+    group, block of resamples and bucket: they do not depend on partitions.  Null values are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(by).agg(F.ceil(F.count("*") / _VALUES).alias("_nb"))
+    placed = counts.join(sizes, by).withColumn("bucket", F.expr("pmod(xxhash64(x), _nb)"))
+    held = placed.groupBy(by, "bucket").agg(F.sort_array(F.collect_list(F.struct("x", "c"))).alias("held"), F.sum("c").alias("c"))
+    blocks = df.sparkSession.range(-(-resamples // _RESAMPLES)).withColumnRenamed("id", "block")
+    kind = dict(df.dtypes)[by]
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for g, key, block, own in f[[by, "_key", "block", "own"]].itertuples(index=False):
+                c = np.array([r["c"] for r in own], np.int64)
+                n = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF, block]).multinomial(c.sum(), c / c.sum(), size=min(_RESAMPLES, resamples - block * _RESAMPLES))
+                yield pd.DataFrame({by: [g] * len(c), "block": block, "bucket": [r["bucket"] for r in own], "drawn": list(n.T)})
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for g, key, block, bucket, drawn, own in f[[by, "_key", "block", "bucket", "drawn", "held"]].itertuples(index=False):
+                x, c = np.array([r["x"] for r in own]), np.array([r["c"] for r in own], np.float64)
+                w = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF, block, bucket]).multinomial(np.asarray(drawn), c / c.sum())
+                yield pd.DataFrame({by: [g] * len(w), "b": block * _RESAMPLES + np.arange(len(w)), "n": w.sum(axis=1), "s": w @ x})
+
+    key = F.xxhash64(by).alias("_key")
+    shares = held.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("own"))
+    drawn = shares.crossJoin(F.broadcast(blocks)).select(by, key, "block", "own").mapInPandas(split, f"`{by}` {kind}, block long, bucket long, drawn array<long>")
+    sums = drawn.join(held, [by, "bucket"]).select(by, key, "block", "bucket", "drawn", "held").mapInPandas(draw, f"`{by}` {kind}, b long, n long, s double")
+    return sums.groupBy(by, "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(by, "b", "n", (F.col("s") / F.col("n")).alias("mean"))
+
+
 def bootstrap_delta(df: DataFrame, by: str, delta: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % interval of the macro mean of ``delta``: each resample reweighs each group's rows.  Rows are first
-    counted by value; the number of draws of a value that c rows have is taken as normal with mean and variance c (not below 0), so the work is
-    distinct values x resamples, whatever the number of rows."""
-    rows = df.select(by, delta)
-    counts = rows.groupBy(by, delta).agg(F.count("*").alias("c"))
-    spark = df.sparkSession
-    b = F.broadcast(spark.range(resamples).withColumnRenamed("id", "b"))
-    u = (F.xxhash64(F.lit(seed), "b", by, delta).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float((1 << 52) + 2))
-    v = (F.xxhash64(F.lit(seed + 1), "b", by, delta).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float((1 << 52) + 2))
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
-    drawn = counts.crossJoin(b).withColumn("w", F.greatest(F.lit(0.0), F.col("c") + F.sqrt(F.col("c").cast("double")) * z))
-    means = drawn.groupBy("b", by).agg((F.sum(F.col("w") * F.col(delta)) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("m"))
-    q = means.groupBy("b").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    """(low, mid, high): the 95 % interval and the median of the macro mean of ``delta`` over resamples drawn within each group."""
+    q = resample_means(df, by, delta, resamples, seed).groupBy("b").agg(F.avg("mean").alias("m")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"))
 
 

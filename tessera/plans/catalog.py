@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as GEO
+from tessera.operators import datasets as D
+from tessera.operators import evaluate as E
 from tessera.operators import fusion as FU
 from tessera.operators import relational as R
 from tessera.operators import wordjoin as J
@@ -409,6 +411,37 @@ def o4_best_config(spark, sf_dir):
     return s.filter("n >= 10").orderBy(F.desc("mean"), "least_size").limit(1)
 
 
+_GRID = """with g as (select row_number() over (order by oi, attr, geom, dino) - 1 as config, * from (select unnest([0, .3, .6]) as oi), (select unnest([0, .2]) as attr), (select unnest([0, .3, .6]) as geom), (select unnest([0, .25, .5]) as dino)),
+    l as (select l_orderkey as query, l_orderkey % 5 as dataset, l_linenumber as cid, l_suppkey % 3 = 0 as truth, l_linestatus = 'O' as sibling, l_extendedprice / 100000 as a, l_quantity / 50 as oi_, l_discount * 5 as attr_, l_tax * 5 as geom_, l_partkey % 10 / 10.0 as dino_ from lineitem),
+    z as (select query, any_value(dataset) as dataset, arg_max({'t': truth, 's': sibling}, (round(a, 9), -cid)) as b from l group by 1),
+    p as (select config, query, arg_max({'t': truth, 's': sibling}, (round(.5 * a + oi * oi_ + attr * attr_ + geom * geom_ + dino * dino_::double, 9), -cid)) as p from l, g group by 1, 2),
+    m as (select config, dataset, count(*) as n, count(*) filter (p.t) as exact, count(*) filter (b.t and not p.t) as broken, count(*) filter (p.s and not p.t) as siblings, count(*) filter (b.t) as base_exact, count(*) filter (b.s and not b.t) as base_siblings from p join z using (query) group by 1, 2)"""
+
+
+def _weight_grid(spark, sf_dir):
+    names = ("a", "oi", "attr", "geom", "dino")
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query"), (F.col("l_orderkey") % 5).alias("dataset"), F.col("l_linenumber").alias("cid"), (F.col("l_suppkey") % 3 == 0).alias("truth"), (F.col("l_linestatus") == "O").alias("sibling"),
+        *[x.alias(n) for n, x in zip(names, (F.col("l_extendedprice") / 100000, F.col("l_quantity") / 50, F.col("l_discount") * 5, F.col("l_tax") * 5, F.col("l_partkey") % 10 / 10))])
+    grid = E.weight_grid({"a": (0.5,), "oi": (0.0, 0.3, 0.6), "attr": (0.0, 0.2), "geom": (0.0, 0.3, 0.6), "dino": (0.0, 0.25, 0.5)})
+    return E.weight_grid_metrics(li, grid, F.col("a"))
+
+
+@query(_GRID + " select config::int as config, dataset, n, exact, broken, siblings, base_exact, base_siblings from m")
+def o4_weight_grid(spark, sf_dir):
+    """The 54 weightings of four terms beside the baseline, five datasets."""
+    return _weight_grid(spark, sf_dir)
+
+
+@query(_GRID + """, c as (select config, round(avg(exact / n), 9) as macro, sum(exact) as exact, sum(broken) as broken, sum(broken) <= .2 * sum(n) and bool_and(dataset <> 1 or exact >= base_exact - 3) and bool_and(dataset <> 3 or exact >= base_exact - 2) and sum(siblings) <= sum(base_siblings) as feasible from m group by 1)
+    select config::int as config, round(macro, 7) as macro, exact::bigint as exact, broken::bigint as broken, feasible, (select count(*) from c where feasible) as n_feasible from c order by feasible desc, c.macro desc, exact desc, broken, config limit 1""")
+def o4_selected_weights(spark, sf_dir):
+    """The best of them under the constraints, and how many meet these."""
+    m, allowance = _weight_grid(spark, sf_dir), {1: 3, 3: 2}
+    met = E.feasible_weights(m, allowance).agg(F.count_if("feasible").alias("n_feasible"))
+    return E.select_weights(m, allowance).crossJoin(F.broadcast(met)).withColumn("macro", F.round("macro", 7))  # one row each
+
+
 @query("""with a as (select l_orderkey, arg_max(l_linenumber, (l_extendedprice, l_linenumber)) as top1 from lineitem group by 1),
     b as (select l_orderkey, arg_max(l_linenumber, (l_quantity, l_linenumber)) as top1 from lineitem group by 1)
     select l_orderkey, a.top1 as before, b.top1 as after from a join b using (l_orderkey) where a.top1 <> b.top1""")
@@ -438,6 +471,34 @@ def p1_forbidden_members(spark, sf_dir):
     return g.join(r, "h").filter("doc_id <> anchor").select("anchor", "doc_id", "n")
 
 
+_FORBIDDEN = """with d as (select doc_id, sha256(text) as h, source, n_chars, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as lead from documents),
+    g as (select distinct h as grp, 'identical_content' as reason, false as soft, doc_id as key from d where h is not null union select distinct lead, 'same_series', false, doc_id from d where lead is not null union select distinct source || ':' || (n_chars // 50), 'similar_length', true, doc_id from d where source is not null and n_chars is not null),
+    m as (select * from g qualify count(*) over (partition by grp, reason) > 1),"""
+
+
+def _forbidden(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "source", "n_chars", F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(2))).alias("lead"))
+    series = d.filter("lead is not null").select(F.col("lead").alias("group"), F.lit("same_series").alias("reason"), F.col("doc_id").alias("key"))
+    length = d.filter("source is not null and n_chars is not null").select(F.concat("source", F.lit(":"), F.expr("n_chars div 50").cast("string")).alias("group"), F.lit("similar_length").alias("reason"), F.col("doc_id").alias("key"))
+    return D.forbidden_membership(d, "doc_id", "h", series.union(length), ["similar_length"])
+
+
+@query(_FORBIDDEN + " z as (select 1) select grp as \"group\", reason, soft as hard_only, count(*) as members, min(key) as first from m group by 1, 2, 3")
+def p1_forbidden_groups(spark, sf_dir):
+    """Groups of equal content, of one series (equal first words) and, against hard negatives only, of similar length in one source."""
+    return _forbidden(spark, sf_dir).groupBy("group", "reason", "hard_only").agg(F.count("*").alias("members"), F.min("key").alias("first"))
+
+
+@query(_FORBIDDEN + """ pairs as (select x.key as a, y.key as b, list_sort(list(distinct x.reason)) as reasons, bool_and(x.soft) as soft from m x join m y on x.grp = y.grp and x.reason = y.reason and x.key <> y.key group by 1, 2),
+    c as (select doc_id as a, doc_id + k as b from documents, generate_series(0, 40) t(k) where doc_id + k in (select doc_id from documents))
+    select a, b, coalesce(array_to_string(reasons, ','), '') as reasons, a <> b and coalesce(soft, true) as negative, a <> b and reasons is null as hard_negative from c left join pairs using (a, b)""")
+def p1_pair_verdicts(spark, sf_dir):
+    """Every document and the forty that follow it as candidate pairs; the oracle lists all forbidden pairs."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    c = ids.select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 40)).alias("b")).join(ids.withColumnRenamed("doc_id", "b"), "b", "left_semi")
+    return D.pair_verdicts(c, _forbidden(spark, sf_dir), "a", "b").withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("""select lang, quality, count(*) as n, count(*) filter (toxic = 1) as excluded from documents join labels using (doc_id) group by lang, quality""")
 def p5_policy_report(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("lang", "quality").agg(

@@ -214,11 +214,32 @@ def o6_leave_one_out(spark, sf_dir):
     return E.leave_one_out(per)
 
 
+@query("""with r as (select source as dataset, n_chars as v, quality = 1 as t from documents join labels using (doc_id) where n_chars is not null and quality is not null), s as (select dataset, count(*) as n, sum(v)::double as s from r group by 1),
+    f as (select o.dataset as outer_, j.dataset as judged, config, round(factor * ((select sum(s) from s) - o.s - case when o.dataset = j.dataset then 0 else j.s end) / nullif((select sum(n) from s) - o.n - case when o.dataset = j.dataset then 0 else j.n end, 0), 6) as cut
+      from s o cross join s j cross join (select * from (values (0, .1), (1, .25), (2, .5), (3, .75), (4, 1.0), (5, 1.5), (6, 2.0)) g(config, factor))),
+    m as (select outer_, judged, config, count(*) as n, count(*) filter ((v > cut) = t) as ok from f join r on r.dataset = f.judged group by all),
+    h as (select outer_, config, round(avg(ok / n), 9) as inner_macro, sum(ok) as inner_ok from m where outer_ <> judged group by 1, 2), i as (select * from h qualify row_number() over (partition by outer_ order by inner_macro desc, inner_ok desc, config) = 1)
+    select outer_ as dataset, config, round(inner_macro, 7) as inner_macro, m.n, m.ok from i join m using (outer_, config) where m.judged = outer_""")
+def o6_nested_selection(spark, sf_dir):
+    """Sources are the datasets; the classifier calls long documents good."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("dataset"), "n_chars", (F.col("quality") == 1).alias("good"))
+    s = E.nested_selection(d, "dataset", "n_chars", "good", (0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0))
+    return s.withColumn("inner_macro", F.round("inner_macro", 7))
+
+
 @query()
 def d36_bootstrap(spark, sf_dir):
-    """Random draws; tests check interval properties."""
+    """Random draws, by 2,000 and by 10,000 resamples; tests hold them against a plain loop."""
+    d = _decisions(spark, sf_dir).select("source", (F.col("new_ok").cast("int") - F.col("old_ok").cast("int")).alias("delta"))
+    few, many = (E.bootstrap_delta(d, "source", "delta", n, 8101).withColumn("resamples", F.lit(n)) for n in (2000, 10_000))
+    return few.union(many)
+
+
+@query(_DECISIONS + "select source, count(*) as n, 2000::bigint as resamples, true as whole from x where new_ok is not null and old_ok is not null group by 1")
+def d36_resample_sizes(spark, sf_dir):
+    """Each of the 2,000 resamples of a source draws as many rows as it has."""
     d = _decisions(spark, sf_dir).select("source", (F.col("new_ok").cast("int") - F.col("old_ok").cast("int")).alias("delta"))
-    return E.bootstrap_delta(d, "source", "delta")
+    return E.resample_means(d, "source", "delta", 2000, 8101).groupBy("source").agg(F.min("n").alias("n"), F.count("*").alias("resamples"), (F.min("n") == F.max("n")).alias("whole"))
 
 
 @query(_SOURCES + """, h as (select query, count(distinct source) filter (rank <= 2 and cid % 3 = 0) as c, min(source) filter (rank <= 2 and cid % 3 = 0) as s from r group by 1) select s as source, count(*) as only_here from h where c = 1 group by 1""")
