@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries are held in one broadcast block per pass; a larger query set is taken block by block.
+#: Up to so many queries go to the gallery; more of them meet it block by block, blocks of as many rows.
 QUERY_BLOCK = 4096
 
 
@@ -29,146 +29,108 @@ def l2_normalize(df: DataFrame, v: str) -> DataFrame:
         (F.col("_n") > 0) & (F.col("_n") < float("inf"))).withColumn(v, F.transform(v, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
 
 
-def exact_topk(gallery: DataFrame, queries: DataFrame, k: int, gid: str = "id", qid: str = "query", vec: str = "v", exclude_self: bool = False) -> DataFrame:
-    """(query, id, score, rank): the k best gallery rows of each query by cosine, exactly.
-
-    The queries are collected in blocks of QUERY_BLOCK and sent to the gallery's partitions, each of which keeps its own k best
-    per query; the rest is a window over at most partitions x k rows a query.  The gallery never moves.
-    """
-    schema = "query long, id long, score double"
-    total = queries.count()
-    out = None
-    numbered = queries.select(F.col(qid).cast("long").alias("query"), F.col(vec).alias("v"))
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for b in range(blocks):
-        part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        q = part.orderBy("query").toPandas()
-        if not len(q):
-            continue
-        ids, m = q["query"].to_numpy(np.int64), np.vstack(q["v"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def search(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not len(f):
-                    continue
-                g = np.vstack(f["v"].to_numpy()).astype(np.float64)
-                g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-300)
-                gids = f["id"].to_numpy(np.int64)
-                for s in range(0, len(ids), 256):
-                    scores = np.round(m[s:s + 256] @ g.T, 9)
-                    if exclude_self:
-                        scores[ids[s:s + 256][:, None] == gids[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(gids, scores.shape), -scores), axis=1)[:, :k]
-                    rows = np.repeat(np.arange(len(scores)), order.shape[1])
-                    flat = order.ravel()
-                    ok = scores[rows, flat] > -np.inf
-                    yield pd.DataFrame({"query": ids[s + rows][ok], "id": gids[flat][ok], "score": scores[rows, flat][ok]})
-
-        g = gallery.select(F.col(gid).cast("long").alias("id"), F.col(vec).alias("v")).filter("v is not null")
-        hit = g.mapInPandas(search, schema)
-        out = hit if out is None else out.union(hit)
-    if out is None:
-        out = gallery.sparkSession.createDataFrame([], schema)
-    w = W.partitionBy("query").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def best_per_label(gallery: DataFrame, queries: DataFrame, gid: str, qid: str, vec: str, label: str, exclude_self: bool = False) -> DataFrame:
-    """(query, label, score): the best cosine of each query within each label.  Each batch of the gallery keeps one row a query and label; the gallery never moves."""
-    numbered = queries.select(F.col(qid).cast("long").alias("query"), F.col(vec).alias("v"))
-    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
-    kind = dict(gallery.dtypes)[label]
-    out = None
-    for b in range(blocks):
-        q = numbered.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()
-        if not len(q):
-            continue
-        ids, m = q["query"].to_numpy(np.int64), np.vstack(q["v"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def search(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for lab, part in f.groupby("label", dropna=False):
-                    g = np.vstack(part["v"].to_numpy()).astype(np.float64)
-                    g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-300)
-                    for s in range(0, len(ids), 256):
-                        scores = np.round(m[s:s + 256] @ g.T, 9)
-                        if exclude_self:
-                            scores[ids[s:s + 256][:, None] == part["id"].to_numpy()[None, :]] = -np.inf
-                        best = scores.max(axis=1)
-                        ok = best > -np.inf
-                        yield pd.DataFrame({"query": ids[s:s + 256][ok], "label": [lab] * int(ok.sum()), "score": best[ok]})
-
-        g = gallery.select(F.col(gid).cast("long").alias("id"), F.col(vec).alias("v"), F.col(label).alias("label")).filter("v is not null")
-        hit = g.mapInPandas(search, f"query long, label {kind}, score double")
-        out = hit if out is None else out.union(hit)
-    if out is None:
-        out = gallery.sparkSession.createDataFrame([], f"query long, label {kind}, score double")
-    return out.groupBy("query", "label").agg(F.max("score").alias("score"))
-
-
-def _blocks(queries: DataFrame, columns: list[str]):
-    """The queries in blocks of QUERY_BLOCK, as pandas with unit vectors."""
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(n):
-        q = queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select(*columns).toPandas()
-        if len(q):
-            yield q, _unit(q["v"])
-
-
 def _unit(v: pd.Series) -> np.ndarray:
     m = np.vstack(v.to_numpy()).astype(np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def score_summary(gallery: DataFrame, queries: DataFrame, key: str, vec: str, least: float) -> DataFrame:
-    """(query, above, best): how many other gallery rows reach ``least`` by cosine, and the best one.  Each batch of the gallery gives one row a query."""
-    out, schema = None, "query long, above long, best double"
-    g = gallery.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"))
-    for q, m in _blocks(queries.select(F.col(key).cast("long").alias("query"), F.col(vec).alias("v")), ["query", "v"]):
-        ids = q["query"].to_numpy()
+def _scores(q: pd.DataFrame, g: pd.DataFrame, places: int, exclude_self: bool) -> np.ndarray:
+    s = np.round(_unit(q["v"]) @ _unit(g["v"]).T, places)
+    if exclude_self:
+        s[q["query"].to_numpy()[:, None] == g["id"].to_numpy()[None, :]] = -np.inf
+    return s
 
-        def run(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
+
+def against(gallery: DataFrame, queries: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int | None = None) -> DataFrame:
+    """``kernel(some queries, some gallery rows)`` for parts of both that together make every pair once; gallery: (id, v, ...), queries: (query, v, ...).
+
+    Up to QUERY_BLOCK queries, counted first, go to the gallery's partitions and the gallery doesn't move.  More of them are dealt into blocks, as is the gallery, and
+    blocks meet in the executors: each task holds one block of either side, nothing passes through the driver, and both sides may grow."""
+    block = block or QUERY_BLOCK
+    if queries.limit(block + 1).count() <= block:
+        held = queries.toPandas()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                s = np.round(m @ _unit(f["v"]).T, 5)
-                s[ids[:, None] == f["id"].to_numpy()[None, :]] = -np.inf
-                yield pd.DataFrame({"query": ids, "above": (s >= least).sum(axis=1), "best": s.max(axis=1)})
-        part = g.mapInPandas(run, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        return gallery.sparkSession.createDataFrame([], schema)
-    return out.groupBy("query").agg(F.sum("above").alias("above"), F.max("best").alias("best"))
+                if len(f) and len(held):
+                    yield kernel(held, f)
+        return gallery.mapInPandas(run, schema)
+
+    def dealt(df: DataFrame, key: str, own: str, other: str, own_blocks: int, other_blocks: int) -> DataFrame:
+        return df.withColumn(own, F.expr(f"pmod(xxhash64({key}), {own_blocks})")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))).withColumn(other, F.col(other).cast("long"))
+
+    nq, ng = (max(1, -(-df.count() // block)) for df in (queries, gallery))
+    q, g = dealt(queries, "query", "_q", "_g", nq, ng), dealt(gallery, "id", "_g", "_q", ng, nq)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        return kernel(left, right) if len(left) and len(right) else pd.DataFrame(columns=names)
+    return q.groupBy("_q", "_g").cogroup(g.groupBy("_q", "_g")).applyInPandas(meet, schema)
+
+
+def exact_topk(gallery: DataFrame, queries: DataFrame, k: int, gid: str = "id", qid: str = "query", vec: str = "v", exclude_self: bool = False, block: int | None = None) -> DataFrame:
+    """(query, id, score, rank): the k best gallery rows of each query by cosine, exactly.  Each part of the gallery keeps its own k best of a query; the rest is a window over those."""
+    def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], g["id"].to_numpy(np.int64)
+        for s in range(0, len(q), 256):
+            part = q.iloc[s:s + 256]
+            scores = _scores(part, g, 9, exclude_self)
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            rows, flat = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+            ok = scores[rows, flat] > -np.inf
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[rows][ok], "id": ids[flat][ok], "score": scores[rows, flat][ok]}))
+        return pd.concat(out)
+
+    g = gallery.select(F.col(gid).cast("long").alias("id"), F.col(vec).alias("v")).filter("v is not null")
+    q = queries.select(F.col(qid).cast("long").alias("query"), F.col(vec).alias("v")).filter("v is not null")
+    w = W.partitionBy("query").orderBy(F.desc("score"), "id")
+    return against(g, q, best, "query long, id long, score double", block).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def expected_ranks(gallery: DataFrame, queries: DataFrame, key: str, vec: str, group: str) -> DataFrame:
-    """(query, expected, strict, equivalent) from queries (query, v, expected, ev, group): the rank of the expected row among all others, ties by key, and the rank of the
-    best row of its group.  Two passes over the gallery: the best of the group, then counts of what is better; each batch gives one row a query."""
-    g = gallery.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.col(group).alias("group"))
-    out = None
-    for q, m in _blocks(queries, ["query", "v", "expected", "ev", "group"]):
-        ids, expected, own = (q[x].to_numpy() for x in ("query", "expected", "group"))
-        s0 = np.round((m * _unit(q["ev"])).sum(axis=1), 9)
+def best_per_label(gallery: DataFrame, queries: DataFrame, gid: str, qid: str, vec: str, label: str, exclude_self: bool = False, block: int | None = None) -> DataFrame:
+    """(query, label, score): the best cosine of each query within each label; each part of the gallery gives one row a query and label."""
+    def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lab, part in g.groupby("label", dropna=False):
+            for s in range(0, len(q), 256):
+                some = q.iloc[s:s + 256]
+                top = _scores(some, part, 9, exclude_self).max(axis=1)
+                ok = top > -np.inf
+                out.append(pd.DataFrame({"query": some["query"].to_numpy()[ok], "label": [lab] * int(ok.sum()), "score": top[ok]}))
+        return pd.concat(out)
 
-        def scores(f: pd.DataFrame, ids=ids, m=m) -> np.ndarray:
-            s = np.round(m @ _unit(f["v"]).T, 9)
-            s[ids[:, None] == f["id"].to_numpy()[None, :]] = -np.inf
-            return s
+    g = gallery.select(F.col(gid).cast("long").alias("id"), F.col(vec).alias("v"), F.col(label).alias("label")).filter("v is not null")
+    q = queries.select(F.col(qid).cast("long").alias("query"), F.col(vec).alias("v")).filter("v is not null")
+    return against(g, q, best, f"query long, label {dict(gallery.dtypes)[label]}, score double", block).groupBy("query", "label").agg(F.max("score").alias("score"))
 
-        def best(frames: Iterator[pd.DataFrame], ids=ids, own=own, scores=scores) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield pd.DataFrame({"query": ids, "best": np.where(own[:, None] == f["group"].to_numpy()[None, :], scores(f), -np.inf).max(axis=1)})
-        top = g.mapInPandas(best, "query long, best double").groupBy("query").agg(F.max("best").alias("best")).toPandas().set_index("query")["best"].reindex(ids).to_numpy()
 
-        def count(frames: Iterator[pd.DataFrame], ids=ids, expected=expected, s0=s0, top=top, scores=scores) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                s = scores(f)
-                ahead = (s > s0[:, None]) | ((s == s0[:, None]) & (f["id"].to_numpy()[None, :] < expected[:, None]))
-                yield pd.DataFrame({"query": ids, "expected": expected, "strict": ahead.sum(axis=1), "equivalent": (s > top[:, None]).sum(axis=1)})
-        part = g.mapInPandas(count, "query long, expected long, strict long, equivalent long")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return gallery.sparkSession.createDataFrame([], "query long, expected long, strict long, equivalent long")
+def score_summary(gallery: DataFrame, queries: DataFrame, key: str, vec: str, least: float, block: int | None = None) -> DataFrame:
+    """(query, above, best): how many other gallery rows reach ``least`` by cosine, and the best one; each part of the gallery gives one row a query."""
+    def summary(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        s = _scores(q, g, 5, True)
+        return pd.DataFrame({"query": q["query"], "above": (s >= least).sum(axis=1), "best": s.max(axis=1)})
+
+    g, q = (df.select(F.col(key).cast("long").alias(name), F.col(vec).alias("v")).filter("v is not null") for df, name in ((gallery, "id"), (queries, "query")))
+    return against(g, q, summary, "query long, above long, best double", block).groupBy("query").agg(F.sum("above").alias("above"), F.max("best").alias("best"))
+
+
+def expected_ranks(gallery: DataFrame, queries: DataFrame, key: str, vec: str, group: str, block: int | None = None) -> DataFrame:
+    """(query, expected, strict, equivalent) from queries (query, v, expected, ev, group): the rank of the expected row among all others, ties by key, and the rank of the
+    best row of its group.  Two passes over the gallery: the best of the group, then counts of what is better; each part gives one row a query."""
+    def top(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        own = q["group"].to_numpy()[:, None] == g["group"].to_numpy()[None, :]
+        return pd.DataFrame({"query": q["query"], "top": np.where(own, _scores(q, g, 9, True), -np.inf).max(axis=1)})
+
+    def count(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        s, ids, expected = _scores(q, g, 9, True), g["id"].to_numpy(), q["expected"].to_numpy()
+        s0 = np.round((_unit(q["v"]) * _unit(q["ev"])).sum(axis=1), 9)
+        ahead = (s > s0[:, None]) | ((s == s0[:, None]) & (ids[None, :] < expected[:, None]))
+        return pd.DataFrame({"query": q["query"], "expected": expected, "strict": ahead.sum(axis=1), "equivalent": (s > q["top"].to_numpy()[:, None]).sum(axis=1)})
+
+    g = gallery.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.col(group).alias("group"))
+    q = queries.select("query", "v", "expected", "ev", "group")
+    best = against(g, q, top, "query long, top double", block).groupBy("query").agg(F.max("top").alias("top"))
+    out = against(g, q.join(best, "query"), count, "query long, expected long, strict long, equivalent long", block)
     return out.groupBy("query", "expected").agg((F.sum("strict") + 1).alias("strict"), (F.sum("equivalent") + 1).alias("equivalent"))
 
 
