@@ -3,15 +3,16 @@
 Each page becomes a small tree.  Elements that are never article text (navigation, header, footer, asides, forms,
 scripts, hidden parts) are dropped; of a header inside an article the headings stay.  A class, id or role marks an element as an advert,
 menu, notice or the like only when each word of one of its names says so or is a mere word of layout ("ad-box", not "no-ads" or "social-science").
-Marked elements are dropped, but for those around an article or main element and those that hold most of the paragraph
-text; marked comments are dropped unless an article or main element is in them.
+Marked elements are dropped whatever their size, but for those around an article or main element; where nothing else on the page holds any text
+they stay, comments excepted.
 Paragraphs pass points, one plus their commas plus their length up to three hundred characters, to their ancestors: all to the
 parent, half to the grandparent, less to the next two.  A container's score is discounted by the share of its text inside links.
 The best container is kept, widened to the article or main element around it, with those of its siblings that score
-a fifth of it or are long paragraphs with few links.
+a fifth of it, are articles themselves or are long paragraphs with few links.
 
-Without any scored container the page's article, main or body is kept.  Text keeps page order; inline elements do not
-break words, block elements and line breaks do.  A null or empty page has the empty text.  Rows are independent.
+Without any scored container the page's articles, main or body are kept.  Text keeps page order; inline elements do not
+break words, block elements and line breaks do.  A null or empty page has the empty text, an empty table gives an empty result, very long
+pages are parsed whole, and extra columns are not read.  Rows are independent: repeated rows and null ids are pages like others.
 """
 
 from __future__ import annotations
@@ -102,18 +103,29 @@ def _settle(root: Node) -> None:
         order.append(node)
         inside = inside or node.tag in ("article", "main")
         stack.extend((c, inside) for c in node.children if not isinstance(c, str))
-    text, holds = {id(x): 0 for x in order}, {id(x): False for x in order}
+    holds = {id(x): False for x in order}
     for node in reversed(order):
-        if node.drop == COMMENT:
-            text[id(node)] = 0
-        elif node.tag in ("p", "pre", "blockquote"):
-            text[id(node)] += sum(len(c) for c in node.children if isinstance(c, str))
         if node.parent is not None:
-            text[id(node.parent)] += text[id(node)]
             holds[id(node.parent)] |= holds[id(node)] or (node.tag in ("article", "main") and node.drop == KEEP)
     for node in order:
-        if holds[id(node)] or (node.drop == MARKED and 2 * text[id(node)] > text[id(root)]):
+        if holds[id(node)]:
             node.drop = KEEP
+    if not _has_text(root):  # names say little where all text is in marked elements
+        for node in order:
+            if node.drop == MARKED:
+                node.drop = KEEP
+
+
+def _has_text(root: Node) -> bool:
+    stack = [root]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                if c.strip():
+                    return True
+            elif not c.drop:
+                stack.append(c)
+    return False
 
 
 def parse(page: str) -> Node:
@@ -244,9 +256,9 @@ def main_text(page: str | None) -> str:
     best = up or best
     if best.parent is None or best.tag in ("body", "main"):
         return _text([best])
-    least = max(10.0, 0.2 * best.points * (1 - _density(best)))
+    least = 0.2 * best.points * (1 - _density(best))
     kept = [x for x in best.parent.children if not isinstance(x, str) and (
-        x is best or (not x.drop and (score.get(id(x), 0) >= least or (x.tag == "p" and x.chars > 80 and _density(x) < 0.25))))]
+        x is best or (not x.drop and ((x.tag == "article" and x.chars > 0) or score.get(id(x), 0) >= least or (x.tag == "p" and x.chars > 80 and _density(x) < 0.25))))]
     return _text(kept)
 
 

@@ -8,11 +8,15 @@ language is the one with most letters in the spans (the first name among equals)
 Learning is one pass that counts hashed n-grams per language inside each task; what is gathered is bounded
 by languages x ``BUCKETS`` numbers whatever the size of the corpus.  Rows with a null language are not learned
 from.  A text that is null or has no letter is ``und`` with score 0, and so is everything when nothing was learned.
+
+Null and repeated ids are rows like others, repeated rows get equal predictions, very long texts are labelled whole, an empty table
+gives an empty result, and extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +29,9 @@ from tessera.llm.common import rows
 from tessera.llm.grams import WordCache, packed
 
 BUCKETS, ORDER, FLUSH = 1 << 16, 3, 50_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs that are word characters but neither letters nor decimal digits: fractions, raised and circled digits, numerals.
+SIGNS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
 #: First code points of Unicode script ranges, and the script from there on.
 SCRIPTS = ((0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
            (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"),

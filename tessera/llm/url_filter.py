@@ -3,18 +3,21 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains.  Where several fit, the longest
 (host and path together) wins.
 
-Urls without a rule are judged by two smoothed variable-order Markov models over the bytes of host, path and query: each
-context of up to ``ORDER`` - 1 bytes shrinks its counts towards the next shorter context, down to a uniform start.
-Training urls are all distinct urls, digit runs as one 0, each counted once, so a hot host weighs no more than its addresses:
+Urls without a rule are judged by two smoothed variable-order Markov models over bytes: each context of up to ``ORDER`` - 1 bytes
+shrinks its counts towards the next shorter context, down to a uniform start.  A url is two texts, its site (the host without the last label, which
+rules go by) and its rest (path and query), digit runs as one 0.  The models learn from the distinct texts of each fold (below), so neither a hot host nor a hot path weighs more than others:
 
-* rejected: urls that a block rule decides, and urls one of whose words is in ``seeds`` (a start list, not a verdict);
-* accepted: urls that an allow rule decides, and all urls that nothing marks.  The unmarked ones are dealt by host into
-  ``FOLDS`` folds, and a url is scored without its own fold, so an unmarked host does not vouch for itself.
+* rejected: texts of urls that a block rule decides, and texts one of whose words is in ``seeds`` (a start list, not a verdict);
+* accepted: all other texts.
 
-The score is the mean over bytes of log P(rejected) - log P(accepted).  The cut lies midway between the median score of
-unmarked and of seeded training urls, and at least ``spread`` robust deviations above the first.  Without rejected urls all is allowed.
+Both classes are dealt by host into ``FOLDS`` folds, and a url is scored by models that leave out its own fold: no host vouches for or against itself, a
+host is rejected because it looks like other rejected ones, whether or not a seed or rule names it.  Only a text with a seed word keeps the rejected texts of
+its fold, its own among them, as it is labelled.  The score of a text is the mean over its bytes of
+log P(rejected) - log P(accepted), that of a url the greater one of its texts, so an unwanted path at an ordinary host counts.  The cut is calibrated on
+distinct urls without a rule, all by out-of-fold scores: midway between the medians of unmarked and of seeded ones, and at least ``spread`` robust
+deviations above the first.  Without rejected urls all is allowed.
 
-Counts are hashed into ``CELLS`` cells per order and table, so what is shipped is bounded whatever the input (under 20 MB).
+Counts are hashed into ``CELLS`` cells per order and table, so what is shipped is bounded whatever the input (13 MB).
 
 A null url and one without ``://`` have an empty host and path, no rule and no score, and are allowed, and so is one of an
 empty host without path and query.  Repeated rows are judged each; very long urls are scored whole.  An empty table gives an empty
@@ -33,9 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import rows
 from tessera.session import materialize
 
-ORDER, CELLS, FOLDS = 5, 1 << 16, 4
-#: Tables of counts: one per fold of unmarked urls, then the allowed and the rejected.
-ALLOWED, REJECTED = FOLDS, FOLDS + 1
+ORDER, CELLS, FOLDS = 3, 1 << 15, 8
 #: Weight of a context's shorter context.
 SHRINK = 2.0
 #: Fixed values: (verdict, host, path).
@@ -61,7 +62,7 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = np.fromiter(map(len, raw), np.int64, len(raw)) + 1 + lead
     text = np.repeat(np.arange(len(raw)), width)
     at = np.arange(len(buf)) - np.repeat(np.cumsum(width) - width, width) >= lead
-    m, s, eight = np.uint64(0x9E3779B97F4A7C15), np.uint64(48), np.uint64(8)
+    m, s, eight = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - CELLS.bit_length() + 1), np.uint64(8)
     key, grams, contexts = np.zeros(len(buf), np.uint64), [], []
     for k in range(ORDER):
         part = np.zeros(len(buf), np.uint64)
@@ -105,25 +106,28 @@ def likelihood_difference(texts: list[str], accepted: np.ndarray, rejected: np.n
 
 
 def _score(shipped):
-    """Adds llr to batches whose first columns are (fold, norm); llr is null where norm is empty."""
+    """Adds llr to batches whose first columns are (fold, site, rest, whether the site is labelled, whether the rest is): the greater score of the two texts, null
+    where both are empty.  Models leave out the text's fold, but a labelled text keeps the rejected half of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shipped.value
-        every = tables[:ALLOWED + 1].sum(axis=0)
+        every = tables.sum(axis=0)
         for b in rows(batches, 4096):
-            folds, norms = b.column(0).to_pylist(), b.column(1).to_pylist()
-            known: dict[tuple[int, str], float | None] = {}
-            for f in set(folds):
-                mine = sorted({t for t, g in zip(norms, folds, strict=True) if g == f and t})
+            folds, sites, rests, *own = (b.column(i).to_pylist() for i in range(5))
+            asked = [[(f, o, t) for t, o in zip(both, labelled, strict=True) if t] for f, both, labelled in
+                     zip(folds, zip(sites, rests, strict=True), zip(*own, strict=True), strict=True)]
+            known: dict[tuple[int, bool, str], float] = {}
+            for f, o in {(f, o) for x in asked for f, o, _ in x}:
+                mine = sorted({t for x in asked for g, p, t in x if (g, p) == (f, o)})
                 for i in range(0, len(mine), 512):
-                    d = likelihood_difference(mine[i:i + 512], every - tables[f], tables[REJECTED])
-                    known.update(zip(((f, t) for t in mine[i:i + 512]), d.tolist(), strict=True))
-            llr = [known.get((f, t)) for f, t in zip(folds, norms, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(llr, pa.float64())], [*b.schema.names[2:], "llr"])
+                    d = likelihood_difference(mine[i:i + 512], every[0] - tables[f, 0], every[1] - (0 if o else tables[f, 1]))
+                    known.update(zip(((f, o, t) for t in mine[i:i + 512]), d.tolist(), strict=True))
+            llr = [max(map(known.__getitem__, x), default=None) for x in asked]
+            yield pa.RecordBatch.from_arrays([*b.columns[5:], pa.array(llr, pa.float64())], [*b.schema.names[5:], "llr"])
     return run
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
-               seeds: Sequence[str] = SEEDS, spread: float = 3.0) -> DataFrame:
+               seeds: Sequence[str] = SEEDS, spread: float = 5.0) -> DataFrame:
     """Return (page_id, host, path, rule, verdict, llr), one row per row; llr is null where a rule decides or there is nothing to score."""
     spark = pages.sparkSession
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -134,29 +138,32 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                    F.struct(F.lit(len(h) + len(p)).alias("len"), F.lit(h + p).alias("rule"), F.lit(v).alias("v"))) for v, h, p in rules]
     none = F.lit(None).cast("struct<len:int,rule:string,v:string>")
     src = src.withColumn("_r", F.array_max(F.array_compact(F.array(*fits))) if fits else none)
-    src = src.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.v").alias("ruled"),
-                     F.regexp_replace(F.concat("host", "path", "query"), "[0-9]+", "0").alias("norm"),
-                     F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"))
-
-    words = F.split(F.lower("norm"), r"[^\p{L}\p{N}]+")
-    seeded = F.arrays_overlap(words, F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
-    marked = F.when((F.col("ruled") == "block") | seeded, REJECTED).when(F.col("ruled") == "allow", ALLOWED).otherwise(F.col("fold"))
-    train = materialize(src.filter("norm <> ''").select(marked.cast("int").alias("tbl"), "norm", "fold", seeded.alias("seeded")).distinct(), "op10train")
-    got = train.select("tbl", "norm").mapInArrow(_count, "tbl int, cell int, n double").groupBy("tbl", "cell").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros((FOLDS + 2, ORDER, 2, CELLS), np.float32)
-    tables.reshape(FOLDS + 2, -1)[got["tbl"], got["cell"]] = got["n"]
-    if not tables[REJECTED].any():
+    short = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    src = src.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.v").alias("ruled"), short(F.regexp_replace("host", r"\.[^.]*$", "")).alias("site"),
+                     short(F.concat("path", "query")).alias("rest"), F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"))
+
+    listed = F.array(*[F.lit(s) for s in seeds])
+    seeded = {t: F.arrays_overlap(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), listed) if seeds else F.lit(False) for t in ("site", "rest")}
+    blocked, free = F.coalesce(F.col("ruled") == "block", F.lit(False)), F.col("ruled").isNull()
+    train = materialize(src.select("fold", "site", "rest", (seeded["site"] | seeded["rest"]).alias("seeded"), free.alias("free"),
+                                   *[(blocked | x).cast("int").alias(f"bad_{t}") for t, x in seeded.items()]).distinct(), "op10train")
+    texts = train.select("fold", F.inline(F.array(*[F.struct(F.col(t).alias("text"), F.col(f"bad_{t}").alias("bad")) for t in seeded])))
+    texts = texts.filter("text <> ''").select((F.col("fold") * 2 + F.col("bad")).alias("tbl"), "text").distinct()
+    got = texts.mapInArrow(_count, "tbl int, cell int, n double").groupBy("tbl", "cell").agg(F.sum("n").alias("n")).toPandas()
+    tables = np.zeros((FOLDS, 2, ORDER, 2, CELLS), np.float32)
+    tables.reshape(FOLDS * 2, -1)[got["tbl"], got["cell"]] = got["n"]
+    if not tables[:, 1].any():
         return src.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("llr"))
 
     shipped = spark.sparkContext.broadcast(tables)
-    judged = train.filter(f"tbl < {FOLDS} or seeded").select("fold", "norm", "seeded").mapInArrow(_score(shipped), "seeded boolean, llr double")
-    judged = materialize(judged, "op10judged")
+    judged = materialize(train.filter("free").select("fold", "site", "rest", F.lit(False).alias("own1"), F.lit(False).alias("own2"), "seeded").mapInArrow(_score(shipped), "seeded boolean, llr double").filter("llr is not null"), "op10judged")
     mid = judged.agg(*[F.percentile_approx(F.when(c, F.col("llr")), 0.5, 100_000) for c in (~F.col("seeded"), F.col("seeded"))]).first()
     accepted = mid[0] or 0.0
     off = judged.filter("not seeded").agg(F.percentile_approx(F.abs(F.col("llr") - accepted), 0.5, 100_000)).first()[0] or 0.0
     cut = max(accepted + spread * 1.4826 * off, (accepted + mid[1]) / 2 if mid[1] is not None else 0.0, 0.0)
 
-    ask = src.select("fold", F.when(F.col("ruled").isNull(), F.col("norm")).otherwise("").alias("norm"), "page_id", "host", "path", "rule", "ruled")
+    asked = lambda c: F.when(free, F.col(c)).otherwise("").alias(c)
+    ask = src.select("fold", asked("site"), asked("rest"), seeded["site"].alias("own1"), seeded["rest"].alias("own2"), "page_id", "host", "path", "rule", "ruled")
     out = ask.mapInArrow(_score(shipped), "page_id long, host string, path string, rule string, ruled string, llr double")
     verdict = F.coalesce("ruled", F.when(F.col("llr") > cut, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "llr")

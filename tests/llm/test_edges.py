@@ -80,3 +80,54 @@ def test_kept_trees_profit_from_earlier_work(spark):
         for r in trees.collect():
             assert r["n_tokens_edited"] == sum(r["counts"]) == len(encode(r["text"])) and sum(r["lengths"]) == len(r["text"])
             assert r["n_reencoded"] <= len(new.split()) + 12
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = table(spark, [(i, "the cat sat on the mat", "en") for i in range(30)] + [(100, "½ ² ①", None), (101, "Ⅷ № 12 _ ™", None), (102, "½ the cat ②", None), (103, "café été", None)])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect() if r["doc_id"] >= 100}
+    assert got == {100: ("und", 0.0), 101: ("und", 0.0), 102: ("en", 1.0), 103: ("en", 1.0)}
+
+
+def test_predictions_equal_a_plain_version(spark):
+    """Counts in dictionaries, and the best of all label paths by dynamic programming over full tables."""
+    import math
+    import re
+    import zlib
+    from collections import Counter, defaultdict
+
+    texts = {"en": ["the cat sat on the mat with the dog", "this is the house that they have"], "fr": ["le chat est dans la maison avec le chien", "je ne sais pas ce que tu veux"],
+             "ru": ["кот сидит на окне и смотрит", "собака бежит домой"]}
+    docs = [(i, texts[g][i // 3 % 2], g) for i, g in enumerate(["en", "fr", "ru"] * 20)]
+    docs += [(200, "the cat sat le chien dans la maison кот на окне", None), (201, "le chat the house", None), (202, "собака the dog that they have", None), (203, "", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(table(spark, docs)).collect()}
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    langs = sorted(texts)
+    from tessera.llm.langid import _buckets
+    grams = lambda w: Counter(_buckets([w])[1].tolist())
+    n, script = {g: Counter() for g in langs}, {g: Counter() for g in langs}
+    kind = lambda w: "cyr" if "а" <= w[0] <= "я" else "lat"
+    for i, t, g in docs:
+        if g and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in words(t):
+                n[g].update(grams(w))
+                script[g][kind(w)] += 1
+    total = {g: sum(n[g].values()) + 0.1 * 65536 for g in langs}
+    usable = {k: [g for g in langs if script[g][k] >= 0.01 * sum(script[g].values())] for k in ("cyr", "lat")}
+
+    def score(w, g):
+        return sum(c * math.log((n[g][b] + 0.1) / total[g]) for b, c in grams(w).items()) - (0 if g in usable[kind(w)] else 1e4)
+
+    for i, t, _ in docs[-4:]:
+        ws = words(t)
+        if not ws:
+            assert got[i] == ("und", 0.0)
+            continue
+        best = [{g: (score(ws[0], g), [g]) for g in langs}]
+        for w in ws[1:]:
+            best.append({g: max((s - 12 * (p[-1] != g) + score(w, g), [*p, g]) for s, p in best[-1].values()) for g in langs})
+        path = max(best[-1].values())[1]
+        letters = defaultdict(int)
+        for w, g in zip(ws, path):
+            letters[g] += len(w)
+        top = max(letters, key=lambda g: (letters[g], [-ord(c) for c in g]))
+        assert got[i][0] == top and np.isclose(got[i][1], letters[top] / sum(letters.values()))

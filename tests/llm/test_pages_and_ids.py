@@ -34,6 +34,55 @@ def test_names_that_mark():
     assert html_text.main_text(f"<body><header><h1>Site</h1></header><article><header><h1 class='post-header'>Title</h1><p>By me, now.</p></header>{BODY}</article></body>") == "Title " + TEXT
 
 
+def test_marked_elements_longer_than_the_article():
+    notice = "".join(f"<p>Notice {i}, that goes on, and on, and says that there are cookies on this site.</p>" for i in range(40))
+    for name in ("cookie-notice", "newsletter", "related-posts", "promo"):
+        for inner in ("<article><p>short story</p></article>", "<main><p>short story</p></main>", '<div class="content"><p>short story</p></div>', "<div>short story</div>"):
+            assert html_text.main_text(f'<body><div class="{name}">{notice}</div>{inner}</body>') == "short story", (name, inner)
+            assert html_text.main_text(f'<body>{inner}<section id="{name}">{notice}</section></body>') == "short story", (name, inner)
+
+
+def test_short_articles_side_by_side():
+    a, b = "<p>The first one, of two sentences. It is short.</p>", "<p>The second one, with more, many more, commas, in it, so that it scores.</p>"
+    both = "The first one, of two sentences. It is short. The second one, with more, many more, commas, in it, so that it scores."
+    assert html_text.main_text(f"<body><main><article>{a}</article><article>{b}</article></main></body>") == both
+    assert html_text.main_text(f"<body><div><article>{a}</article><article>{b}</article></div><footer>end</footer></body>") == both
+    assert html_text.main_text("<body><main><article><p>One.</p></article><article><p>Two.</p></article></main></body>") == "One. Two."
+
+
+def plain_scores(containers):
+    """(points * (1 - link share)) of flat containers of paragraphs, by the rule as stated: containers are lists of (text, linked characters)."""
+    out = []
+    for ps in containers:
+        points = sum(1 + t.count(",") + min(len(t) // 100, 3) for t, _ in ps if len(t) >= 25)
+        out.append(points * (1 - sum(k for _, k in ps) / max(1, sum(len(t) for t, _ in ps))))
+    return out
+
+
+def test_choice_equals_a_plain_scorer():
+    """Pages without any article element: the chosen containers are those that the stated rule scores best."""
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        containers = []
+        for _ in range(int(rng.integers(2, 6))):
+            ps = []
+            for _ in range(int(rng.integers(1, 6))):
+                words = [f"w{x}" + "," * int(rng.random() < 0.1) for x in rng.integers(0, 999, int(rng.integers(2, 60)))]
+                linked = int(rng.integers(0, len(words) + 1)) if rng.random() < 0.4 else 0
+                ps.append((" ".join(words), len(" ".join(words[:linked])), linked))
+            containers.append(ps)
+        score = plain_scores([[(t, k) for t, k, _ in ps] for ps in containers])
+        mark = lambda t, n: (f"<a href=x>{' '.join(t.split()[:n])}</a> {' '.join(t.split()[n:])}" if 0 < n else t)
+        page = "<body><div id=all>" + "".join("<div>" + "".join(f"<p>{mark(t, n)}</p>" for t, _, n in ps) + "</div>" for ps in containers) + "</div></body>"
+        order = sorted(score, reverse=True)
+        if order[0] <= 0 or len(order) > 1 and order[0] < 1.05 * sum(score) / 2 + 1e-9:
+            continue  # the box around them, which gets half of their points, may win
+        if any(abs(x - 0.2 * order[0]) < 0.05 * order[0] for x in score):
+            continue
+        want = " ".join(t for ps, x in zip(containers, score) if x >= 0.2 * order[0] for t, _, _ in ps)
+        assert html_text.main_text(page) == want
+
+
 class Article(HTMLParser):
     """The text of the article element, block elements apart."""
 
