@@ -16,7 +16,6 @@ gives an empty result, and extra columns are not read.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +28,7 @@ from tessera.llm.common import rows
 from tessera.llm.grams import WordCache, packed
 
 BUCKETS, ORDER, FLUSH = 1 << 16, 3, 50_000
-#: Signs that are word characters but neither letters nor decimal digits: fractions, raised and circled digits, numerals.
-SIGNS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{SIGNS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 #: First code points of Unicode script ranges, and the script from there on.
 SCRIPTS = ((0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
            (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
@@ -53,6 +50,14 @@ def script_ids(words: list[str]) -> np.ndarray:
     return _IDS[np.searchsorted(_STARTS, [ord(w[0]) for w in words], side="right") - 1]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased.  Fractions, raised and circled digits and numerals are word characters but no letters: they end a run."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ("".join(c if c.isalpha() else " " for c in run)).split()]
+
+
 def _buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word, place, keys = packed(words, ORDER)
     w, b = [], []
@@ -82,7 +87,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if text:
                 c = held.setdefault(lang, Counter())
-                c.update(WORD.findall(text.lower()))
+                c.update(words_of(text))
                 if len(c) > FLUSH:
                     add(lang, c)
     for lang, c in held.items():
@@ -142,7 +147,7 @@ def _predict(langs: list[str], logp: np.ndarray, usable: np.ndarray, penalty: fl
         cache = WordCache(score)
         for b in rows(batches):
             texts = b.column(1).to_pylist()
-            words = [WORD.findall(t.lower()) if t else [] for t in texts]
+            words = [words_of(t) if t else [] for t in texts]
             if langs:
                 cache.learn(words)
             pred, share, spans = [], [], []
