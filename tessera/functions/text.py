@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -38,6 +41,25 @@ def transliterate(c) -> Column:
     return F.translate(out, "".join(a for a, _ in one) + gone, "".join(b for _, b in one))
 
 
+def normalized(c) -> Column:
+    """Comparable text: tags out, character references decoded, compatibility forms folded (NFKC), case folded, Cyrillic in Latin letters, words of letters and digits by single spaces.
+    Null is empty.  Unicode folding has no built-in function, so this runs in Arrow batches."""
+    table = str.maketrans(LATIN)
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str:
+            t = unicodedata.normalize("NFKC", html.unescape(re.sub(r"<[^>]+>", " ", t or ""))).casefold().replace("ё", "е")
+            return " ".join(re.findall(r"[^\W_]+", t.translate(table)))
+        return texts.map(one)
+    return run(col(c))
+
+
+def year_set(c) -> Column:
+    """The distinct years of a text, sorted: four digits from 1900 to 2099 that no further digit touches."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1))))
+
+
 def fold_lookalikes(c) -> Column:
     """Cyrillic letters that look Latin become Latin where most letters of the text are Latin, and the other way round."""
     c = col(c)

@@ -78,3 +78,16 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, digest): a digest of the content that does not depend on row order."""
     h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
     return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))), 256).alias("digest"))
+
+
+def flatten_list_item(df: DataFrame, payload: str, base_url: str) -> tuple[DataFrame, DataFrame]:
+    """(flat catalog rows, rejected payloads) of JSON list payloads.  Rejected: no JSON object, or slug or title missing, not a text or blank.  A relative image address is joined to ``base_url``."""
+    j = df.select(payload, F.try_parse_json(payload).alias("_j"))
+    text = lambda path: F.expr(f"try_variant_get(_j, '{path}', 'string')")
+    url = text("$.image.url")
+    whole = F.when(url.isNull() | (url == ""), None).when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit(base_url.rstrip("/") + "/"), F.ltrim(url, F.lit("/"))))
+    flat = j.select(payload, text("$.slug").alias("slug"), text("$.title").alias("title"), text("$.category").alias("category_name"), text("$.manufacturer").alias("manufacturer_name"),
+                    F.lit(None).cast("string").alias("manufacturer_slug"), text("$.region").alias("region_name"), F.expr("try_variant_get(_j, '$.publicRating', 'double')").alias("public_rating"),
+                    text("$.color").alias("color"), whole.alias("image_url"), text("$.image.altText").alias("image_alt"), F.col(payload).alias("raw_list_json"))
+    ok = F.coalesce((F.trim("slug") != "") & (F.trim("title") != ""), F.lit(False))
+    return flat.filter(ok).drop(payload), flat.filter(~ok).select(payload)

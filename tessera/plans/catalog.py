@@ -13,6 +13,7 @@ from tessera.operators import relational as R
 from tessera.operators import wordjoin as J
 from tessera.plans.registry import query
 from tessera.session import table
+from tessera.sources import pages as PG
 
 
 # ---- A: payloads and exports
@@ -48,6 +49,53 @@ def a12_page_parse(spark, sf_dir):
         F.coalesce(F.array_max(F.transform(years, lambda x: x.cast("int"))), F.lit(0)).alias("last_year"))
 
 
+def _product_pages(spark, sf_dir):
+    """The pages with product microdata in front of their closing tag, as the given pages hold none."""
+    i = F.col("page_id").cast("string")
+    mark = F.concat(F.lit("<link rel=canonical href='https://shop.example/p/"), i, F.lit("'><div itemscope itemtype='https://schema.org/Product'><span itemprop=brand itemscope><b itemprop=name>Brand &amp; "),
+                    (F.col("page_id") % 7).cast("string"), F.lit("</b></span><p itemprop=name>Wine "), i, F.lit(" <i>red</i></p><div itemprop=aggregateRating><meta itemprop=ratingValue content='"),
+                    (F.col("page_id") % 5).cast("string"), F.lit(",5'></div>"),
+                    F.array_join(F.transform(F.sequence(F.lit(0), F.col("page_id") % 3), lambda k: F.concat(F.lit("<div itemprop=review id=review-"), (F.col("page_id") * 10 + k).cast("string"), F.lit(
+                        "><a itemprop=url href='https://shop.example/r/"), k.cast("string"), F.lit("'>x</a><span itemprop=name>Note "), k.cast("string"), F.lit("</span><script>no()</script></div>"))), ""), F.lit("</div>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.replace("html", F.lit("</body></html>"), F.lit("")), mark, F.lit("</body></html>")).alias("html"))
+
+
+@query("""select page_id, 'Wine ' || page_id || ' red' as title, 'Brand & ' || page_id % 7 as brand, page_id % 5 + .5::double as rating, 'https://shop.example/p/' || page_id as url, page_id % 3 + 1 as n_teasers,
+    array_to_string([(page_id * 10 + k) || ':Note ' || k for k in range(0, page_id % 3 + 1)], ',') as teasers from pages where html is not null""")
+def a11_product_pages(spark, sf_dir):
+    p = PG.parse_pages(_product_pages(spark, sf_dir).filter("html is not null"), "page_id", "html", "product")
+    return p.select("page_id", "title", "brand", "rating", "url", F.size("teasers").cast("long").alias("n_teasers"), F.array_join(F.transform("teasers", lambda t: F.concat(t["id"], F.lit(":"), t["title"])), ",").alias("teasers"))
+
+
+@query("""select page_id, 'r' || '' || page_id as key, page_id::varchar as review_id, 'Tasted in ' || (1990 + page_id % 30) || ' after 2 years. End' as body, 'https://img.example/full/p' || page_id || '.jpg' as image, 2::bigint as n_variants,
+    case when page_id % 30 < 15 then (1990 + page_id % 30) || ',' || 2015 when page_id % 30 > 25 then 2015 || ',' || (1990 + page_id % 30) when page_id % 30 = 25 then '2015' else (1990 + page_id % 30) || ',2015' end as years from pages where html is not null""")
+def a12_review_pages(spark, sf_dir):
+    """The pages with a review's microdata: quoted parts and scripts are no body, variants of a picture are one image."""
+    i = F.col("page_id").cast("string")
+    mark = F.concat(F.lit("<link rel=canonical href='https://shop.example/reviews/n"), i, F.lit("'><article itemscope itemtype='http://schema.org/Review'><h2 itemprop=name>Of 2015</h2><div itemprop=reviewBody>Tasted in "), (F.col("page_id") % 30 + 1990).cast("string"),
+                    F.lit(" after 2 years.<blockquote>In 1950</blockquote><script>1951</script> End</div><a href='https://img.example/small/P"), i, F.lit("-120x90.jpg'><img src='local.jpg' data-original='https://img.example/full/p"), i, F.lit(".jpg'></a></article>"))
+    pages = table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.concat(F.replace("html", F.lit("</body></html>"), F.lit("")), mark).alias("html"))
+    r = PG.parse_pages(pages, "page_id", "html", "review", ["/full/"])
+    return r.select("page_id", F.concat(F.lit("r"), "page_id").alias("key"), "review_id", "body", F.get("images", F.lit(0))["preferred"].alias("image"), F.size(F.get("images", F.lit(0))["variants"]).cast("long").alias("n_variants"), F.array_join("years", ",").alias("years"))
+
+
+_PAYLOAD = """with j as (select p_partkey, case when p_partkey % 9 = 0 then null else p_name end as slug, p_type as title, p_brand as brand, p_size, p_retailprice from part)"""
+
+
+@query(_PAYLOAD + """ select slug, title, case when p_partkey % 2 = 0 then brand end as category_name, brand || ' Estate' as manufacturer_name, case p_partkey % 4 when 0 then 'https://cdn.example/a/' || p_partkey || '.png' when 1 then 'https://media.example/u/' || p_partkey || '.png' when 2 then 'https://media.example/' || p_partkey || '.png' end as image_url,
+    p_size::double / 10 as public_rating from j where slug is not null""")
+def a4_flat_payloads(spark, sf_dir):
+    """List payloads as JSON text to flat catalog rows; a payload without its slug is rejected, addresses are made absolute."""
+    p = table(spark, sf_dir, "part")
+    i = F.col("p_partkey").cast("string")
+    image = F.expr("p_partkey % 4")
+    url = F.when(image == 0, F.concat(F.lit("https://cdn.example/a/"), i, F.lit(".png"))).when(image == 1, F.concat(F.lit("/u/"), i, F.lit(".png"))).when(image == 2, F.concat(i, F.lit(".png")))
+    body = F.to_json(F.struct(F.when(F.expr("p_partkey % 9 <> 0"), F.col("p_name")).alias("slug"), F.col("p_type").alias("title"), F.when(F.expr("p_partkey % 2 = 0"), F.col("p_brand")).alias("category"),
+                              F.concat("p_brand", F.lit(" Estate")).alias("manufacturer"), (F.col("p_size") / 10).alias("publicRating"), F.struct(url.alias("url"), F.lit("alt").alias("altText")).alias("image")))
+    good, _ = R.flatten_list_item(p.select(body.alias("payload")), "payload", "https://media.example/")
+    return good.select("slug", "title", "category_name", "manufacturer_name", "image_url", "public_rating")
+
+
 @query("""select l_orderkey, arg_min(l_linenumber, (case l_shipmode when 'N' then 0 when 'A' then 1 else 2 end) * 100 + l_linenumber) as chosen
     from (select *, l_returnflag as l_shipmode from lineitem) group by l_orderkey""")
 def a14_preferred_variant(spark, sf_dir):

@@ -31,6 +31,20 @@ def i2_character_classes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).cast("long").alias("stops"), F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("capitals"))
 
 
+@query("""with t as (select page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&(amp|middot|copy|nbsp|lt|gt|quot|hellip|ndash|mdash|lsquo|rsquo|ldquo|rdquo|laquo|raquo|euro|#39|#x27);', ' ', 'g') as t from pages)
+    select page_id, coalesce(array_to_string(regexp_extract_all(replace(lower(t), 'ß', 'ss'), '[\\p{L}\\p{N}]+'), ' '), '') as norm from t""")
+def i2_normalized(spark, sf_dir):
+    """Pages, as they hold tags and character references."""
+    return table(spark, sf_dir, "pages").select("page_id", T.normalized("html").alias("norm"))
+
+
+@query("""select o_orderkey, array_to_string(list_sort(list_distinct([(1990 + o_orderkey % 40)::varchar, '2001', strftime(o_orderdate, '%Y')])), ',') as years from orders""")
+def i8_year_set(spark, sf_dir):
+    """Digits that belong to longer numbers are no years."""
+    text = F.concat(F.lit("of "), (F.col("o_orderkey") % 40 + 1990).cast("string"), F.lit(", no. 120034 (2001), 2001/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" x19991"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.year_set(text), ",").alias("years"))
+
+
 @query("""select n_name, translate(lower(n_name), 'аеорсух', 'aeopcyx') as folded, lower(n_name) as latin from nation""")
 def i3_transliterate(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_name", T.fold_lookalikes(F.lower("n_name")).alias("folded"), T.transliterate("n_name").alias("latin"))
