@@ -45,8 +45,11 @@ def _evidence(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when(F.arrays_overlap(a, b), 1.0).otherwise(-0.5)
 
 
-def score_products(pairs: DataFrame, name: str, title: str, maker: str, doc: str, words: Words | None = None) -> DataFrame:
-    """Adds score, caps (names of all that applied) and method.  doc is title, maker, category and region in one text."""
+def score_products(pairs: DataFrame, name: str, title: str, maker: str, doc: str, words: Words | None = None, best: tuple[str, int, float] | None = None) -> DataFrame:
+    """Adds score, caps (names of all that applied) and method.  doc is title, maker, category and region in one text.
+
+    ``best`` = (left key, k, least) keeps only pairs that may be among the k best of their left row with a score of ``least`` or more: the similarity of longest common blocks, which runs in
+    Python, is bounded from above by common letters and from below by the longest common word, both built-in, and a pair whose upper bound is under the k-th lower bound of its row is settled without it."""
     v = words or Words()
     base = list(pairs.columns)
     n, t, d = (T.normalize_match_text(F.coalesce(F.col(c), F.lit(""))) for c in (name, title, doc))
@@ -58,13 +61,21 @@ def score_products(pairs: DataFrame, name: str, title: str, maker: str, doc: str
     size, known = F.size("_tt"), F.size(F.array_intersect("_tt", _in(v.generic)))
     p = p.withColumn("_g", (size == 0) | ((size <= 2) & (known == size)) | ((size <= 3) & (known >= 2)))
     p = p.withColumn("_m", F.when(F.size("_mt") == 0, 0.0).when(F.arrays_overlap("_mt", "_nt"), 1.0).otherwise(T.jaccard("_nt", "_mt")))
-    raw = (T.ratio("_n", "_t") * 0.25 + T.ratio("_n", "_d") * 0.15 + T.jaccard("_nt", "_dt") * 0.22 + T.substring_score("_n", "_t", F.col("_g")) * 0.12 + F.col("_m") * 0.28
+    raw = lambda a, b: (a * 0.25 + b * 0.15 + T.jaccard("_nt", "_dt") * 0.22 + T.substring_score("_n", "_t", F.col("_g")) * 0.12 + F.col("_m") * 0.28
            + F.greatest(F.col("_y"), F.lit(0.0)) * 0.05 + F.greatest(F.col("_s"), F.lit(0.0)) * 0.10 - F.when(F.col("_y") < 0, 0.08).otherwise(0.0) - F.when(F.col("_s") < 0, 0.06).otherwise(0.0))
     weak, bare = F.col("_m") < 0.5, (F.col("_y") <= 0) & (F.col("_s") <= 0)
     caps = [(F.col("_y") < 0, 0.69, "year_mismatch"), (F.col("_s") < 0, 0.74, "style_mismatch"), (F.col("_g") & weak, 0.69, "generic_short_title_without_manufacturer"),
             (F.col("_g") & weak & bare, 0.62, "generic_short_title_without_evidence"), ((F.size("_nt") >= 6) & (F.size("_tt") <= 2) & weak, 0.69, "long_source_short_title"),
             (F.col("_g") & ~weak & bare, 0.82, "generic_short_title_manufacturer_only")]
-    p = _capped(p.withColumn("score", raw), caps)
+    if best:
+        key, k, floor = best
+        bounds = {"_low": raw(T.ratio_floor("_n", "_t"), T.ratio_floor("_n", "_d")), "_high": raw(T.ratio_bound("_n", "_t"), T.ratio_bound("_n", "_d"))}
+        for c, score in bounds.items():
+            p = _capped(p.withColumn("score", score), caps).withColumnRenamed("score", c).drop("caps")
+        place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_low")))
+        p = p.withColumn("_place", place).withColumn("_kth", F.max(F.when(F.col("_place") == k, F.col("_low"))).over(W.partitionBy(key)))
+        p = p.filter(F.col("_high") >= F.greatest(F.lit(floor), F.coalesce("_kth", F.lit(0.0))))
+    p = _capped(p.withColumn("score", raw(T.ratio("_n", "_t"), T.ratio("_n", "_d"))), caps)
     method = F.when(F.col("score") >= 0.90, "high_confidence_text").when(F.col("score") >= 0.78, "medium_confidence_text").when(F.col("score") >= 0.65, "low_confidence_text").otherwise("weak_text")
     return p.withColumn("method", method).select(*base, "score", "caps", "method")
 

@@ -35,14 +35,13 @@ def c10_blocking(spark, sf_dir):
 
 @query()
 def m1_match_products(spark, sf_dir):
-    """Best five catalog rows of each product; the similarity is not in SQL, tests hold the whole score against plain Python.  Of the rows that
-    share a word, the 200 with most common words are scored."""
+    """Best five catalog rows of each product, of all that share a word; the similarity is not in SQL, tests hold the whole score against plain Python.  Bounds of the score settle
+    most pairs without Python."""
     a, b = _catalogs(spark, sf_dir)
-    pairs = M.block(a, b, "l", "r")
-    near = pairs.withColumn("_r", F.row_number().over(W.partitionBy("l").orderBy(F.desc("shared"), "r"))).filter("_r <= 200")
-    near = near.join(a.select("l", "p_name"), "l").join(b.drop("tokens"), "r")
+    near = M.block(a, b, "l", "r").join(a.select("l", "p_name"), "l").join(b.drop("tokens"), "r")
     words = R.Words(style=("red", "blue", "green", "hot", "cold"), generic=("ring", "bolt", "gear", "red", "blue", "green", "hot", "cold"), stop=("economy",), maker_stop=("brand",))
-    return R.top_matches(R.score_products(near, "p_name", "title", "p_brand", "doc", words), "l", "r", 0.3).select("l", "r", "score", "rank", F.array_join("caps", ",").alias("caps"), "method")
+    scored = R.score_products(near, "p_name", "title", "p_brand", "doc", words, best=("l", 5, 0.3))
+    return R.top_matches(scored, "l", "r", 0.3).select("l", "r", "score", "rank", F.array_join("caps", ",").alias("caps"), "method")
 
 
 @query("""with s as (select o_custkey as query, o_orderkey as cid, round(o_totalprice / 500000, 6) as score from orders), r as (select *, row_number() over (partition by query order by score desc, cid) as rank,

@@ -118,3 +118,25 @@ def test_text_candidates_equal_plain_python(spark):
             rows.append((sum(b >= .82 for b in best), sum(b >= .999 for b in best), year, round(sum(best[:3]) / len(best[:3]), 9), round(ratio(t, text), 9), -i))
         want = [-r[5] for r in sorted(rows, reverse=True)[:4]]
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["q"] == q] == want
+
+
+def test_bounds_settle_pairs_without_changing_the_best(spark):
+    """The bound is never under the similarity, and pruning by bounds keeps the k best of every row."""
+    import random
+
+    from tessera.functions import text as T
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnoе") for _ in range(r.randint(1, 6)))
+    common = [word() for _ in range(12)]
+    texts = [" ".join(r.choice([word(), r.choice(common)]) for _ in range(r.randint(1, 5))) for _ in range(60)] + ["", "aaa", "2015 red", "ab " * 90, "ab cd " * 50]
+    pairs = spark.createDataFrame([(i, j, a, b, word(), f"{b} {word()} 2016") for i, a in enumerate(texts[:25]) for j, b in enumerate(texts)], "l int, r int, n string, t string, m string, d string")
+    bound = pairs.select(T.ratio("n", "t").alias("x"), T.ratio_bound("n", "t").alias("b"), T.ratio_floor("n", "t").alias("f")).collect()
+    assert all(x["b"] >= x["x"] - 1e-12 and x["f"] <= x["x"] + 1e-12 for x in bound) and any(x["b"] < 0.6 for x in bound)
+    words = R.Words(style=("red",), generic=("ab", "red"), stop=(), maker_stop=())
+    args = ("n", "t", "m", "d", words)
+    for k, floor in ((1, 0.0), (5, 0.1), (5, 0.3)):
+        full = R.top_matches(R.score_products(pairs, *args), "l", "r", floor, k).select("l", "r", "score", "rank")
+        some = R.score_products(pairs, *args, best=("l", k, floor))
+        cut = R.top_matches(some, "l", "r", floor, k).select("l", "r", "score", "rank")
+        assert sorted(map(tuple, full.collect())) == sorted(map(tuple, cut.collect()))
+        assert some.count() < pairs.count() * 0.7
