@@ -92,3 +92,48 @@ def batch_summary(df: DataFrame, value: str) -> DataFrame:
     q = q.withColumn("low", F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).withColumn("high", F.col("p75") + 1.5 * (F.col("p75") - F.col("p25")))
     return df.select(value).crossJoin(F.broadcast(q)).groupBy("p10", "p25", "p50", "p75", "p90", "low", "high").agg(
         F.count("*").alias("n"), F.count_if((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).alias("outliers"))
+
+
+def annotation_summary(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of annotated items and their shares of all, in percent to one place (halves up).  items: booleans has_proposal, has_roi, has_ocr, has_text, has_analysis, and
+    the texts status (null: missing), analysis_review and identity (null: none).  Null booleans count as false.  Fixed values: the statuses and the conditions."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status = lambda v: F.coalesce(F.col("status"), F.lit("missing")) == v
+    review, identity = (lambda v: F.coalesce(F.col("analysis_review") == v, F.lit(False))), (lambda v: F.coalesce(F.col("identity") == v, F.lit(False)))
+    boxed = status("reviewed") & flag("has_roi")
+    counts = {
+        "with_proposal": flag("has_proposal"), "missing_proposal": ~flag("has_proposal"), "needs_review": status("needs-review"), "reviewed": status("reviewed"), "reviewed_bbox": boxed,
+        "no_label": status("no-label"), "invalid_image": status("invalid-image"), "no_annotation": status("missing"), "ready_for_export": boxed, "with_backend_ocr": flag("has_ocr"),
+        "with_reviewed_ocr_text": flag("has_text"), "needs_ocr": boxed & ~flag("has_ocr"), "needs_ocr_review": boxed & flag("has_ocr") & ~flag("has_text"), "text_ready_for_export": boxed & flag("has_text"),
+        "with_label_analysis": flag("has_analysis"), "needs_label_analysis_review": flag("has_analysis") & F.col("analysis_review").isNull(), "label_analysis_accepted": review("accepted"),
+        "label_analysis_needs_tuning": review("needs-tuning"), "label_analysis_rejected": review("rejected"), "with_catalog_identity": F.col("identity").isNotNull(),
+        "needs_catalog_identity": flag("has_analysis") & F.col("identity").isNull(), **{f"catalog_identity_{v.replace('-', '_')}": identity(v) for v in ("confirmed", "corrected", "no-match", "ambiguous")}}
+    out = items.groupBy(*by).agg(F.count("*").alias("total_items"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    percent = lambda n: F.coalesce(F.floor(1000 * F.col(n) / F.nullif(F.col("total_items"), F.lit(0)) + 0.5) / 10, F.lit(0.0))
+    return out.select("*", *[percent(n).alias(f"pct_{n}") for n in ("with_proposal", "reviewed", "ready_for_export", "with_backend_ocr", "text_ready_for_export")])
+
+
+def model_states(models: DataFrame, evaluations: DataFrame, requests: DataFrame) -> DataFrame:
+    """(model, task, status, promoted_at, n_evaluations, rejected) after all requests (model, to, at, n; n orders equal times) in order.
+
+    A candidate may be validated, a validated model promoted, each only with a validation evaluation (model, split); all but deprecated ones may be deprecated.  A promotion deprecates the model
+    of the task that was promoted before, so a task never has two.  Other requests are rejected and counted.  A model goes one way through the states, so its
+    course follows from its first fitting requests, and whom a promotion replaces from the next promotion of its task: two aggregates and a window, no fold."""
+    when = F.struct("at", "n")
+    checked = evaluations.groupBy("model").agg(F.count("*").alias("n_evaluations"), F.bool_or(F.col("split") == "validation").alias("_ok"))
+    m = models.select("model", "task").join(checked, "model", "left").withColumn("n_evaluations", F.coalesce("n_evaluations", F.lit(0))).withColumn("_ok", F.coalesce("_ok", F.lit(False)))
+    r = requests.join(m.select("model", "_ok"), "model").withColumn("_w", when)
+    first = lambda to, ok=F.lit(True): F.min(F.when((F.col("to") == to) & ok, F.col("_w")))
+    a = r.groupBy("model").agg(first("validated", F.col("_ok")).alias("_v"), first("deprecated").alias("_d"), F.count("*").alias("_n"))
+    before = lambda x: F.col("_d").isNull() | (F.col(x) < F.col("_d"))
+    a = a.withColumn("_v", F.when(before("_v"), F.col("_v")))
+    p = r.join(a.select("model", "_v", "_d"), "model").filter((F.col("to") == "promoted") & (F.col("_w") > F.col("_v")) & before("_w")).groupBy("model").agg(F.min("_w").alias("_p"))
+    s = m.join(a, "model", "left").join(p, "model", "left")
+    # the next promotion of the task ends this one
+    s = s.withColumn("_next", F.when(F.col("_p").isNotNull(), F.min(F.when(F.col("_p").isNotNull(), F.struct("_p", "model"))).over(W.partitionBy("task").orderBy(F.asc_nulls_last("_p"), "model").rowsBetween(1, W.unboundedFollowing))))
+    over = F.col("_d").isNotNull() | F.col("_next").isNotNull()
+    status = F.when(over, "deprecated").when(F.col("_p").isNotNull(), "promoted").when(F.col("_v").isNotNull(), "validated").otherwise("candidate")
+    # a request to deprecate a model that another promotion has already deprecated is rejected
+    own = F.col("_d").isNotNull() & (F.col("_next").isNull() | (F.col("_d") < F.col("_next._p")))
+    accepted = F.col("_v").isNotNull().cast("long") + F.col("_p").isNotNull().cast("long") + F.coalesce(own, F.lit(False)).cast("long")
+    return s.select("model", "task", status.alias("status"), F.col("_p.at").alias("promoted_at"), "n_evaluations", (F.coalesce("_n", F.lit(0)) - accepted).alias("rejected"))

@@ -159,14 +159,17 @@ def narrow(regions: DataFrame, items: DataFrame, evidence: str, text: str, confi
     return s.orderBy(F.desc(F.round("score", 9)), F.desc("matched"), item).limit(k).select(item, "matched", "score")
 
 
-def score_all(left: DataFrame, right: DataFrame, score: Column, left_key: Sequence[str], right_key: Sequence[str], k: int, most: int = 100_000) -> DataFrame:
-    """The k best right rows of every left row, all of them scored: for a catalog of at most ``most`` rows, counted first; a larger one raises."""
+def score_all(left: DataFrame, right: DataFrame, score: Column, left_key: Sequence[str], right_key: Sequence[str], k: int, most: int = 2_000) -> DataFrame:
+    """The k best right rows of every left row, all of them scored.  A catalog of at most ``most`` rows, counted first, is sent to the left rows; a larger one is dealt into blocks of as many, every
+    left row meets each block by its number, and keeps its k best of a block, so no task holds more than a block of the catalog."""
     n = right.count()
-    if n > most:
-        raise ValueError(f"{n} rows are too many to score all of them; block on tokens instead")
-    # a stated small catalog, its size checked above
-    pairs = left.join(F.broadcast(right)).withColumn("score", score)
-    return _top(pairs, left_key, [F.desc("score"), *right_key], k)
+    if n <= most:
+        return _top(left.join(F.broadcast(right)).withColumn("score", score), left_key, [F.desc("score"), *right_key], k)
+    blocks = -(-n // most)
+    r = right.withColumn("_block", F.pmod(F.xxhash64(*right_key), F.lit(blocks)))
+    pairs = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long")).join(r, "_block").withColumn("score", score)
+    part = _top(pairs, [*left_key, "_block"], [F.desc("score"), *right_key], k).drop("_block")
+    return _top(part, left_key, [F.desc("score"), *right_key], k)
 
 
 def text_hits(words: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import relational
 from tessera.plans.registry import query
-from tessera.session import shared_dir, table
+from tessera.session import scratch, table
 from tessera.sources import catalog, exports
 
 
-def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_folder = scratch
 
 
 @query("""select p_partkey::varchar as id, p_name as title, nullif(case when p_size % 4 = 0 then ' ' else p_brand end, ' ') as maker, length(sha256('x')) as digest_length from part""")

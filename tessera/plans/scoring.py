@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import datasets as DS
 from tessera.operators import decide as D
 from tessera.operators import evaluate as E
 from tessera.operators import fusion as U
@@ -230,6 +231,46 @@ def o10_training_runs(spark, sf_dir):
                                                       F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
 
 
+@query("""with e as (select o_custkey as model, count(*) as n_evaluations, bool_or(o_orderpriority like '1%') as ok from orders group by 1), r as (select o_custkey as model, case o_orderkey % 4 when 0 then 'deprecated' when 1 then 'promoted' else 'validated' end as to_, {'a': o_orderdate, 'n': o_orderkey} as w from orders where o_orderkey % 5 <> 0),
+    d as (select model, min(w) filter (to_ = 'deprecated') as d, count(*) as n from r group by 1),
+    v as (select r.model, min(w) as v from r join e on e.model = r.model and e.ok join d on d.model = r.model where to_ = 'validated' and (d is null or w < d) group by 1),
+    p as (select r.model, min(w) as p from r join v on v.model = r.model join d on d.model = r.model where to_ = 'promoted' and w > v and (d is null or w < d) group by 1),
+    s as (select c_custkey as model, c_mktsegment as task, d.d, d.n, v.v, p.p, coalesce(n_evaluations, 0) as n_evaluations from customer c left join e on e.model = c_custkey left join d on d.model = c_custkey left join v on v.model = c_custkey left join p on p.model = c_custkey),
+    x as (select s.*, (select min(t.p) from s t where t.task = s.task and t.p > s.p) as nxt from s)
+    select model, task, case when d is not null or nxt is not null then 'deprecated' when p is not null then 'promoted' when v is not null then 'validated' else 'candidate' end as status, p.a as promoted_at, n_evaluations,
+      coalesce(n, 0) - (v is not null)::int - (p is not null)::int - (d is not null and (nxt is null or d < nxt))::int as rejected from x""")
+def o10_model_states(spark, sf_dir):
+    """Customers are models, segments their tasks; orders are evaluations and, but for every fifth, requests."""
+    o, m = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(c("c_custkey").alias("model"), c("c_mktsegment").alias("task"))
+    kind = c("o_orderkey") % 4
+    requests = o.filter("o_orderkey % 5 <> 0").select(c("o_custkey").alias("model"), F.when(kind == 0, "deprecated").when(kind == 1, "promoted").otherwise("validated").alias("to"), c("o_orderdate").alias("at"), c("o_orderkey").alias("n"))
+    checks = o.select(c("o_custkey").alias("model"), F.when(c("o_orderpriority").startswith("1"), "validation").otherwise("test").alias("split"))
+    return DS.model_states(m, checks, requests)
+
+
+_NOTED = """with a as (select coalesce(lang, 'none') as lang, d.doc_id % 3 <> 0 as has_proposal, d.doc_id % 5 < 3 as has_roi, d.doc_id % 4 > 0 as has_ocr, d.doc_id % 8 > 4 as has_text, quality = 1 as has_analysis,
+    case d.doc_id % 6 when 0 then 'needs-review' when 1 then 'no-label' when 2 then 'invalid-image' when 3 then null else 'reviewed' end as status, case when toxic = 1 then 'rejected' when quality = 1 then case d.doc_id % 3 when 0 then 'accepted' when 1 then 'needs-tuning' end end as analysis_review,
+    case d.doc_id % 9 when 0 then 'confirmed' when 1 then 'corrected' when 2 then 'no-match' when 3 then 'ambiguous' end as identity from documents d left join labels using (doc_id)),"""
+
+
+@query(_NOTED + """ s as (select lang, count(*) as total_items, count(*) filter (has_proposal) as with_proposal, count(*) filter (not has_proposal) as missing_proposal, count(*) filter (status = 'needs-review') as needs_review, count(*) filter (status = 'reviewed') as reviewed, count(*) filter (status = 'reviewed' and has_roi) as reviewed_bbox,
+    count(*) filter (status = 'no-label') as no_label, count(*) filter (status = 'invalid-image') as invalid_image, count(*) filter (status is null) as no_annotation, count(*) filter (status = 'reviewed' and has_roi) as ready_for_export, count(*) filter (has_ocr) as with_backend_ocr, count(*) filter (has_text) as with_reviewed_ocr_text,
+    count(*) filter (status = 'reviewed' and has_roi and not has_ocr) as needs_ocr, count(*) filter (status = 'reviewed' and has_roi and has_ocr and not has_text) as needs_ocr_review, count(*) filter (status = 'reviewed' and has_roi and has_text) as text_ready_for_export, count(*) filter (has_analysis) as with_label_analysis,
+    count(*) filter (has_analysis and analysis_review is null) as needs_label_analysis_review, count(*) filter (analysis_review = 'accepted') as label_analysis_accepted, count(*) filter (analysis_review = 'needs-tuning') as label_analysis_needs_tuning, count(*) filter (analysis_review = 'rejected') as label_analysis_rejected, count(identity) as with_catalog_identity,
+    count(*) filter (has_analysis and identity is null) as needs_catalog_identity, count(*) filter (identity = 'confirmed') as catalog_identity_confirmed, count(*) filter (identity = 'corrected') as catalog_identity_corrected, count(*) filter (identity = 'no-match') as catalog_identity_no_match, count(*) filter (identity = 'ambiguous') as catalog_identity_ambiguous from a group by 1)
+    select *, floor(1000.0 * with_proposal / total_items + .5) / 10::double as pct_with_proposal, floor(1000.0 * reviewed / total_items + .5) / 10::double as pct_reviewed, floor(1000.0 * ready_for_export / total_items + .5) / 10::double as pct_ready_for_export, floor(1000.0 * with_backend_ocr / total_items + .5) / 10::double as pct_with_backend_ocr, floor(1000.0 * text_ready_for_export / total_items + .5) / 10::double as pct_text_ready_for_export from s""")
+def d12_annotation_summary(spark, sf_dir):
+    """Documents stand for annotated items; what the tables do not hold follows from the id."""
+    i = c("doc_id")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    status = F.when(i % 6 == 0, "needs-review").when(i % 6 == 1, "no-label").when(i % 6 == 2, "invalid-image").when(i % 6 > 3, "reviewed")
+    review = F.when(c("toxic") == 1, "rejected").when((c("quality") == 1) & (i % 3 == 0), "accepted").when((c("quality") == 1) & (i % 3 == 1), "needs-tuning")
+    identity = F.when(i % 9 == 0, "confirmed").when(i % 9 == 1, "corrected").when(i % 9 == 2, "no-match").when(i % 9 == 3, "ambiguous")
+    a = d.select(F.coalesce("lang", F.lit("none")).alias("lang"), (i % 3 != 0).alias("has_proposal"), (i % 5 < 3).alias("has_roi"), (i % 4 > 0).alias("has_ocr"), (i % 8 > 4).alias("has_text"), (c("quality") == 1).alias("has_analysis"),
+                 status.alias("status"), review.alias("analysis_review"), identity.alias("identity"))
+    return DS.annotation_summary(a, ["lang"])
+
+
 # ---- H: plans and their application.  The plan moves the parts of two brands to a third one, where the row still is as reviewed.
 
 _PLAN = """with plan as (select p_partkey, p_brand as expected, 'Brand#1' as target from part where p_brand in ('Brand#2', 'Brand#3')), cur as (select p_partkey, case when p_size = 13 then 'Brand#9' else p_brand end as brand, p_retailprice from part),

@@ -25,9 +25,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in spark.checkpoint.dir;
-    only where that is unset (tests on one machine) a default under the warehouse is taken."""
+    only where that is unset (tests on one machine) a default under the warehouse is taken; on a cluster that is an error, as its machines share no such folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return d.rstrip("/")
 
@@ -57,6 +59,14 @@ def _file_system(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files of a job; they go with the application."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, folder = _file_system(spark, path)
+    fs.deleteOnExit(folder)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and nothing reads any more."""
     for t in tables:

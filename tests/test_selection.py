@@ -104,3 +104,42 @@ def test_forbidden_pairs_in_two_levels(spark):
     for a, b in pairs:
         why = hard.get((min(a, b), max(a, b)), set())
         assert got[a, b] == (why, a != b and not why - {"diagnostic"}, a != b and not why)
+
+
+def test_model_states_equal_a_fold(spark):
+    """Random requests in random order against the state machine folded one request at a time; a task never has two promoted models."""
+    rng = np.random.default_rng(9)
+    models = [(m, f"t{m % 3}") for m in range(30)]
+    checks = [(m, s) for m in range(30) for s in (["validation", "test"] if m % 4 else ["test"])]
+    moves = ["validated", "promoted", "deprecated"]
+    requests = [(int(rng.integers(0, 32)), moves[int(rng.choice(3, p=[0.4, 0.45, 0.15]))], int(rng.integers(0, 60)), n) for n in range(220)]
+    status, promoted, rejected = dict.fromkeys(range(30), "candidate"), {}, defaultdict(int)
+    fits = {"candidate": ("validated", "deprecated"), "validated": ("promoted", "deprecated"), "promoted": ("deprecated",), "deprecated": ()}
+    for m, to, at, _ in sorted(requests, key=lambda r: (r[2], r[3])):
+        if m not in status:
+            continue
+        if to not in fits[status[m]] or (to != "deprecated" and (m, "validation") not in checks):
+            rejected[m] += 1
+            continue
+        if to == "promoted":
+            for other in status:
+                if other != m and other % 3 == m % 3 and status[other] == "promoted":
+                    status[other] = "deprecated"
+            promoted[m] = at
+        status[m] = to
+    got = D.model_states(spark.createDataFrame(models, "model long, task string"), spark.createDataFrame(checks, "model long, split string"),
+                         spark.createDataFrame(requests, "model long, to string, at long, n long")).collect()
+    assert {r["model"]: (r["status"], r["promoted_at"], r["rejected"]) for r in got} == {m: (status[m], promoted.get(m), rejected[m]) for m in range(30)}
+    assert len(set(status.values())) >= 3
+    tasks = [r["task"] for r in got if r["status"] == "promoted"]
+    assert tasks and len(tasks) == len(set(tasks))
+
+
+def test_full_scoring_in_blocks(spark):
+    from tessera.functions import text as T
+    from tessera.operators import lexical as L
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcd"), int(rng.integers(1, 6))))
+    left, right = spark.createDataFrame([(word() + str(i % 3),) for i in range(40)], "a string").distinct(), spark.createDataFrame([(word() + str(i),) for i in range(90)], "b string").distinct()
+    want = sorted(map(tuple, L.score_all(left, right, T.edit_similarity("a", "b"), ["a"], ["b"], 4).collect()))
+    assert sorted(map(tuple, L.score_all(left, right, T.edit_similarity("a", "b"), ["a"], ["b"], 4, most=13).select("a", "b", "score").collect())) == want and len(want) == 4 * left.count()
