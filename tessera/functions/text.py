@@ -310,3 +310,68 @@ def changed_paths(a, b) -> Column:
     a, b = col(a), col(b)
     names = F.array_union(F.map_keys(a), F.map_keys(b))
     return F.array_sort(F.filter(names, lambda k: ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k))))
+
+
+#: Words before a year that make it a vintage, and words near it that make it another event's year.
+VINTAGE = (r"(?:год\s+)?урожа[йя](?:\s*,?\s*в\s+нашем\s+случае)?", r"винтажа?", "vintage")
+NO_VINTAGE = ("наград", "медал", "конкурс", "award", "competition", "розлив", "разлив", "bottl", "публикац")
+
+
+def phrase_years(c, phrases: Sequence[str] = VINTAGE, excluded: Sequence[str] = NO_VINTAGE, before: int = 60, after: int = 35) -> Column:
+    """The distinct years (1900 to 2099) that follow one of ``phrases`` (regular expressions), sorted.
+
+    A clause ends at ``! ? ;``, a line's end, or a full stop that touches no digit on one of its sides.  A year does not count where one of the words ``excluded`` stands whole in the
+    ``before`` code points ahead of the phrase or the ``after`` behind the year, without a comma between, or where a part of a date or decimal follows.
+    Both windows are bounded look-arounds, so whole texts stay in the JVM.  Null: no years."""
+    longest = max(map(len, excluded))
+    if longest > min(before, after):
+        raise ValueError("a word that is longer than its window can't stand in it")
+    ahead = "|".join(f"{w}[^,]{{0,{before - len(w)}}}" for w in excluded)
+    behind = "|".join(f"[^,]{{0,{after - len(w)}}}{w}" for w in excluded)
+    found = rf"(?iuU)(?<!{ahead})(?<!год\s)\b(?:{'|'.join(phrases)})\s*[:–—,-]?\s*((?:19|20)[0-9]{{2}})\b(?![./][0-9])(?!{behind})"
+    clauses = F.split(F.coalesce(col(c), F.lit("")), r"(?<![0-9])\.|\.(?![0-9])|[!?;\n]")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(clauses, lambda x: F.regexp_extract_all(x, F.lit(found), F.lit(1))))))
+
+
+#: Classes of a normalised text and the patterns that show them; of CATEGORY and SWEETNESS the first that fits counts, of COLOUR the only one.
+CATEGORY = (("rose", "rozov|rose|pink"), ("red", "krasn|red"), ("white", "bel|white"), ("orange", "oranzh|orange"))
+SWEETNESS = (("semi_sweet", "poluslad|semi sweet|semisweet"), ("semi_dry", "polusuh|semi dry|semidry"), ("extra_brut", "ekstra bryut|extra brut"), ("brut", "bryut|brut"),
+             ("sweet", "sladk|sweet"), ("dry", "suhoe|suhoj|dry"))
+COLOUR = (("rose", "rozov|rose|pink"), ("red", "krasn|rubin|granat|purpur|red|ruby"), ("white", "solom|zolot|zhelt|yantar|white|gold"))
+
+
+def first_class(c, rules: Sequence[tuple[str, str]], otherwise: Column | None = None) -> Column:
+    """The first class of ``rules`` whose pattern is in the text; ``otherwise`` (null) if there is none."""
+    return F.coalesce(*(F.when(col(c).rlike(p), k) for k, p in rules), F.lit(None).cast("string") if otherwise is None else otherwise)
+
+
+def sole_class(c, rules: Sequence[tuple[str, str]]) -> Column:
+    """The class of ``rules`` that fits, if exactly one does; else null."""
+    fits = F.array_compact(F.array(*(F.when(col(c).rlike(p), k) for k, p in rules)))
+    return F.when(F.size(fits) == 1, fits[0])
+
+
+#: Misread words of recognised texts and what they stand for, applied in this order.
+MISREAD = (("fanag0ria", "fanagoria"), ("cabemet", "cabernet"), ("kaberne", "cabernet"), ("saperav1", "saperavi"), ("2o2([0-9])", "202$1"), ("202!", "2021"), ("abrau durso", "abrau-durso"))
+
+
+def recognised_text(c, fixes: Sequence[tuple[str, str]] = MISREAD) -> Column:
+    """Lower case, ё as е, letters, digits and hyphens in words by single spaces, then ``fixes`` (pattern, replacement) one after the other."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(col(c)), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}\s-]", " "), r"\s+", " "))
+    for pattern, replacement in fixes:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
+
+
+#: The kind of text that a source field holds, and how well a region's kind fits another kind of field.
+FIELD_KIND = {"color": "color", "region": "region", "manufacturer": "producer", "category": "classification", "title": "product-name", "alias": "product-name", "description": "free-text"}
+FIT = {("product-name", "producer"): 0.78, ("producer", "product-name"): 0.72, ("classification", "product-name"): 0.68, ("region", "free-text"): 0.58,
+       ("free-text", "product-name"): 0.55, ("free-text", "producer"): 0.55, ("free-text", "region"): 0.55}
+
+
+def field_fit(kind, field) -> Column:
+    """How well a region of ``kind`` can show a source ``field``: 1 for its own kind, 0.65 where one of the two is unknown, a fixed value for related kinds, else 0.18."""
+    known = F.create_map(*(F.lit(x) for p in FIELD_KIND.items() for x in p))
+    near = F.create_map(*(F.lit(x) for (a, b), v in FIT.items() for x in (f"{a}>{b}", v)))
+    k, f = F.coalesce(col(kind), F.lit("unknown")), F.coalesce(F.try_element_at(known, F.coalesce(col(field), F.lit(""))), F.lit("unknown"))
+    return F.when((k == "unknown") | (f == "unknown"), 0.65).when(k == f, 1.0).otherwise(F.coalesce(F.try_element_at(near, F.concat(k, F.lit(">"), f)), F.lit(0.18)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def _cols(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -91,3 +93,15 @@ def flatten_list_item(df: DataFrame, payload: str, base_url: str) -> tuple[DataF
                     text("$.color").alias("color"), whole.alias("image_url"), text("$.image.altText").alias("image_alt"), F.col(payload).alias("raw_list_json"))
     ok = F.coalesce((F.trim("slug") != "") & (F.trim("title") != ""), F.lit(False))
     return flat.filter(ok).drop(payload), flat.filter(~ok).select(payload)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """``df`` with each row's place from 1 in ``order``, which should tell all rows apart, and no task that sees all rows.
+
+    Rows are sorted by ranges and written with a number that grows inside each range; the counts of the ranges, one row a range, tell how many come before."""
+    key = F.shiftright("_at", 33)
+    at = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    ranges = at.groupBy(key.alias("_range")).agg(F.count("*").alias("_n"))
+    before = ranges.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return at.withColumn("_range", key).join(F.broadcast(before), "_range").select(*df.columns, place.alias(name))

@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _m in ("relational", "catalog", "textual", "retrieval", "stream", "ledger", "spatial", "resolution", "exchange", "scoring"):
+for _m in ("relational", "catalog", "textual", "retrieval", "stream", "ledger", "spatial", "resolution", "exchange", "scoring", "evidence"):
     importlib.import_module(f"tessera.plans.{_m}")

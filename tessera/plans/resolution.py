@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import evidence as EV
 from tessera.operators import lexical as L
 from tessera.operators import resolve as R
 from tessera.plans.registry import query
@@ -178,6 +179,16 @@ def m10_tag_match(spark, sf_dir):
     return L.tag_match(_asked(i), tags, "query", "text", "id", "tag", "w").select("query", "id", "matched", F.round("score", 6).alias("score"))
 
 
+
+@query(_TAGS + """, m as (select query, id, matched, round(score, 6)::double as score from o where round(score, 9) >= .38 qualify row_number() over (partition by query order by round(score, 9) desc, id) <= 5),
+    r as (select *, row_number() over (partition by query order by score desc, id) as k, lead(score) over (partition by query order by score desc, id) as next from m)
+    select query, id, score, round(score - next, 6) as lead, score >= .5 and (matched >= 2 or next is null or round(score - next, 9) >= .08) as accepted from r where k = 1""")
+def m16_gated_matches(spark, sf_dir):
+    """The gate over the matches by tags: the best of a query is accepted on two tags or a clear lead."""
+    m = m10_tag_match(spark, sf_dir)
+    return EV.hypothesis_gate(m, "query", "id", "score", "matched").withColumn("lead", F.round("lead", 6))
+
+
 _SIMILAR = """, p as (select a.id, b.id as other, a.title as t1, b.title as t2, a.{0} = b.{0} as s0, a.{1} = b.{1} as s1, a.{2} = b.{2} as s2 from items a join items b on a.id <> b.id and (a.{0} = b.{0} or a.{1} = b.{1} or a.{2} = b.{2})),
     j as (select *, len(list_intersect(string_split(t1, ' '), string_split(t2, ' '))) / len(list_distinct(list_concat(string_split(t1, ' '), string_split(t2, ' '))))::double as j from p) """
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -180,3 +180,71 @@ def parse_pages(pages: DataFrame, key: str, html: str, kind: str, prefer: Sequen
                 parsed = [one(p) for p in part[html]]
                 yield pd.DataFrame({key: part[key].array, **{n: pd.Series([r[n] for r in parsed], dtype="float64" if n == "rating" else object).array for n in names}})
     return pages.select(key, F.col(html).cast("string")).mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, {PRODUCT if kind == 'product' else REVIEW}")
+
+
+def content_url(href: str | None, base: str) -> str | None:
+    """The address of a content page on the site of ``base``: absolute, without query, fragment and closing slash; null for other sites, schemes and the start page."""
+    try:
+        parts = urlsplit(urljoin(base, (href or "").strip()))
+        home = urlsplit(base)
+    except ValueError:
+        return None
+    path = parts.path.rstrip("/")
+    return f"{home.scheme}://{home.netloc}{path}" if href and path and parts.scheme in ("http", "https") and parts.netloc == home.netloc else None
+
+
+def links(page: str | None, base: str, product: frozenset[str], review: frozenset[str]) -> list[tuple[str, str | None]]:
+    """(address, title) of a page's links whose element or an element around it has a class, or is of a tag, in ``product`` and that have a text; a link under ``review``, and the
+    page's own canonical address where the page has such an element, has a null title: it is a review."""
+    root = tree(page or "")
+    out: list[tuple[str, str | None]] = []
+    stack = [(root, frozenset())]
+    reviewed = False
+    while stack:
+        e, marks = stack.pop()
+        own = {e.tag, *e.attrs.get("class", "").split()}
+        reviewed |= bool(own & review)
+        marks = marks | (own & (product | review))
+        if e.tag == "a" and (url := content_url(e.attrs.get("href"), base)):
+            if marks & review:
+                out.append((url, None))
+            elif marks & product and (title := e.text()):
+                out.append((url, title))
+        stack.extend((c, marks) for c in e.children if isinstance(c, Element))
+    if reviewed and (url := content_url(_canonical(root), base)):
+        out.append((url, None))
+    return out
+
+
+def discover_links(pages: DataFrame, key: str, html: str, base: str, product: Sequence[str], review: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(products url, title, titles, pages; origins url, title, page key) of all pages' links to products.
+
+    An address that any page shows as a review is none.  title: the first of the observed ones, titles and pages: how many there are.  A link that is on every page stays rows of
+    ``origins``: no list of its pages is built."""
+    p, r = frozenset(product), frozenset(review)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for s in range(0, len(f), 256):
+                rows = [(k, *x) for k, page in f.iloc[s:s + 256][[key, html]].itertuples(index=False) for x in links(page, base, p, r)]
+                yield pd.DataFrame(rows, columns=[key, "url", "title"])
+    found = pages.select(key, F.col(html).cast("string")).mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, url string, title string").distinct()
+    titled = found.groupBy("url").agg(F.max(F.col("title").isNull()).alias("review"))
+    origins = found.join(titled.filter("not review").select("url"), "url").select("url", "title", key)
+    products = origins.groupBy("url").agg(F.min("title").alias("title"), F.count_distinct("title").alias("titles"), F.count_distinct(key).alias("pages"))
+    return products, origins
+
+
+def variant_rank(url, rules: Sequence[tuple[str | None, str, int]], otherwise: int) -> Column:
+    """The rank of an image's address by the first of ``rules`` (host or null for any, part of the path, rank) that fits, else ``otherwise``; lower is better."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    fits = [F.when(F.contains(path, F.lit(part)) & (F.lit(True) if h is None else host == h), rank) for h, part, rank in rules]
+    return F.coalesce(*fits, F.lit(otherwise))
+
+
+def preferred_variants(df: DataFrame, photo: str, url: str, rules: Sequence[tuple[str | None, str, int]], otherwise: int) -> DataFrame:
+    """(photo, preferred, rank, variants) of each photo's distinct addresses: the one of least rank, of equal ranks the first by letters, and their number."""
+    best = F.min(F.struct(variant_rank(F.col(url), rules, otherwise).alias("rank"), F.col(url).alias("url")))
+    return (df.filter(F.col(url).isNotNull()).groupBy(photo).agg(best.alias("b"), F.count_distinct(url).alias("variants"))
+            .select(photo, F.col("b.url").alias("preferred"), F.col("b.rank").alias("rank"), "variants"))
