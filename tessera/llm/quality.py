@@ -12,9 +12,11 @@ Scoring.  With the log probabilities written as corrections of the next shorter
     log p(w | context) = log p(unknown) + sum over orders of  v(gram) + b(context),
     v(gram) = log P(gram) - b(context) - log P(gram without its first word), 0 if unseen,   b = log back-off weight, 0 if unseen,
 
-so a text's score is a sum over its grams of all orders and (key, v + b) is all that is joined: documents give rows (row, key,
-count), each gram of a document once.  The join runs in ``shards`` parts of the key space one after the other, so only a part of
-the grams is on disk at a time.
+so a text's score is a sum over its grams of all orders and (key, v + b) is all that is needed.  The grams counted most often, at most
+``head`` of them (a table of 12 bytes a gram, broadcast), are summed where the text is read: common words and word pairs never
+are rows, so no key of the join is hot.  Of all others documents give rows (row, key, count), each gram of a document once, that
+are joined to the model; which grams are common changes no score.  The join can run in ``shards`` parts of the key space one after the
+other, so only a part of the grams is on disk at a time.
 
 A text is kept when its perplexity per word is at most the ``quantile`` of trusted texts of its language that the model has
 not seen: a fifth of them, by hash of the id, is held out (all languages' where a language holds out fewer than ``least_trusted``).
@@ -39,7 +41,9 @@ from tessera.session import discard, materialize
 
 #: Words of a gram; see the README for what a longer one costs.
 ORDER = 2
-SHARDS = 4
+SHARDS = 1
+#: Bound of the broadcast table of common grams.
+HEAD = 1 << 20
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
 _M1 = U64(0x9E3779B97F4A7C15)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,7 +88,7 @@ def _grams(order: int):
 
 
 def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[DataFrame, float]:
-    """The model of a table (text): rows (k, v, shard), and the log probability of an unknown word.  order is at least 2."""
+    """The model of a table (text): rows (k, v, n: how often it was counted, shard), and the log probability of an unknown word.  order is at least 2."""
     raw = materialize(texts.select("text").mapInArrow(_grams(order), "o int, k long, s long, c long, n long")
                       .groupBy("o", "k").agg(F.min("s").alias("s"), F.min("c").alias("c"), F.sum("n").alias("n")), "op9raw")
     counts = {order: raw.filter(F.col("o") == order)}
@@ -100,11 +104,11 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
         if o == 1:
             t = c.agg(F.sum("n").alias("total"), F.sum("disc").alias("off")).first()
             if not t["total"]:
-                return values_of(c.select("k", F.lit(0.0).alias("v")), shards), 0.0
+                return values_of(c.select("k", F.lit(0.0).alias("v"), "n"), shards), 0.0
             uniform = t["off"] / t["total"] / (nn["all"] + 1)
             unknown = float(np.log(uniform))
-            p = materialize(c.select("k", F.log((F.col("n") - F.col("disc")) / t["total"] + uniform).alias("logp")), "op9p")
-            part = p.select("k", (F.col("logp") - unknown).alias("v"))
+            p = materialize(c.select("k", F.log((F.col("n") - F.col("disc")) / t["total"] + uniform).alias("logp"), "n"), "op9p")
+            part = p.select("k", (F.col("logp") - unknown).alias("v"), "n")
         else:
             # one shuffle at a time: each step is written, so the files of the one before it can go
             ctx = materialize(c.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("disc") / F.sum("n")).alias("free")), "op9ctx")
@@ -112,10 +116,10 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
                             .join(lower.select(F.col("k").alias("s"), F.col("logp").alias("low")), "s").select("k", "c", "own", "low"), "op9low")
             if o == order:
                 discard(raw)
-            both = p.join(ctx, "c").select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b"))
-            both = materialize(both.select("k", "logp", (F.col("logp") - F.col("low") - F.col("b")).alias("v")), "op9both")
+            both = p.join(ctx, "c").select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b"), "own")
+            both = materialize(both.select("k", "logp", (F.col("logp") - F.col("low") - F.col("b")).alias("v"), F.col("own").alias("n")), "op9both")
             discard(p)
-            part = both.select("k", "v").union(ctx.select(F.col("c").alias("k"), F.log("free").alias("v")))
+            part = both.select("k", "v", "n").union(ctx.select(F.col("c").alias("k"), F.log("free").alias("v"), F.col("total").alias("n")))
             p = both.select("k", "logp")
         lower, values = p, part if values is None else values.union(part)
     out = values_of(values, shards)
@@ -125,7 +129,7 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
 
 def values_of(values: DataFrame, shards: int) -> DataFrame:
     """One row per key: a gram's own value and its weight as a context add up."""
-    return materialize(values.groupBy("k").agg(F.sum("v").cast("float").alias("v")).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")), "op9model")
+    return materialize(values.groupBy("k").agg(F.sum("v").cast("float").alias("v"), F.sum("n").cast("double").alias("n")).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")), "op9model")
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -135,34 +139,63 @@ def discounts(n: list[int]) -> list[float]:
     return [x if 0 < x < i and n[i - 1] else 0.5 * i for i, x in zip((1, 2, 3), d, strict=True)]
 
 
-def _document_grams(order: int, shards: int, shard: int):
-    """(rid, k, n): the distinct grams of each document whose keys belong to the shard."""
+def common_grams(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and values of the grams counted most often, at most ``head``: all whose count is in the upper classes (eighths of powers of two) that hold no more together."""
+    level = F.floor(F.log2(F.greatest("n", F.lit(1.0))) * 8)
+    least, held = None, 0
+    for r in sorted(model.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > head:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    t = model.filter(level >= least).select("k", "v").toArrow()
+    k, v = t["k"].to_numpy(), t["v"].to_numpy()
+    order = np.argsort(k)
+    return k[order], v[order]
+
+
+def _document_grams(order: int, shards: int, shard: int, common):
+    """(rid, k, n, s) of the keys of the shard: the distinct grams of each document that are not common (s 0), and a row of each document's sum over the
+    common ones (n 0; its key only spreads such rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = max(1, order - 1)
+        known, values = common.value
         for b in rows(batches, 64):
-            ids, ks, ns = [], [], []
+            ids, ks, ns, sums = [], [], [], []
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text and not text.isspace():
                     keys = gram_keys(text, order)
                     # all grams but the longest also serve as contexts: those of the start signs come along
                     every = np.concatenate([*(k[lead - 1:] for k in keys[:-1]), keys[-1][lead:]]).view(np.int64)
-                    k, n = np.unique(every[every % shards == shard], return_counts=True)
-                    ids.append(np.full(len(k), rid, np.int64))
-                    ks.append(k)
-                    ns.append(n)
+                    k, n = np.unique(every if shards == 1 else every[every % shards == shard], return_counts=True)
+                    own = 0.0
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                        met = known[at] == k
+                        own = float(values[at[met]].astype(np.float64) @ n[met])
+                        k, n = k[~met], n[~met]
+                    ids.append(np.full(len(k) + 1, rid, np.int64))
+                    ks.append(np.append(k, mix(np.array([rid], np.int64).view(U64)).view(np.int64)))
+                    ns.append(np.append(n, 0))
+                    sums.append(np.append(np.zeros(len(k)), own))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ks, ns)], ["rid", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ks, ns, sums)], ["rid", "k", "n", "s"])
     return run
 
 
-def score(keyed: DataFrame, model: DataFrame, order: int = ORDER, shards: int = SHARDS) -> DataFrame:
-    """(rid, s): the sum of the values of each document's grams, from (rid, text); documents without a known gram are absent."""
+def score(keyed: DataFrame, model: DataFrame, order: int = ORDER, shards: int = SHARDS, head: int = HEAD) -> DataFrame:
+    """(rid, s): the sum of the values of each document's grams, from (rid, text); documents without words are absent."""
+    common = keyed.sparkSession.sparkContext.broadcast(common_grams(model, head))
     parts = None
     for shard in range(shards):
-        mine = keyed.select("rid", "text").mapInArrow(_document_grams(order, shards, shard), "rid long, k long, n long")
-        part = mine.join(model.filter(F.col("shard") == shard).select("k", "v"), "k").groupBy("rid").agg(F.sum(F.col("v") * F.col("n")).alias("s"))
+        mine = keyed.select("rid", "text").mapInArrow(_document_grams(order, shards, shard, common), "rid long, k long, n long, s double")
+        met = mine.join(model.filter(F.col("shard") == shard).select("k", "v"), "k", "left")
+        part = met.groupBy("rid").agg(F.sum(F.coalesce(F.col("v") * F.col("n"), F.lit(0.0)) + F.col("s")).alias("s"))
         part = materialize(part, "op9part")
         parts = part if parts is None else parts.union(part)
+    common.unpersist()
     return parts.groupBy("rid").agg(F.sum("s").alias("s"))
 
 
