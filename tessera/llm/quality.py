@@ -14,8 +14,9 @@ Scoring.  With the log probabilities written as corrections of the next shorter
 
 so a text's score is a sum over its grams of all orders and (key, v + b) is all that is needed.  The grams counted most often, at most
 ``head`` of them (a table of 12 bytes a gram, broadcast), are summed where the text is read: common words and word pairs never
-are rows, so no key of the join is hot.  Of all others documents give rows (row, key, count), each gram of a document once, that
-are joined to the model; which grams are common changes no score.  The join can run in ``shards`` parts of the key space one after the
+are rows, so no key of the join is hot.  A bitmap of 2 ** ``bits`` bits, one set for each key of the model, is broadcast too: a gram whose
+bit is not set is in no trusted text and adds nothing.  Of the rest documents give rows (row, key, count), each gram of a document once, that
+are joined to the model; neither table changes a score, and neither grows with the data.  The join can run in ``shards`` parts of the key space one after the
 other, so only a part of the grams is on disk at a time.
 
 A text is kept when its perplexity per word is at most the ``quantile`` of trusted texts of its language that the model has
@@ -44,6 +45,8 @@ ORDER = 2
 SHARDS = 1
 #: Bound of the broadcast table of common grams.
 HEAD = 1 << 20
+#: Two to this power are the bits of the broadcast map of the model's keys.
+BITS = 27
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
 _M1 = U64(0x9E3779B97F4A7C15)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,7 +98,7 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
     for o in range(order - 1, 0, -1):
         cont = counts[o + 1].groupBy(F.col("s").alias("k")).agg(F.count("*").alias("n"))
         counts[o] = materialize(raw.filter(F.col("o") == o).select("k", "s", "c").join(cont, "k") if o > 1 else cont, "op9cont")
-    lower, values, unknown = None, None, 0.0
+    lower, values, unknown, held = None, None, 0.0, []
     for o in range(1, order + 1):
         c = counts[o]
         nn = c.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"c{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all")).first()
@@ -108,6 +111,7 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
             uniform = t["off"] / t["total"] / (nn["all"] + 1)
             unknown = float(np.log(uniform))
             p = materialize(c.select("k", F.log((F.col("n") - F.col("disc")) / t["total"] + uniform).alias("logp"), "n"), "op9p")
+            held.append(p)
             part = p.select("k", (F.col("logp") - unknown).alias("v"), "n")
         else:
             # one shuffle at a time: each step is written, so the files of the one before it can go
@@ -119,17 +123,18 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
             both = p.join(ctx, "c").select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b"), "own")
             both = materialize(both.select("k", "logp", (F.col("logp") - F.col("low") - F.col("b")).alias("v"), F.col("own").alias("n")), "op9both")
             discard(p)
+            held += [ctx, both]
             part = both.select("k", "v", "n").union(ctx.select(F.col("c").alias("k"), F.log("free").alias("v"), F.col("total").alias("n")))
             p = both.select("k", "logp")
         lower, values = p, part if values is None else values.union(part)
     out = values_of(values, shards)
-    discard(*[counts[o] for o in range(1, order)])
+    discard(*held, *[counts[o] for o in range(1, order)])
     return out, unknown
 
 
 def values_of(values: DataFrame, shards: int) -> DataFrame:
     """One row per key: a gram's own value and its weight as a context add up."""
-    return materialize(values.groupBy("k").agg(F.sum("v").cast("float").alias("v"), F.sum("n").cast("double").alias("n")).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")), "op9model")
+    return materialize(values.groupBy("k").agg(F.sum("v").cast("float").alias("v"), F.sum("n").cast("float").alias("n")).withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")), "op9model")
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -156,12 +161,21 @@ def common_grams(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
     return k[order], v[order]
 
 
+def key_bitmap(model: DataFrame, bits: int) -> np.ndarray:
+    """Words of 64 bits; bit k mod 2 ** bits is set for each key k of the model."""
+    word, mask = (1 << (bits - 6)) - 1, F.expr("shiftleft(1L, cast(k & 63 as int))")
+    t = model.groupBy(F.shiftright("k", 6).bitwiseAND(word).alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()
+    out = np.zeros(word + 1, np.int64)
+    out[t["w"].to_numpy()] = t["m"].to_numpy()
+    return out
+
+
 def _document_grams(order: int, shards: int, shard: int, common):
-    """(rid, k, n, s) of the keys of the shard: the distinct grams of each document that are not common (s 0), and a row of each document's sum over the
+    """(rid, k, n, s) of the keys of the shard: the distinct grams of each document that are not common but may be in the model (s 0), and a row of each document's sum over the
     common ones (n 0; its key only spreads such rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = max(1, order - 1)
-        known, values = common.value
+        known, values, bitmap = common.value
         for b in rows(batches, 64):
             ids, ks, ns, sums = [], [], [], []
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -176,6 +190,8 @@ def _document_grams(order: int, shards: int, shard: int, common):
                         met = known[at] == k
                         own = float(values[at[met]].astype(np.float64) @ n[met])
                         k, n = k[~met], n[~met]
+                    there = (bitmap[(k >> 6) & (len(bitmap) - 1)] >> (k & 63)) & 1 == 1
+                    k, n = k[there], n[there]
                     ids.append(np.full(len(k) + 1, rid, np.int64))
                     ks.append(np.append(k, mix(np.array([rid], np.int64).view(U64)).view(np.int64)))
                     ns.append(np.append(n, 0))
@@ -185,9 +201,9 @@ def _document_grams(order: int, shards: int, shard: int, common):
     return run
 
 
-def score(keyed: DataFrame, model: DataFrame, order: int = ORDER, shards: int = SHARDS, head: int = HEAD) -> DataFrame:
+def score(keyed: DataFrame, model: DataFrame, order: int = ORDER, shards: int = SHARDS, head: int = HEAD, bits: int = BITS) -> DataFrame:
     """(rid, s): the sum of the values of each document's grams, from (rid, text); documents without words are absent."""
-    common = keyed.sparkSession.sparkContext.broadcast(common_grams(model, head))
+    common = keyed.sparkSession.sparkContext.broadcast((*common_grams(model, head), key_bitmap(model, bits)))
     parts = None
     for shard in range(shards):
         mine = keyed.select("rid", "text").mapInArrow(_document_grams(order, shards, shard, common), "rid long, k long, n long, s double")
