@@ -33,9 +33,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm.common import U64, mix, row_keys, rows, word_hashes
 from tessera.session import discard, materialize
@@ -58,6 +60,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
             .filter("q = 1 and t = 0").select(F.col("doc_id").cast("long").alias("doc_id")))
 
 
+def key_of(context: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """The keys of k-grams from those of their contexts and their last words."""
+    return mix((mix(context + U64(k)) + word) * _M1)
+
+
+@F.pandas_udf(LongType())
+def pair_key(context: pd.Series, word: pd.Series) -> pd.Series:
+    return pd.Series(key_of(context.to_numpy(np.int64).view(U64), word.to_numpy(np.int64).view(U64), 2).view(np.int64))
+
+
 def gram_keys(text: str, order: int) -> list[np.ndarray]:
     """For k = 1..order the keys of the k-grams that end at each sign, start signs included; 0 where there are none."""
     w = word_hashes(text.encode("utf-8", "surrogatepass").split())
@@ -65,7 +77,7 @@ def gram_keys(text: str, order: int) -> list[np.ndarray]:
     keys = [h]
     for k in range(2, order + 1):
         key = np.zeros(len(h), U64)
-        key[k - 1:] = mix((mix(keys[-1][k - 2:-1] + U64(k)) + h[k - 1:]) * _M1)
+        key[k - 1:] = key_of(keys[-1][k - 2:-1], h[k - 1:], k)
         keys.append(key)
     return keys
 
@@ -91,10 +103,14 @@ def _grams(order: int):
 
 
 def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[DataFrame, float]:
-    """The model of a table (text): rows (k, v, n: how often it was counted, shard), and the log probability of an unknown word.  order is at least 2."""
-    raw = materialize(texts.select("text").mapInArrow(_grams(order), "o int, k long, s long, c long, n long")
-                      .groupBy("o", "k").agg(F.min("s").alias("s"), F.min("c").alias("c"), F.sum("n").alias("n")), "op9raw")
-    counts = {order: raw.filter(F.col("o") == order)}
+    """The model of a table (text): rows (k, v, n: how often it was counted, shard), and the log probability of an unknown word.  order is at least 2.
+
+    A pair of words is known by its two words' keys, so its own key travels with no row and is computed last."""
+    pairs = order == 2
+    grams = texts.select("text").mapInArrow(_grams(order), "o int, k long, s long, c long, n long")
+    raw = materialize(grams.groupBy("s", "c").agg(F.sum("n").alias("n")) if pairs else
+                      grams.groupBy("o", "k").agg(F.min("s").alias("s"), F.min("c").alias("c"), F.sum("n").alias("n")), "op9raw")
+    counts = {order: raw if pairs else raw.filter(F.col("o") == order)}
     for o in range(order - 1, 0, -1):
         cont = counts[o + 1].groupBy(F.col("s").alias("k")).agg(F.count("*").alias("n"))
         counts[o] = materialize(raw.filter(F.col("o") == o).select("k", "s", "c").join(cont, "k") if o > 1 else cont, "op9cont")
@@ -116,11 +132,12 @@ def fit(texts: DataFrame, order: int = ORDER, shards: int = SHARDS) -> tuple[Dat
         else:
             # one shuffle at a time: each step is written, so the files of the one before it can go
             ctx = materialize(c.groupBy("c").agg(F.sum("n").alias("total"), (F.sum("disc") / F.sum("n")).alias("free")), "op9ctx")
-            p = materialize(c.select("k", "s", "c", (F.col("n") - F.col("disc")).alias("own"))
-                            .join(lower.select(F.col("k").alias("s"), F.col("logp").alias("low")), "s").select("k", "c", "own", "low"), "op9low")
+            name = "s" if pairs else "k"
+            p = materialize(c.select(*{name, "s"}, "c", (F.col("n") - F.col("disc")).alias("own"))
+                            .join(lower.select(F.col("k").alias("s"), F.col("logp").alias("low")), "s").select(name, "c", "own", "low"), "op9low")
             if o == order:
                 discard(raw)
-            both = p.join(ctx, "c").select("k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b"), "own")
+            both = p.join(ctx, "c").select(pair_key("c", "s").alias("k") if pairs else "k", F.log(F.col("own") / F.col("total") + F.col("free") * F.exp("low")).alias("logp"), "low", F.log("free").alias("b"), "own")
             both = materialize(both.select("k", "logp", (F.col("logp") - F.col("low") - F.col("b")).alias("v"), F.col("own").alias("n")), "op9both")
             discard(p)
             held += [ctx, both]
