@@ -31,10 +31,10 @@ def i2_character_classes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))).cast("long").alias("stops"), F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("capitals"))
 
 
-@query("""with t as (select page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&(amp|middot|copy|nbsp|lt|gt|quot|hellip|ndash|mdash|lsquo|rsquo|ldquo|rdquo|laquo|raquo|euro|#39|#x27);', ' ', 'g') as t from pages)
+@query("""with t as (select page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&((amp|AMP|middot|copy|COPY|nbsp|lt|LT|gt|GT|quot|QUOT|laquo|raquo|#39|#[xX]27);?|(hellip|ndash|mdash|lsquo|rsquo|ldquo|rdquo|euro);)', ' ', 'g') as t from pages)
     select page_id, coalesce(array_to_string(regexp_extract_all(replace(lower(t), 'ß', 'ss'), '[\\p{L}\\p{N}]+'), ' '), '') as norm from t""")
 def i2_normalized(spark, sf_dir):
-    """Pages, as they hold tags and character references."""
+    """Pages, as they hold tags and character references; those that HTML also reads without their semicolon (``&amp``) are decoded too."""
     return table(spark, sf_dir, "pages").select("page_id", T.normalized("html").alias("norm"))
 
 

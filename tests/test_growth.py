@@ -2,9 +2,11 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.operators import datasets as D
+from tessera.plans import registry
 
 
 def test_next_promotions_of_one_large_task(spark):
@@ -21,3 +23,13 @@ def test_next_promotions_of_one_large_task(spark):
     last = max((m * 7919 % 1009 + 10, m) for m in range(n))
     assert {r["status"]: (r["n"], tuple(r["last"])) for r in got if r["status"] == "promoted"} == {"promoted": (1, last)}
     assert {r["status"]: r["n"] for r in got} == {"promoted": 1, "deprecated": n - 1}
+
+
+def test_references_without_semicolon(spark, tmp_path):
+    pages = [(1, "u", "<p>a &amp b &amp; c</p>"), (2, "u", "x&copy y &hellip z &euro; w"), (3, "u", None), (4, "u", "&amp<p>R&ampD &#39 &quot</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["norm"] for r in registry.QUERIES["i2_normalized"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(c.sql(registry.ORACLES["i2_normalized"]).fetchall())
+    assert got[1] == "a b c" and got[4] == "r d"
