@@ -140,13 +140,17 @@ def collapse_references(hits: DataFrame, cid: str, score: str = "score", ref: st
 
 
 def phash_near(df: DataFrame, key: str, phash: str, most: int = 6) -> DataFrame:
-    """Pairs of 64-bit hashes at most ``most`` bits apart: most + 1 bands, one of which must be equal (pigeonhole); equal hashes
-    are collapsed first, so a group of copies makes no pairs."""
+    """Pairs of 64-bit hashes at most ``most`` bits apart: most // 2 + 1 bands, in one of which they must be equal or one bit apart (pigeonhole), so one side also looks under every band
+    with a bit turned.  Such bands are about twice as wide as ones that must be equal, and hold the fewer others.  Equal hashes are collapsed first, so a group of copies makes no pairs."""
     reps = df.groupBy(phash).agg(F.min(key).alias("k"))
-    n = most + 1
+    n = most // 2 + 1
     width = -(-64 // n)
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(phash, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("b")) for i in range(n)])
-    x = reps.select("k", F.col(phash).alias("h"), F.explode(bands).alias("band"))
-    a, b = x.alias("a"), x.alias("b")
+    part = lambda i: F.shiftrightunsigned(phash, i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+    bit = lambda j: F.lit((1 << j) - (1 << 64 if j == 63 else 0)).cast("long")
+    band = lambda i, b: F.struct(F.lit(i).alias("i"), b.alias("b"))
+    own = F.array(*[band(i, part(i)) for i in range(n)])
+    near = F.array(*[band(i, b) for i in range(n) for b in [part(i), *(part(i).bitwiseXOR(bit(j)) for j in range(width if most else 0))]])
+    x = reps.select("k", F.col(phash).alias("h"))
+    a, b = (x.select("*", F.explode(c).alias("band")).alias(t) for t, c in (("a", own), ("b", near)))
     return (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k") < F.col("b.k")))
             .filter(F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= most).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct())
