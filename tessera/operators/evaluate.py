@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,19 +92,62 @@ def weight_grid(axes: dict[str, Sequence[float]]) -> list[dict[str, float]]:
 
 def weight_grid_metrics(candidates: DataFrame, grid: Sequence[dict[str, float]], base: Column) -> DataFrame:
     """(config, dataset, n, exact, broken, siblings, base_exact, base_siblings) of every weighting in one pass: a query's candidates (query, dataset, cid, truth, sibling and the
-    weighted columns), its pool, come together once; each weighting and the baseline ``base`` take their best of them, ties to the least cid."""
+    weighted columns), its pool, come together once; each weighting and the baseline ``base`` take their best of them to nine places, ties to the least cid.  Batches of pools are
+    scored in numpy, some weightings at a time, and leave one row a weighting and dataset."""
     names = list(grid[0])
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    pool = F.collect_list(F.struct("cid", flag("truth"), flag("sibling"), F.round(base, 9).alias("_base"), *[F.col(n).cast("double").alias(n) for n in names]))
-    per = candidates.groupBy("query", "dataset").agg(pool.alias("_pool"))
-    best = lambda score: F.array_max(F.transform("_pool", lambda x: F.struct(score(x).alias("score"), (-x["cid"]).alias("cid"), x["truth"].alias("truth"), x["sibling"].alias("sibling"))))
-    weights = F.explode(F.array(*[F.struct(F.lit(i).alias("config"), *[F.lit(float(w[n])).alias(n) for n in names]) for i, w in enumerate(grid)])).alias("w")
-    r = per.withColumn("_b", best(lambda x: x["_base"])).select("dataset", "_b", "_pool", weights)
-    r = r.select("dataset", "_b", "w.config", best(lambda x: F.round(sum((x[n] * F.col(f"w.{n}") for n in names), F.lit(0.0)), 9)).alias("_p"))
-    wrong = lambda p: F.col(f"{p}.sibling") & ~F.col(f"{p}.truth")
-    ok, was = F.col("_p.truth"), F.col("_b.truth")
-    return r.groupBy("config", "dataset").agg(F.count("*").alias("n"), F.count_if(ok).alias("exact"), F.count_if(was & ~ok).alias("broken"), F.count_if(wrong("_p")).alias("siblings"),
-                                              F.count_if(was).alias("base_exact"), F.count_if(wrong("_b")).alias("base_siblings"))
+    pool = F.collect_list(F.struct("cid", flag("truth"), flag("sibling"), F.round(base, 9).cast("double").alias("_base"), *[F.col(n).cast("double").alias(n) for n in names]))
+    per = candidates.groupBy("query", "dataset").agg(pool.alias("_pool")).select("dataset", "_pool")
+    counts = ("n", "exact", "broken", "siblings", "base_exact", "base_siblings")
+
+    def best(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The first row of the best score of each pool, one column a weighting."""
+        top = np.repeat(np.maximum.reduceat(score, starts, axis=0), sizes, axis=0)
+        at = np.where(score == top, np.arange(len(score))[:, None], len(score))
+        return np.minimum.reduceat(at, starts, axis=0)
+
+    def places(score: np.ndarray, null: np.ndarray, scale: float = 1e9) -> np.ndarray:
+        """Scores to nine places, halves up; nulls least, as in Spark's order of structs, what is no number greatest."""
+        r = np.where(np.isnan(score), np.inf, np.floor(score * scale + 0.5))
+        r[null] = -np.inf
+        return r
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pools = b.column(1)
+            flat = pools.flatten()
+            sizes = pools.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(flat):
+                continue
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            column = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+            truth, sibling = column("truth").astype(bool), column("sibling").astype(bool)
+            order = np.lexsort((~sibling, ~truth, column("cid"), np.repeat(np.arange(len(sizes)), sizes)))
+            truth, wrong = truth[order], (sibling & ~truth)[order]
+            value = {c: (column(c).astype(np.float64)[order], flat.field(c).is_null().to_numpy(zero_copy_only=False)[order]) for c in ["_base", *names]}
+            was = best(places(value["_base"][0], value["_base"][1])[:, None], starts, sizes)[:, 0]
+            null = np.logical_or.reduce([value[n][1] for n in names])
+            kinds, of = np.unique(pc.fill_null(pc.index_in(b.column(0), pc.unique(b.column(0))), -1).to_numpy(zero_copy_only=False), return_inverse=True)
+            first = np.array([np.argmax(of == k) for k in range(len(kinds))])
+            step = max(1, 2_000_000 // len(flat))
+            for g in range(0, len(grid), step):
+                some = grid[g:g + step]
+                score = np.zeros((len(flat), len(some)))
+                for n in names:
+                    score = score + value[n][0][:, None] * np.array([float(w[n]) for w in some])[None, :]
+                at = best(places(score, null), starts, sizes)
+                ok, base_ok = truth[at], truth[was][:, None]
+                per_query = (np.ones(ok.shape, bool), ok, base_ok & ~ok, wrong[at], np.broadcast_to(base_ok, ok.shape), np.broadcast_to(wrong[was][:, None], ok.shape))
+                sums = {}
+                for name, x in zip(counts, per_query):
+                    s = np.zeros((len(kinds), len(some)), np.int64)
+                    np.add.at(s, of, x)
+                    sums[name] = s.ravel()
+                config = np.tile(np.arange(g, g + len(some), dtype=np.int32), len(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(config), b.column(0).take(pa.array(np.repeat(first, len(some)))), *[pa.array(sums[n]) for n in counts]], ["config", "dataset", *counts])
+
+    parts = per.mapInArrow(run, f"config int, dataset {dict(per.dtypes)['dataset']}, " + ", ".join(f"{n} long" for n in counts))
+    return parts.groupBy("config", "dataset").agg(*[F.sum(n).alias(n) for n in counts])
 
 
 def feasible_weights(metrics: DataFrame, allowance: dict, most_broken: float = 0.2) -> DataFrame:
