@@ -136,3 +136,8 @@ def duplicate_class(geometry_score, text_score, probable: float = 0.8, possible:
     both = (F.when((g >= least) & (total >= probable), "probable_duplicate").when((g >= least) & (total >= possible), "possible_duplicate")
             .when(g >= overlap, "overlapping").otherwise("unlikely"))
     return total, F.when(t.isNull(), alone).otherwise(both)
+
+
+def least_overlap(probable: float = 0.8, possible: float = 0.5, overlap: float = 0.45, least: float = 0.3, **_) -> float:
+    """The geometry score below which ``duplicate_class`` says unlikely whatever the texts."""
+    return min(probable, overlap, least)

@@ -67,17 +67,24 @@ def best_pair(objects: DataFrame, scored: DataFrame, image: str, object_key: Seq
 
 
 def duplicate_regions(regions: DataFrame, image: str, key: Sequence[str], box: str, text: str, most: int = 5, **thresholds) -> DataFrame:
-    """For each region up to ``most`` others of its image that may be the same, by rectangle and text: the other's key with _2, total, class."""
-    other = regions.select(image, *[F.col(k).alias(f"{k}_2") for k in key], F.col(box).alias("_b"), F.col(text).alias("_t"))
-    same = F.lit(True)
+    """For each region up to ``most`` others of its image that may be the same, by rectangle and text: the other's key with _2, total, class.
+
+    Both scores are the same from either side, so a pair is scored once and then turned; texts are compared only where the rectangles leave a class open."""
+    side = lambda name: regions.select(image, F.struct(*key).alias(f"{name}k"), F.struct(*regions.columns).alias(name))
+    differ = F.lit(False)
     for k in key:
-        same &= F.col(k) == F.col(f"{k}_2")
-    both = (F.length(text) > 0) & (F.length("_t") > 0)
+        differ |= F.col(f"_ak.{k}") != F.col(f"_bk.{k}")
+    a, b = F.col(f"_a.{text}"), F.col(f"_b.{text}")
+    j = side("_a").join(side("_b"), image).filter((F.col("_ak") < F.col("_bk")) & differ).withColumn("_g", K.overlap_similarity(F.col(f"_a.{box}"), F.col(f"_b.{box}")))
+    j = j.filter(F.col("_g") >= K.least_overlap(**thresholds))
+    # a row of a list of one: filters on what follows stay behind it, so the texts are compared once a pair
+    j = j.select("_a", "_b", "_g", F.explode(F.array(F.when((F.length(a) > 0) & (F.length(b) > 0), T.edit_similarity(a, b)))).alias("_s"))
     total, kind = K.duplicate_class("_g", "_s", **thresholds)
-    j = regions.join(other, image).filter(~same).withColumn("_g", K.overlap_similarity(box, "_b")).withColumn("_s", F.when(both, T.edit_similarity(text, "_t")))
     j = j.withColumn("total", total).withColumn("class", kind).filter("class <> 'unlikely'")
+    j = j.select("total", "class", F.explode(F.array(F.struct("_a", "_b"), F.struct(F.col("_b").alias("_a"), F.col("_a").alias("_b")))).alias("_p"))
+    j = j.select(*[F.col(f"_p._a.{c}").alias(c) for c in regions.columns], *[F.col(f"_p._b.{k}").alias(f"{k}_2") for k in key], "total", "class")
     order = W.partitionBy(image, *key).orderBy(F.desc(F.round("total", 9)), *[f"{k}_2" for k in key])
-    return j.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r", "_b", "_t", "_g", "_s")
+    return j.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
 
 
 def reviewable(regions: DataFrame, crop: str, key: str, text: str, confidence: str, validity: str, support: str, consensus: str, semantic: Column,
