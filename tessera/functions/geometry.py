@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,13 +61,19 @@ def band(c, low: float, inner_low: float, inner_high: float, high: float) -> Col
 def canonical_quad(points) -> Column:
     """The four points around their centre by rising angle, from the one of least x + y (the first of equals).
     Angles and sums are compared to nine places, so the order does not hang on the last bit."""
-    p = _c(points)
-    cx = F.aggregate(p, F.lit(0.0), lambda a, q: a + q["x"] / 4)
-    cy = F.aggregate(p, F.lit(0.0), lambda a, q: a + q["y"] / 4)
-    ordered = F.transform(F.array_sort(F.transform(p, lambda q: F.struct(F.round(F.atan2(q["y"] - cy, q["x"] - cx), 9).alias("a"), q["x"].alias("x"), q["y"].alias("y")))),
-                          lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
-    first = F.array_min(F.transform(ordered, lambda q, i: F.struct(F.round(q["x"] + q["y"], 9).alias("s"), i.alias("i"))))["i"]
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(ordered, (first + i) % 4))
+    at = lambda s, k: F.aggregate(s, F.lit(0.0), lambda a, q: a + q[k] / 4)
+    angle = lambda s: lambda q: F.struct(F.round(F.atan2(q["y"] - s["cy"], q["x"] - s["cx"]), 9).alias("a"), q["x"].alias("x"), q["y"].alias("y"))
+    # every step is bound to a name by a list of one, so that none is worked out again for each point
+    centred = once(_c(points), lambda p: F.struct(p.alias("p"), at(p, "x").alias("cx"), at(p, "y").alias("cy")))
+    ordered = once(centred, lambda s: F.transform(F.array_sort(F.transform(s["p"], angle(s))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+    least = lambda o: F.array_min(F.transform(o, lambda q, i: F.struct(F.round(q["x"] + q["y"], 9).alias("s"), i.alias("i"))))["i"]
+    start = once(ordered, lambda o: F.struct(o.alias("o"), least(o).alias("i")))
+    return once(start, lambda s: F.concat(F.slice(s["o"], s["i"] + 1, F.lit(4)), F.slice(s["o"], F.lit(1), s["i"])))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def quad_is_convex(points) -> Column:
