@@ -34,6 +34,13 @@ def _unit(v: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def _some(q: pd.DataFrame, g: pd.DataFrame, cells: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """The queries in parts that make at most so many scores with the gallery rows (one query at least), so a task holds few at once."""
+    step = max(1, cells // max(1, len(g)))
+    for s in range(0, len(q), step):
+        yield q.iloc[s:s + step]
+
+
 def _scores(q: pd.DataFrame, g: pd.DataFrame, places: int, exclude_self: bool) -> np.ndarray:
     s = np.round(_unit(q["v"]) @ _unit(g["v"]).T, places)
     if exclude_self:
@@ -42,7 +49,7 @@ def _scores(q: pd.DataFrame, g: pd.DataFrame, places: int, exclude_self: bool) -
 
 
 def against(gallery: DataFrame, queries: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int | None = None) -> DataFrame:
-    """``kernel(some queries, some gallery rows)`` for parts of both that together make every pair once; gallery: (id, v, ...), queries: (query, v, ...).
+    """``kernel(some queries, some gallery rows)``, which makes their scores in parts (``_some``), for parts of both that together make every pair once; gallery: (id, v, ...), queries: (query, v, ...).
 
     Up to QUERY_BLOCK queries, counted first, go to the gallery's partitions and the gallery doesn't move.  More of them are dealt into blocks, as is the gallery, and
     blocks meet in the executors: each task holds one block of either side, nothing passes through the driver, and both sides may grow."""
@@ -72,8 +79,7 @@ def exact_topk(gallery: DataFrame, queries: DataFrame, k: int, gid: str = "id",
     """(query, id, score, rank): the k best gallery rows of each query by cosine, exactly.  Each part of the gallery keeps its own k best of a query; the rest is a window over those."""
     def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         out, ids = [], g["id"].to_numpy(np.int64)
-        for s in range(0, len(q), 256):
-            part = q.iloc[s:s + 256]
+        for part in _some(q, g):
             scores = _scores(part, g, 9, exclude_self)
             order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
             rows, flat = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
@@ -92,8 +98,7 @@ def best_per_label(gallery: DataFrame, queries: DataFrame, gid: str, qid: str, v
     def best(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         out = []
         for lab, part in g.groupby("label", dropna=False):
-            for s in range(0, len(q), 256):
-                some = q.iloc[s:s + 256]
+            for some in _some(q, part):
                 top = _scores(some, part, 9, exclude_self).max(axis=1)
                 ok = top > -np.inf
                 out.append(pd.DataFrame({"query": some["query"].to_numpy()[ok], "label": [lab] * int(ok.sum()), "score": top[ok]}))
@@ -107,8 +112,11 @@ def best_per_label(gallery: DataFrame, queries: DataFrame, gid: str, qid: str, v
 def score_summary(gallery: DataFrame, queries: DataFrame, key: str, vec: str, least: float, block: int | None = None) -> DataFrame:
     """(query, above, best): how many other gallery rows reach ``least`` by cosine, and the best one; each part of the gallery gives one row a query."""
     def summary(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        s = _scores(q, g, 5, True)
-        return pd.DataFrame({"query": q["query"], "above": (s >= least).sum(axis=1), "best": s.max(axis=1)})
+        out = []
+        for some in _some(q, g):
+            s = _scores(some, g, 5, True)
+            out.append(pd.DataFrame({"query": some["query"], "above": (s >= least).sum(axis=1), "best": s.max(axis=1)}))
+        return pd.concat(out)
 
     g, q = (df.select(F.col(key).cast("long").alias(name), F.col(vec).alias("v")).filter("v is not null") for df, name in ((gallery, "id"), (queries, "query")))
     return against(g, q, summary, "query long, above long, best double", block).groupBy("query").agg(F.sum("above").alias("above"), F.max("best").alias("best"))
@@ -118,14 +126,20 @@ def expected_ranks(gallery: DataFrame, queries: DataFrame, key: str, vec: str, g
     """(query, expected, strict, equivalent) from queries (query, v, expected, ev, group): the rank of the expected row among all others, ties by key, and the rank of the
     best row of its group.  Two passes over the gallery: the best of the group, then counts of what is better; each part gives one row a query."""
     def top(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        own = q["group"].to_numpy()[:, None] == g["group"].to_numpy()[None, :]
-        return pd.DataFrame({"query": q["query"], "top": np.where(own, _scores(q, g, 9, True), -np.inf).max(axis=1)})
+        out = []
+        for some in _some(q, g):
+            own = some["group"].to_numpy()[:, None] == g["group"].to_numpy()[None, :]
+            out.append(pd.DataFrame({"query": some["query"], "top": np.where(own, _scores(some, g, 9, True), -np.inf).max(axis=1)}))
+        return pd.concat(out)
 
     def count(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        s, ids, expected = _scores(q, g, 9, True), g["id"].to_numpy(), q["expected"].to_numpy()
-        s0 = np.round((_unit(q["v"]) * _unit(q["ev"])).sum(axis=1), 9)
-        ahead = (s > s0[:, None]) | ((s == s0[:, None]) & (ids[None, :] < expected[:, None]))
-        return pd.DataFrame({"query": q["query"], "expected": expected, "strict": ahead.sum(axis=1), "equivalent": (s > q["top"].to_numpy()[:, None]).sum(axis=1)})
+        out, ids = [], g["id"].to_numpy()
+        for some in _some(q, g):
+            s, expected = _scores(some, g, 9, True), some["expected"].to_numpy()
+            s0 = np.round((_unit(some["v"]) * _unit(some["ev"])).sum(axis=1), 9)
+            ahead = (s > s0[:, None]) | ((s == s0[:, None]) & (ids[None, :] < expected[:, None]))
+            out.append(pd.DataFrame({"query": some["query"], "expected": expected, "strict": ahead.sum(axis=1), "equivalent": (s > some["top"].to_numpy()[:, None]).sum(axis=1)}))
+        return pd.concat(out)
 
     g = gallery.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.col(group).alias("group"))
     q = queries.select("query", "v", "expected", "ev", "group")
