@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,21 +101,68 @@ def reviewable(regions: DataFrame, crop: str, key: str, text: str, confidence: s
     return q.withColumn("place", F.row_number().over(W.partitionBy(crop).orderBy(*order)))
 
 
+#: Images of more boxes find their unions by the distributed rounds, all others in the task that holds them.
+_TOGETHER = 256
+
+
 def merge_fragments(boxes: DataFrame, image: str, n: str, group: str, contained: float = 0.82) -> DataFrame:
     """Boxes (image, n: number in the image, group, x, y, width, height) united where they overlap without one holding ``contained`` of
     the smaller, or where they share a group: one row per union with its first number, members, bounds and mode."""
-    b = boxes.withColumn("_v", F.struct(F.col(image).alias("image"), F.col(n).alias("n"))).withColumn("_r", F.struct("x", "y", "width", "height"))
+    b = boxes.withColumn("_v", F.col(n)).withColumn("_r", F.struct("x", "y", "width", "height"))
     o = b.select(image, F.col("_v").alias("_w"), F.col("_r").alias("_q"))
     shared = K.intersection("_r", "_q")
     part = shared / F.greatest(F.lit(1.0), F.least(K.area("_r"), K.area("_q")))
-    auto = b.join(o, image).filter((F.col("_v") < F.col("_w")) & (shared > 0) & (part < contained)).select("_v", "_w", F.lit("automatic").alias("why"))
-    first = b.filter(F.col(group).isNotNull()).groupBy(image, group).agg(F.min("_v").alias("_w"))
-    manual = b.join(first, [image, group]).filter("_v <> _w").select("_w", "_v", F.lit("manual").alias("why")).toDF("_v", "_w", "why")
-    edges = auto.union(manual)
-    comp = connected_components(edges, "_v", "_w").select(F.col("node").alias("_v"), F.col("component").alias("_c"))
-    why = edges.join(comp, "_v").groupBy("_c").agg(F.collect_set("why").alias("_why"))
-    out = b.join(comp, "_v", "left").withColumn("_c", F.coalesce("_c", "_v")).groupBy(image, "_c").agg(
+
+    def edges(b: DataFrame, o: DataFrame) -> DataFrame:
+        auto = b.join(o, image).filter((F.col("_v") < F.col("_w")) & (shared > 0) & (part < contained)).select(image, "_v", "_w", F.lit(False).alias("manual"))
+        first = b.filter(F.col(group).isNotNull()).groupBy(image, group).agg(F.min("_v").alias("_w"))
+        return auto.union(b.join(first, [image, group]).filter("_v <> _w").select(image, "_w", "_v", F.lit(True)).toDF(image, "_v", "_w", "manual"))
+
+    large = boxes.groupBy(image).agg(F.count("*").alias("_n")).filter(F.col("_n") > _TOGETHER).select(image)
+    if large.isEmpty():
+        comp = _unions(edges(b, o), image)
+    else:
+        few, many = ([x.join(large, image, how) for x in (b, o)] for how in ("left_anti", "left_semi"))
+        e = edges(*many)
+        node = lambda c: F.struct(F.col(image).alias("image"), F.col(c).alias("n"))
+        found = connected_components(e.select(node("_v").alias("u"), node("_w").alias("v"))).select(F.col("node.image").alias(image), F.col("node.n").alias("_v"), F.col("component.n").alias("_c"))
+        why = e.join(found, [image, "_v"]).groupBy(image, "_c").agg(F.bool_or("manual").alias("man"), F.bool_or(~F.col("manual")).alias("aut"))
+        comp = _unions(edges(*few), image).union(found.join(why, [image, "_c"]).select(image, "_v", "_c", "man", "aut"))
+    out = b.join(comp, [image, "_v"], "left").withColumn("_c", F.coalesce("_c", "_v")).groupBy(image, "_c").agg(
         F.min(n).alias("first"), F.count("*").alias("members"), F.min("x").alias("x"), F.min("y").alias("y"),
-        (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
-    mode = F.when(F.col("_why").isNull(), "none").when(F.size("_why") == 2, "mixed").otherwise(F.get("_why", F.lit(0)))
-    return out.join(why, "_c", "left").withColumn("mode", mode).drop("_c", "_why")
+        (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"), F.max("man").alias("man"), F.max("aut").alias("aut"))
+    mode = F.when(F.col("man") & F.col("aut"), "mixed").when(F.col("man"), "manual").when(F.col("aut"), "automatic").otherwise("none")
+    return out.withColumn("mode", mode).drop("_c", "man", "aut")
+
+
+def _unions(edges: DataFrame, image: str) -> DataFrame:
+    """(image, _v, _c, man, aut): the least number that each box's edges (image, _v, _w, manual) reach in its image, and whether its union holds manual and automatic ones.
+    The images of a batch are solved together: least numbers run along the edges until nothing changes."""
+    per = edges.groupBy(image).agg(F.collect_list(F.struct(F.col("_v").cast("long").alias("v"), F.col("_w").cast("long").alias("w"), "manual")).alias("e"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            column = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+            manual = column("manual").astype(bool)
+            ends = np.stack([np.concatenate([at, at]), np.concatenate([column("v"), column("w")])])
+            nodes, place = np.unique(ends, axis=1, return_inverse=True)
+            u, v = place.reshape(2, -1)
+            least = np.arange(nodes.shape[1])  # nodes are sorted, so the least place is the least number of an image
+            while True:
+                low = np.minimum(least[u], least[v])
+                new = least.copy()
+                np.minimum.at(new, u, low)
+                np.minimum.at(new, v, low)
+                new = new[new]
+                if (new == least).all():
+                    break
+                least = new
+            man, aut = np.zeros(len(least), bool), np.zeros(len(least), bool)
+            man[least[u[manual]]] = True
+            aut[least[u[~manual]]] = True
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(nodes[0])), pa.array(nodes[1]), pa.array(nodes[1][least]), pa.array(man[least]), pa.array(aut[least])], [image, "_v", "_c", "man", "aut"])
+
+    return per.mapInArrow(run, f"`{image}` {dict(per.dtypes)[image]}, _v long, _c long, man boolean, aut boolean")
