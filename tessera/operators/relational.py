@@ -22,6 +22,13 @@ def first_per_key(df: DataFrame, keys: str | Sequence[str], order: Sequence[Colu
     return df.withColumn("_rn", rn).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def dealt(df: DataFrame, keys: str | Sequence[str], rows: int = 400_000) -> DataFrame:
+    """``df`` dealt by its keys into parts of about so many rows.  What groups and windows by these keys and more then needs no further shuffle, and the memory of a task does not follow the
+    input; left to itself, Spark joins parts that compress well into few large ones."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *_cols(keys))
+
+
 def latest_per_key(df: DataFrame, keys: str | Sequence[str], at: str, tie: str) -> DataFrame:
     return first_per_key(df, keys, [F.desc_nulls_last(at), F.desc(tie)])
 

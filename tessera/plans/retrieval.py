@@ -9,6 +9,7 @@ from tessera.operators import datasets as D
 from tessera.operators import evaluate as E
 from tessera.operators import fusion as U
 from tessera.operators import match as M
+from tessera.operators import relational as B
 from tessera.operators import resolve as R
 from tessera.operators import vectors as V
 from tessera.plans.registry import query
@@ -114,7 +115,8 @@ def d24_rank_metrics(spark, sf_dir):
 
 def _sources(spark, sf_dir):
     """Ranked sources from lineitem: the part is the query, the supplier a candidate, the return flag a source."""
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("query"), F.col("l_returnflag").alias("source"), F.col("l_suppkey").alias("cid")).agg(F.max("l_quantity").alias("score"))
+    lines = B.dealt(table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_suppkey", "l_quantity"), "l_partkey")
+    s = lines.groupBy(F.col("l_partkey").alias("query"), F.col("l_returnflag").alias("source"), F.col("l_suppkey").alias("cid")).agg(F.max("l_quantity").alias("score"))
     return U.rank_by(s, "score", by=("query", "source"))
 
 
