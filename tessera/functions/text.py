@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
+from tessera.functions.geometry import once
+
 #: Cyrillic letters and their Latin spelling.
 LATIN = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l",
          "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
@@ -144,8 +146,7 @@ def substring_score(a, b, generic: Column | None = None) -> Column:
 
 
 def token_ngrams(t, low: int = 2, high: int = 3) -> Column:
-    t = col(t)
-    return F.concat(*[_ngram(t, n) for n in range(low, high + 1)])
+    return once(col(t), lambda x: F.concat(*[_ngram(x, n) for n in range(low, high + 1)]))
 
 
 def _ngram(t: Column, n: int) -> Column:
