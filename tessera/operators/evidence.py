@@ -106,15 +106,21 @@ def folded(c) -> Column:
     return run(col(c))
 
 
+#: So many distinct tokens are sent to all executors, more meet their items by shuffle.
+_FEW = 50_000
+
+
 def dictionary_relations(df: DataFrame, key: str, raw: str, dictionary: DataFrame, id: str = "id", name: str = "name") -> tuple[DataFrame, DataFrame]:
     """(relations key, id, name; unresolved key, raw_token, reason, candidates) of lists of names by comma, semicolon or line.
 
     A token with exactly one dictionary row of its folded name is related to it, once an item.  Else it is unresolved: ambiguous_normalization with the ids of its rows, sorted, or
-    no_exact_dictionary_match.  Blank tokens go, a raw token counts once an item.  Distinct tokens meet the dictionary, so one that many items share is looked up once."""
+    no_exact_dictionary_match.  Blank tokens go, a raw token counts once an item.  Distinct tokens meet the dictionary, so one that many items share is looked up once.  Up to _FEW distinct
+    tokens, counted first, go to the items; more of them meet by shuffle.  Spark's own choice, by the size of the files, can send the items."""
     tokens = df.select(key, F.explode(F.split(raw, r"[,;\n]")).alias("raw_token")).filter(F.trim(F.regexp_replace("raw_token", r"\s", " ")) != "").distinct()
     known = dictionary.select(folded(name).alias("_k"), id, name).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct(id, name))).alias("_rows"))
-    found = tokens.select("raw_token").distinct().withColumn("_k", folded("raw_token")).join(known, "_k", "left").select("raw_token", "_rows")
-    met = tokens.join(found, "raw_token")
+    words = tokens.select("raw_token").distinct()
+    found = words.withColumn("_k", folded("raw_token")).join(known.hint("merge"), "_k", "left").select("raw_token", "_rows")
+    met = tokens.join(F.broadcast(found) if words.limit(_FEW + 1).count() <= _FEW else found.hint("merge"), "raw_token")
     one = F.coalesce(F.size("_rows") == 1, F.lit(False))
     relations = met.filter(one).select(key, F.col("_rows")[0].alias("r")).select(key, f"r.{id}", f"r.{name}").distinct()
     why = F.when(F.col("_rows").isNull(), "no_exact_dictionary_match").otherwise("ambiguous_normalization")
