@@ -329,7 +329,9 @@ def phrase_years(c, phrases: Sequence[str] = VINTAGE, excluded: Sequence[str] =
         raise ValueError("a word that is longer than its window can't stand in it")
     ahead = "|".join(f"{w}[^,]{{0,{before - len(w)}}}" for w in excluded)
     behind = "|".join(f"[^,]{{0,{after - len(w)}}}{w}" for w in excluded)
-    found = rf"(?iuU)(?<!{ahead})(?<!год\s)\b(?:{'|'.join(phrases)})\s*[:–—,-]?\s*((?:19|20)[0-9]{{2}})\b(?![./][0-9])(?!{behind})"
+    named = "|".join(phrases)
+    # the phrase first: looking back costs a window of letters, so only where one stands
+    found = rf"(?iuU)\b(?={named})(?<!год\s)(?<!{ahead})(?:{named})\s*[:–—,-]?\s*((?:19|20)[0-9]{{2}})\b(?![./][0-9])(?!{behind})"
     clauses = F.split(F.coalesce(col(c), F.lit("")), r"(?<![0-9])\.|\.(?![0-9])|[!?;\n]")
     return F.array_sort(F.array_distinct(F.flatten(F.transform(clauses, lambda x: F.regexp_extract_all(x, F.lit(found), F.lit(1))))))
 
