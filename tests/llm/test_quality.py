@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import quality as Q
@@ -89,3 +91,39 @@ def test_quality_edges(spark):
     free = Q.judge(docs, labels.limit(0)).collect()
     assert sum(r["keep"] for r in free) == len(rows) - 2
     assert Q.judge(docs.limit(0), labels).count() == 0
+
+
+def test_pairs_are_on_disk_once(spark, monkeypatch):
+    """Beside the counts or values of all pairs only those of one part are written."""
+    random.seed(5)
+    texts = [" ".join(random.choice("abcdefghijklmnopqrstuvwxyz") + random.choice("ab") for _ in range(60)) for _ in range(150)]
+    live, peak, write, drop = {}, [0], Q.materialize, Q.discard
+    folders = lambda t: {f.rpartition("/")[0] for f in t.inputFiles()}
+
+    def materialize(df, name="t"):
+        out = write(df, name)
+        live.update(dict.fromkeys(folders(out), out.count()))
+        peak[0] = max(peak[0], sum(live.values()))
+        return out
+
+    def discard(*tables):
+        for f in set().union(*map(folders, tables)):
+            live.pop(f, None)
+        drop(*tables)
+
+    monkeypatch.setattr(Q, "materialize", materialize)
+    monkeypatch.setattr(Q, "discard", discard)
+    model, _ = Q.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    pairs = {p for t in texts for p in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)}
+    assert len(pairs) > 2000 and model.count() == len(pairs) + 54
+    assert peak[0] < 1.4 * len(pairs)
+    assert sum(live.values()) == model.count()
+
+
+def test_word_keys_follow_words():
+    texts = ["", None, " a\tb a \n", "abcdefgh abcdefghi abcdefgh", "\u00e9\u00a0x a", "x" * 300 + " " + "x" * 301 + " a", "\x0b", "a" * 16 + " " + "a" * 17, "b"]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    keys, n = Q.word_keys(pa.array(["pad", *texts]).slice(1))
+    words = [w for s in split for w in s]
+    assert n.tolist() == [len(s) for s in split] and len(keys) == len(words)
+    assert len(set(zip(words, keys.tolist(), strict=True))) == len(set(words)) == len(set(keys.tolist()))
