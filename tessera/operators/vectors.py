@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -154,17 +155,23 @@ def collapse_references(hits: DataFrame, cid: str, score: str = "score", ref: st
 
 
 def phash_near(df: DataFrame, key: str, phash: str, most: int = 6) -> DataFrame:
-    """Pairs of 64-bit hashes at most ``most`` bits apart: most // 2 + 1 bands, in one of which they must be equal or one bit apart (pigeonhole), so one side also looks under every band
-    with a bit turned.  Such bands are about twice as wide as ones that must be equal, and hold the fewer others.  Equal hashes are collapsed first, so a group of copies makes no pairs."""
+    """Pairs of 64-bit hashes at most ``most`` bits apart: most + 2 parts, two of which must be equal (pigeonhole), so hashes meet under every two of them, and a pair counts under the first two
+    that are equal.  Equal hashes are collapsed first, so a group of copies makes no pairs.
+
+    The rows of a hash under all its parts are merged by shuffle whatever size Spark takes them to have: it doesn't count what an explode adds, so without the hint it broadcasts them through the driver."""
     reps = df.groupBy(phash).agg(F.min(key).alias("k"))
-    n = most // 2 + 1
-    width = -(-64 // n)
-    part = lambda i: F.shiftrightunsigned(phash, i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
-    bit = lambda j: F.lit((1 << j) - (1 << 64 if j == 63 else 0)).cast("long")
-    band = lambda i, b: F.struct(F.lit(i).alias("i"), b.alias("b"))
-    own = F.array(*[band(i, part(i)) for i in range(n)])
-    near = F.array(*[band(i, b) for i in range(n) for b in [part(i), *(part(i).bitwiseXOR(bit(j)) for j in range(width if most else 0))]])
-    x = reps.select("k", F.col(phash).alias("h"))
-    a, b = (x.select("*", F.explode(c).alias("band")).alias(t) for t, c in (("a", own), ("b", near)))
-    return (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k") < F.col("b.k")))
-            .filter(F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= most).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct())
+    n = most + 2
+    long = lambda x: F.lit(x - (1 << 64 if x >> 63 else 0)).cast("long")
+    ends = [64 * i // n for i in range(n + 1)]
+    parts, tops = [(1 << e) - (1 << s) for s, e in zip(ends, ends[1:])], [1 << e - 1 for e in ends[1:]]
+    # Of two parts: their bits, and the highest bit of each other part before the second.
+    two = F.array(*[F.struct(long(parts[i] | parts[j]).alias("mask"), long(sum(tops[:j]) - tops[i]).alias("before")) for i, j in combinations(range(n), 2)])
+    x = reps.select("k", F.col(phash).alias("h"), F.explode(two).alias("two")).select("k", "h", "two.mask", "two.before")
+    a, b = x.alias("a").hint("merge"), x.alias("b")
+    # Both columns tell which two parts; with both read on either side, the rows are dealt out once.
+    equal = (F.col("a.before") == F.col("b.before")) & (F.col("a.h").bitwiseAND(F.col("a.mask")) == F.col("b.h").bitwiseAND(F.col("b.mask")))
+    other, low = F.col("a.h").bitwiseXOR(F.col("b.h")), long(sum(parts[:-1]) - sum(tops[:-1]))
+    # The sum carries into a part's highest bit if a lower one is set.  All parts in one go: a condition with a case for every two of them took over ten times the CPU time a task.
+    unequal = (other.bitwiseAND(low) + low).bitwiseOR(other)
+    return (a.join(b, equal & (F.col("a.k") < F.col("b.k"))).filter(F.bit_count(other) <= most).filter(F.bitwise_not(unequal).bitwiseAND(F.col("a.before")) == 0)
+            .select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))

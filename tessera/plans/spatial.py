@@ -183,7 +183,7 @@ def d43_merged_boxes(spark, sf_dir):
     select a.k as a, b.k as b, round(list_cosine_similarity(a.e, b.e), 5) as cosine from v a join v b on a.k < b.k and bit_count(xor(a.h::ubigint::bit, b.h::ubigint::bit)) <= 6 where list_cosine_similarity(a.e, b.e) >= .5""")
 def c20_near_hashes(spark, sf_dir):
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: F.when(F.get("embedding", i) > 0, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(a))
-    e = table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), bits.alias("h"))
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", F.col("embedding").alias("e"), bits.alias("h"))
     near = V.phash_near(e, "vec_id", "h", 6)
-    pairs = near.join(e.select(F.col("vec_id").alias("a"), F.col("e").alias("ea")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("e").alias("eb")), "b")
+    pairs = near.join(e.select(F.col("vec_id").alias("a"), F.col("e").alias("ea")).hint("merge"), "a").join(e.select(F.col("vec_id").alias("b"), F.col("e").alias("eb")).hint("merge"), "b")
     return pairs.withColumn("cosine", V.dot("ea", "eb") / (V.norm("ea") * V.norm("eb"))).filter("cosine >= 0.5").select("a", "b", F.round("cosine", 5).alias("cosine"))
